@@ -2,5 +2,50 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from folioscope.llm import look_alikes
+from folioscope.llm.top_n import top_n_per_group
+from folioscope.sources.tables import table
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = look_alikes.keyed_forms(table(spark, sf_dir, "chunks"), "chunk_id", "text", "chunks.text")
+    return chunks.unionByName(look_alikes.keyed_forms(table(spark, sf_dir, "grading_baseline_dense"), "grade_id", "generated_answer", "generated_answer"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alikes.same_reading_pairs(_forms(spark, sf_dir))
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alikes.canonical_texts(_forms(spark, sf_dir))
+
+
+def _top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_n_per_group(table(spark, sf_dir, "retrieved_chunks"), ["run_label", "qid"], ["doc_id", "page_num"], "score", 10)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_pages(spark, sf_dir).select("run_label", "qid", "doc_id", "page_num")
+
+
+def p4_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages with their score and rank."""
+    return _top_pages(spark, sf_dir)
+
+
+QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_top_pages": p4_top_pages}
+
+_TOP_PAGES = """
+WITH page AS (
+  SELECT run_label, qid, doc_id, page_num, max(score) AS top_score FROM retrieved_chunks
+  WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY run_label, qid ORDER BY top_score DESC, doc_id, page_num) AS INTEGER) AS top_rank FROM page
+)
+"""
+ORACLE = {
+    "p4_found": _TOP_PAGES + "SELECT run_label, qid, doc_id, page_num FROM ranked WHERE top_rank <= 10",
+    "p4_top_pages": _TOP_PAGES + "SELECT run_label, qid, doc_id, page_num, top_score, top_rank FROM ranked WHERE top_rank <= 10",
+}
