@@ -3,12 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import look_alikes
+from folioscope.llm import languages, look_alikes, mixing, packing, repeated_lines
+from folioscope.llm.shared import written
+from folioscope.llm.tokens import token_count
 from folioscope.llm.top_n import top_n_per_group
 from folioscope.sources.tables import table
 
 
+#: Pages of one filing on which a line must stand to count as repeated.
+PAGES = 6
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = repeated_lines.keyed_rows(table(spark, sf_dir, "chunks"), "chunk_id", "doc_id", "page_num", "text")
+    confirmed = written(repeated_lines.repeated_lines(keyed, PAGES), "confirmed-lines")
+    return repeated_lines.found_lines(keyed, confirmed).withColumnRenamed("key_of_row", "chunk_id")
+
+
+def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk row with its text without the lines that come back page after page."""
+    chunks = table(spark, sf_dir, "chunks")
+    keyed = repeated_lines.keyed_rows(chunks, "chunk_id", "doc_id", "page_num", "text")
+    confirmed = written(repeated_lines.repeated_lines(keyed, PAGES), "confirmed-lines")
+    return repeated_lines.without_lines(chunks.select("chunk_id", "doc_id", "page_num", "text"), confirmed, "doc_id", "text").drop("text")
+
+
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = look_alikes.keyed_forms(table(spark, sf_dir, "chunks"), "chunk_id", "text", "chunks.text")
     return chunks.unionByName(look_alikes.keyed_forms(table(spark, sf_dir, "grading_baseline_dense"), "grade_id", "generated_answer", "generated_answer"))
@@ -35,7 +56,75 @@ def p4_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_pages(spark, sf_dir)
 
 
-QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_top_pages": p4_top_pages}
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    sized = documents.select(F.col("doc_id").alias("key"), "source", token_count(F.col("text")).alias("tokens"), F.unhex(F.md5("text")).alias("cluster"))
+    return written(sized, "sized-documents")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # container_sizes is a fixed table of three rows
+    containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "container_sizes").collect()]
+    return packing.pack(_sized(spark, sf_dir), sorted(containers))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumn("doc_id", F.col("key").cast("long")).drop("key")
+
+
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Plan]:
+    sized = _sized(spark, sf_dir)
+    # one row for each source
+    sizes = {r["source"]: (r["records"], r["tokens"]) for r in sized.where("tokens > 0").groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens")).collect()}
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").collect()]
+    plan = mixing.plan(sizes, sorted(targets))
+    return mixing.mixture(sized, plan), plan
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0].select(F.col("key").cast("long").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
+def _line_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return languages.line_languages(documents, languages.fit(languages.sample(documents)))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled_lines(_line_languages(spark, sf_dir))
+
+
+def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.stretches(_line_languages(spark, sf_dir))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(_line_languages(spark, sf_dir))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_clean_text": p2_clean_text,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_top_pages": p4_top_pages,
+    "p6_containers": p6_containers,
+    "p6_fill_report": p6_fill_report,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_stretches": p8_stretches,
+    "p8_documents": p8_documents,
+}
 
 _TOP_PAGES = """
 WITH page AS (
