@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import languages, look_alikes, mixing, packing, repeated_lines
+from folioscope.llm import languages, look_alikes, mixing, packing, pairs, repeated_lines
 from folioscope.llm.shared import written
 from folioscope.llm.tokens import token_count
 from folioscope.llm.top_n import top_n_per_group
@@ -56,6 +56,20 @@ def p4_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_pages(spark, sf_dir)
 
 
+#: Gold answers the terminal model is fitted on, those of the least hash, beside the sample of documents.
+GOLD = 3000
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = table(spark, sf_dir, "grading_baseline_dense")
+    flags = table(spark, sf_dir, "answers").groupBy("grade_id").agg(F.max("insufficient_evidence").alias("insufficient_evidence"))
+    texts = languages.sample(table(spark, sf_dir, "documents"))
+    gold = graded.where("gold_answer IS NOT NULL").select("gold_answer", F.xxhash64("gold_answer").alias("h")).distinct().orderBy("h", "gold_answer").limit(GOLD)
+    terminal = pairs.TerminalModel.fit([t for _, t in texts] + [r["gold_answer"] for r in gold.collect()])
+    rows = graded.select("grade_id", "question", "generated_answer").join(flags, "grade_id", "left")
+    return pairs.defects(rows, languages.fit(texts), terminal)
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     sized = documents.select(F.col("doc_id").alias("key"), "source", token_count(F.col("text")).alias("tokens"), F.unhex(F.md5("text")).alias("cluster"))
@@ -117,6 +131,7 @@ QUERIES = {
     "p3_canonical": p3_canonical,
     "p4_found": p4_found,
     "p4_top_pages": p4_top_pages,
+    "p5_found": p5_found,
     "p6_containers": p6_containers,
     "p6_fill_report": p6_fill_report,
     "p7_mixture": p7_mixture,
