@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import units
+from folioscope.plans import retrieval, units
 
-FLAGSHIP = "p1_common_units"
-MODULES = [units]
+FLAGSHIP = "tier1_bm25"
+MODULES = [retrieval, units]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
