@@ -109,7 +109,7 @@ def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, unit
     start share an id; ``folioscope.operators.caches.last_wins`` keeps the later, as an index does.
     """
     rest = [c for c in pages.columns if c not in ("doc_id", "page_num", "text")]
-    cut = pages.where(F.col("text").rlike(r"\S")).withColumn("_s", F.explode(span_column(F.col("text"), size, overlap, unit)))
+    cut = pages.where(F.col("text").rlike(r"\S")).withColumn("_all", span_column(F.col("text"), size, overlap, unit)).withColumn("_s", F.explode("_all"))
     start, end = F.col("_s.start"), F.col("_s.end")
     return cut.select("doc_id", "page_num", *rest, chunk_id(F.col("doc_id"), F.col("page_num"), start).alias("chunk_id"), start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("text"))
 
@@ -188,10 +188,14 @@ def chunk_elements(elements: DataFrame, mode: str = "flat", size: int = SIZE, ov
     prefix = F.array_join(F.array_distinct(F.filter(F.array(strip(F.col("table.caption")), F.coalesce("_context", F.lit(""))), lambda x: x != "")), "\n")
     header, rows = tables.markdown(F.col("table")) if mode == "markdown" else (F.array().cast("array<string>"), tables.linearized(F.col("table")))
 
-    @F.pandas_udf("array<string>")
-    def parts(p: pd.Series, h: pd.Series, r: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([table_parts(a or "", [*b], [*c], d or "", size, overlap, unit) for a, b, c, d in zip(p, h, r, t)])
+    listed = seen.select("doc_id", "page_num", "element_index", prefix.alias("prefix"), header.alias("header"), rows.alias("rows"), F.coalesce("text", F.lit("")).alias("plain"))
 
-    made = seen.select("doc_id", "page_num", "element_index", F.posexplode(parts(prefix, header, rows, F.coalesce("text", F.lit("")))).alias("part", "text"))
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(*at, i, text) for *at, p, h, r, t in pdf.itertuples(index=False) for i, text in enumerate(table_parts(p or "", [*h], [*r], t, size, overlap, unit))]
+            yield pd.DataFrame(made, columns=["doc_id", "page_num", "element_index", "part", "text"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in elements.schema}
+    made = listed.mapInPandas(parts, f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, element_index {kinds['element_index']}, part int, text string")
     own = made.select("doc_id", "page_num", table_chunk_id(F.col("doc_id"), F.col("page_num"), F.col("element_index"), F.col("part")).alias("chunk_id"), "text")
     return chunks.unionByName(own)

@@ -77,7 +77,7 @@ def alignment(left: DataFrame, right: DataFrame, *, margin: float = 0.05) -> Dat
     words = lambda df, name: df.select("doc_id", "page_num", F.array_distinct(tokens(F.col("text"))).alias(name), F.length(F.coalesce("text", F.lit(""))).alias(f"{name}_len"))
     a, b = words(left, "want"), words(right, "have")
     # a band of three pages is an equality join once every right page stands under its neighbours' numbers too
-    near = b.select("doc_id", (F.col("page_num") - F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).alias("page_num"), F.col("page_num").alias("own"), "have", "have_len")
+    near = b.select("doc_id", F.explode(F.array(*[F.col("page_num") + d for d in (-1, 0, 1)])).alias("page_num"), F.col("page_num").alias("own"), "have", "have_len")
     joined = a.join(near, ["doc_id", "page_num"], "left")
     share = F.when(F.size("want") > 0, F.round(F.size(F.array_intersect("want", F.coalesce("have", F.array().cast("array<string>")))) / F.size("want"), 6)).otherwise(0.0)
     at = lambda d: F.coalesce(F.max(F.when(F.col("own") - F.col("page_num") == d, share)), F.lit(0.0))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import retrieval, units
+from folioscope.plans import corpus, evaluation, retrieval, units
 
 FLAGSHIP = "tier1_bm25"
-MODULES = [retrieval, units]
+MODULES = [corpus, retrieval, evaluation, units]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
