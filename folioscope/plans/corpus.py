@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import hashing
 from folioscope.operators import caches, chunking, golden, tables
 from folioscope.plans.retrieval import LATEST, corpus
+from folioscope.session import spread
 from folioscope.sources.tables import table
 
 
@@ -45,12 +46,12 @@ def embed_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a page, cut to 200 characters with an overlap of 40."""
-    return chunking.chunk_pages(chunking.pages_of(table(spark, sf_dir, "documents")), 200, 40, "chars")
+    return chunking.chunk_pages(chunking.pages_of(spread(table(spark, sf_dir, "documents"))), 200, 40, "chars")
 
 
 def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as pages, cut by tokens at the default size."""
-    whole = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_num"), "text")
+    whole = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lit(1).alias("page_num"), "text")
     return chunking.chunk_pages(whole)
 
 

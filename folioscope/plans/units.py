@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.units import common_units, same_figure_other_unit
+from folioscope.session import spread
 from folioscope.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return same_figure_other_unit(common_units(table(spark, sf_dir, "grading_baseline_dense")))
+    return same_figure_other_unit(common_units(spread(table(spark, sf_dir, "grading_baseline_dense"))))
 
 
 def p1_common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every figure of every graded answer in the common unit of its kind, one row each."""
-    figures = common_units(table(spark, sf_dir, "grading_baseline_dense"))
+    figures = common_units(spread(table(spark, sf_dir, "grading_baseline_dense")))
     return figures.select("grade_id", "qid", F.posexplode("figures").alias("figure_no", "f")).select("grade_id", "qid", "figure_no", "f.*")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -33,3 +35,32 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for a step whose work for each byte is large: the session's shuffle partitions, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many partitions as there are cores; one that has them already is left as it is.
+
+    A few megabytes of text are one split to Spark and seconds of work to a tokenizer. For scans
+    only: counting the partitions of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that functions run there whether or not they have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_folioscope_shipped", False):
+        return
+    package = Path(__file__).parent
+    made = Path(tempfile.mkdtemp()) / "folioscope.zip"  # the driver serves it from here
+    with zipfile.ZipFile(made, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(made))
+    context._folioscope_shipped = True
