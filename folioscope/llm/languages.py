@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,9 +34,9 @@ NAMES = {
 _CODES = {name: code for code, names in NAMES.items() for name in (code, *names)}
 
 #: Documents of each label that the model is fitted on, those of the least hash; at most this many texts of at most ``LINES`` lines reach the driver.
-SAMPLE, LINES = 250, 60
+SAMPLE, LINES = 200, 60
 LONGEST, SHORTEST = 4, 1
-#: Weight of a word's n-grams against known words, and what a line's log score is divided by for the confidence.
+#: Weight of a word's n-grams against known words, and what a line's log score is multiplied by for the confidence.
 FALLBACK, SMOOTH = 0.5, 0.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -60,12 +60,16 @@ def label_column(column: str):
 
 def words_of(line: str) -> list[str]:
     """Words of a line in lower case; text written without spaces gives its characters' pairs."""
+    return _words(reading_form(line))
+
+
+def _words(form: str) -> list[str]:
     out = []
-    for w in _WORD.findall(reading_form(line).lower()):
-        if _EAST.search(w):
-            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-        else:
+    for w in _WORD.findall(form.lower()):
+        if w.isascii() or not _EAST.search(w):
             out.append(w)
+        else:
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
     return out
 
 
@@ -76,17 +80,19 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies of words and n-grams, one row of a matrix each, and the languages of its columns."""
+    """Log frequencies of words (rows of a matrix) and n-grams, a column for each language."""
 
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
-    memo: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Log score of one word in every language, zero-mean."""
-        if (known := self.words.get(word)) is not None:
-            return known
+    def __post_init__(self) -> None:
+        self.rows = {w: i for i, w in enumerate(self.words)}
+        self.matrix = np.array(list(self.words.values())) if self.words else np.zeros((0, len(self.languages)))
+        self.memo: dict[str, np.ndarray] = {}
+
+    def unseen(self, word: str) -> np.ndarray:
+        """Score of a word that isn't known: of its longest n-grams that are, less where few are; 0 if none is."""
         if (seen := self.memo.get(word)) is not None:
             return seen
         score = np.zeros(len(self.languages))
@@ -100,18 +106,25 @@ class LanguageModel:
         return score
 
     def posterior(self, words: list[str]) -> np.ndarray:
-        total = SMOOTH * np.sum([self.word_score(w) for w in words], axis=0)
-        p = np.exp(total - total.max())
+        """Probability of each language, of the words' scores added up and flattened by ``SMOOTH``."""
+        known = [i for w in words if (i := self.rows.get(w)) is not None]
+        total = self.matrix[known].sum(axis=0)
+        if len(known) < len(words):
+            for w in words:
+                if w not in self.rows:
+                    total = total + self.unseen(w)
+        p = np.exp(SMOOTH * (total - total.max()))
         return p / p.sum()
 
-    def line(self, line: str) -> tuple[str | None, float, int]:
-        """(language, confidence, words) of a line; (None, 0, 0) for one without words. Ties go to the first code."""
-        words = words_of(line)
-        if not words:
-            return None, 0.0, 0
-        p = self.posterior(words)
-        k = int(p.argmax())
-        return self.languages[k], float(p[k]), len(words)
+    def lines(self, text: str | None) -> list[dict]:
+        """``line_no, lang, confidence, words`` of every line that has words. Equal scores go to the first code."""
+        out = []
+        for i, line in enumerate(reading_form(text or "").split("\n"), 1):
+            if words := _words(line):
+                p = self.posterior(words)
+                k = int(p.argmax())
+                out.append({"line_no": i, "lang": self.languages[k], "confidence": float(p[k]), "words": len(words)})
+        return out
 
 
 def _table(counts: dict[str, Counter], languages: list[str], floor: float, least: int) -> dict[str, np.ndarray]:
@@ -127,7 +140,7 @@ def _table(counts: dict[str, Counter], languages: list[str], floor: float, least
     return out
 
 
-def fit(samples: list[tuple[str, str]], rounds: int = 3) -> LanguageModel:
+def fit(samples: list[tuple[str, str]], rounds: int = 2) -> LanguageModel:
     """A model of (label, text) pairs; after the first round a line counts for the language found for it, if that is clear, so wrong labels and mixed texts lose their weight."""
     languages = sorted({label for label, _ in samples}) or ["en"]
     lines = [(label, w) for label, text in samples for x in text.split("\n")[:LINES] if (w := words_of(x))]
@@ -146,7 +159,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 3) -> LanguageModel:
             for w, n in words[label].items():
                 for size in grams:
                     for g in _grams(w, size):
-                        grams[size][label][g] += min(n, 20)
+                        grams[size][label][g] += min(n, 20)  # a frequent word doesn't make its letters frequent
         model = LanguageModel(languages, _table(words, languages, 0.5, 2), {n: _table(grams[n], languages, 0.5, 2) for n in grams})
     return model
 
@@ -174,7 +187,7 @@ def line_languages(documents: DataFrame, model: LanguageModel, key: str = "doc_i
     def lines(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for s in texts:
-            yield s.map(lambda t: [{"line_no": i, "lang": r[0], "confidence": r[1], "words": r[2]} for i, x in enumerate((t or "").split("\n"), 1) if (r := m.line(x))[2]])
+            yield s.map(m.lines)
 
     return documents.select(F.col(key), label_column(label).alias("label_lang"), lines(F.col(text)).alias("lines"))
 

@@ -9,6 +9,7 @@ from folioscope.llm import languages, look_alikes, mixing, packing, pairs, repea
 from folioscope.llm.shared import written
 from folioscope.llm.tokens import token_count
 from folioscope.llm.top_n import top_n_per_group
+from folioscope.session import parallelism, spread
 from folioscope.sources.tables import table
 
 
@@ -17,22 +18,22 @@ PAGES = 6
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = repeated_lines.keyed_rows(table(spark, sf_dir, "chunks"), "chunk_id", "doc_id", "page_num", "text")
+    keyed = repeated_lines.keyed_rows(spread(table(spark, sf_dir, "chunks")), "chunk_id", "doc_id", "page_num", "text")
     confirmed = written(repeated_lines.repeated_lines(keyed, PAGES), "confirmed-lines")
     return repeated_lines.found_lines(keyed, confirmed).withColumnRenamed("key_of_row", "chunk_id")
 
 
 def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk row with its text without the lines that come back page after page."""
-    chunks = table(spark, sf_dir, "chunks")
+    chunks = spread(table(spark, sf_dir, "chunks"))
     keyed = repeated_lines.keyed_rows(chunks, "chunk_id", "doc_id", "page_num", "text")
     confirmed = written(repeated_lines.repeated_lines(keyed, PAGES), "confirmed-lines")
     return repeated_lines.without_lines(chunks.select("chunk_id", "doc_id", "page_num", "text"), confirmed, "doc_id", "text").drop("text")
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = look_alikes.keyed_forms(table(spark, sf_dir, "chunks"), "chunk_id", "text", "chunks.text")
-    return chunks.unionByName(look_alikes.keyed_forms(table(spark, sf_dir, "grading_baseline_dense"), "grade_id", "generated_answer", "generated_answer"))
+    chunks = look_alikes.keyed_forms(spread(table(spark, sf_dir, "chunks")), "chunk_id", "text", "chunks.text")
+    return chunks.unionByName(look_alikes.keyed_forms(spread(table(spark, sf_dir, "grading_baseline_dense")), "grade_id", "generated_answer", "generated_answer"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +67,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = languages.sample(table(spark, sf_dir, "documents"))
     gold = graded.where("gold_answer IS NOT NULL").select("gold_answer", F.xxhash64("gold_answer").alias("h")).distinct().orderBy("h", "gold_answer").limit(GOLD)
     terminal = pairs.TerminalModel.fit([t for _, t in texts] + [r["gold_answer"] for r in gold.collect()])
-    rows = graded.select("grade_id", "question", "generated_answer").join(flags, "grade_id", "left")
+    n = parallelism(spark)
+    rows = graded.select("grade_id", "question", "generated_answer").repartition(n, "grade_id").join(flags.repartition(n, "grade_id"), "grade_id", "left")
     return pairs.defects(rows, languages.fit(texts), terminal)
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     sized = documents.select(F.col("doc_id").alias("key"), "source", token_count(F.col("text")).alias("tokens"), F.unhex(F.md5("text")).alias("cluster"))
     return written(sized, "sized-documents")
 
@@ -109,7 +111,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return languages.line_languages(documents, languages.fit(languages.sample(documents)))
+    return languages.line_languages(spread(documents), languages.fit(languages.sample(documents)))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
