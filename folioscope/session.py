@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with UTC and AQE, as the tests and the bench use it."""
-    return (
+def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session with UTC and AQE, as the tests and the bench use it; ``shared`` is its folder for written tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("folioscope")
         .config("spark.sql.shuffle.partitions", partitions)
@@ -21,8 +21,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
