@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.shared import written
 
-#: Items that one shard packs by itself, and the fill from which a bin is left as it is in the second round.
+#: Items that one shard packs by itself, and the fill from which a bin is left as it is in further rounds.
 SHARD, FULL = 20_000, 0.99
 
 
@@ -106,8 +106,8 @@ def pack(sized: DataFrame, containers: Sequence[tuple[str, int]], *, apart: Sequ
     ``apart`` are pairs of sources that must not share a container.
 
     Shards of about ``shard`` items, by the key's hash, are packed each in one task. Then the items
-    of all bins filled to less than ``full`` are packed again in fewer shards, so a shard's last
-    bins don't stay half empty; no task holds more than a shard.
+    of all bins filled to less than ``full`` are packed again in fewer shards, and so on until one
+    is left, so a shard's last bins don't stay half empty; no task holds more than two shards.
     """
     spark = sized.sparkSession
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("container"), F.lit(int(c)).alias("capacity")) for n, c in containers])).alias("k")
@@ -119,15 +119,20 @@ def pack(sized: DataFrame, containers: Sequence[tuple[str, int]], *, apart: Sequ
     rows = sized.count()
     shards = max(1, math.ceil(rows / shard))
     spread = lambda df, n, salt: df.withColumn("shard", F.pmod(F.xxhash64("key", "piece", F.lit(salt)), F.lit(n)).cast("int"))
-    first = _packed(spread(items, shards, 1), 1, apart)
-    if shards > 1:
-        first = written(first, "packed")
-        settled = F.col("fill") >= full * F.col("capacity")
-        open_ = first.where(~settled).select("container", "capacity", "key", "piece", "tokens", "source", "cluster")
+    packed, done, round_no = _packed(spread(items, shards, 1), 1, apart), None, 1
+    settled = F.col("fill") >= full * F.col("capacity")
+    while shards > 1:
+        packed = written(packed, "packed")
+        open_ = packed.where(~settled).select("container", "capacity", "key", "piece", "tokens", "source", "cluster")
         most = open_.groupBy("container", "capacity").count().agg(F.max("count")).first()[0] or 0
-        again = _packed(spread(open_, max(1, math.ceil(most / (2 * shard))), 2), 2, apart)
-        first = first.where(settled).unionByName(again)
-    return first.select("container", "capacity", "bin", "fill", "key", "piece", "tokens")
+        fewer = max(1, math.ceil(most / (2 * shard)))
+        if fewer >= shards:  # hardly a bin is full: a further round would find the same
+            break
+        round_no, shards = round_no + 1, fewer
+        done = packed.where(settled) if done is None else done.unionByName(packed.where(settled))
+        packed = _packed(spread(open_, shards, round_no), round_no, apart)
+    packed = packed if done is None else done.unionByName(packed)
+    return packed.select("container", "capacity", "bin", "fill", "key", "piece", "tokens")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def candidates(keyed: DataFrame, at_least: int, *, counters: int = COUNTERS) ->
     which is all that its source lost. No key that stands on ``at_least`` places is missing from both results:
     a key in no summary has at most what its source lost in all.
     """
-    usable = keyed.where(F.col("source").isNotNull() & F.col("place").isNotNull()).select("source", "place", "keys")
+    # without blank lines: with a null among them, Python would get the keys as floats
+    usable = keyed.where(F.col("source").isNotNull() & F.col("place").isNotNull()).select("source", "place", F.array_distinct(F.array_compact("keys")).alias("keys"))
     summaries = usable.mapInPandas(_summaries(counters), f"source {keyed.schema['source'].dataType.simpleString()}, lost int, keys array<bigint>, counts array<int>")
     pairs = summaries.select("source", "lost", F.explode(F.arrays_zip("keys", "counts")).alias("p")).select("source", "lost", "p.keys", "p.counts")
     merged = pairs.groupBy("source", F.col("keys").alias("key")).agg(F.sum("counts").alias("counted"), F.sum("lost").alias("own_loss"))
