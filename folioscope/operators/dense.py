@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,46 +12,81 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.bm25 import top_k
 
-#: Query vectors that are scored at once as a broadcast matrix.
-QUERY_BLOCK = 4_096
+#: Query vectors that are scored at once as a broadcast matrix, and up to how many are sent out that way.
+QUERY_BLOCK, BROADCAST_QUERIES = 4_096, 65_536
+#: Vectors in a block, where blocks of vectors meet blocks of queries.
+VECTOR_BLOCK = 50_000
+
+
+def _best(who: np.ndarray, unit: np.ndarray, keys: np.ndarray, vectors: list, k: int, digits: int, self_too: bool) -> pd.DataFrame:
+    """(q, key, score) of the ``k`` vectors nearest to each query; the queries are rows of unit length."""
+    good = [i for i, v in enumerate(vectors) if v is not None and len(v) == unit.shape[1]]
+    if not good:
+        return pd.DataFrame({"q": who[:0], "key": keys[:0], "score": np.zeros(0)})
+    order = np.argsort(keys[good], kind="stable")
+    good = [good[i] for i in order]
+    m = np.stack([np.asarray(vectors[i], dtype=np.float64) for i in good])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    score = (m / np.where(length == 0, 1, length)) @ unit.T
+    best = np.argsort(-np.round(score, digits), axis=0, kind="stable")[: k + (not self_too)]
+    rows, cols = best.ravel(), np.tile(np.arange(len(who)), len(best))
+    got = pd.DataFrame({"q": who[cols], "key": keys[good][rows], "score": score[rows, cols]})
+    return got if self_too else got[got["q"] != got["key"]]
+
+
+def _unit(vectors: list) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1, length)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", qid: str = "qid", vector: str = "vector", exclude_self: bool = False, digits: int = 9) -> DataFrame:
     """``qid, key, score, rank``: the ``k`` vectors nearest to each query by cosine, ties at ``digits`` decimals by key.
 
-    Null vectors and such of another length than the query's are left out, a zero vector has score 0
-    to all. The queries go out in blocks as a matrix; every batch of vectors meets them where it is
-    and only its ``k`` best of each query are shuffled.
+    Null vectors and such of another length than the query's are left out, a zero vector has score 0 to all; a
+    query with a null vector doesn't come out. Up to ``BROADCAST_QUERIES`` queries go out as matrices; every batch
+    of vectors meets them where it is and only its ``k`` best of each query are shuffled. Beyond that, each block of
+    vectors meets each block of queries in a group of its own, and the driver holds neither.
     """
-    schema = f"{qid} {queries.schema[qid].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    spark, out = vectors.sparkSession, None
-    asked = [(r[0], np.array(r[1], dtype=np.float64)) for r in queries.where(F.col(vector).isNotNull()).select(qid, vector).orderBy(qid).toLocalIterator()]
-    sizes = {len(v) for _, v in asked}
-    blocks = [[a for a in asked if len(a[1]) == n][at : at + QUERY_BLOCK] for n in sorted(sizes) for at in range(0, sum(len(a[1]) == n for a in asked), QUERY_BLOCK)]
-    for block in blocks:
-        names = np.array([a[0] for a in block], dtype=object)
-        matrix = np.stack([a[1] for a in block])
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((names, matrix / np.where(norms == 0, 1, norms)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            who, unit = shared.value
-            for pdf in batches:
-                good = pdf[[v is not None and len(v) == unit.shape[1] for v in pdf["v"]]].sort_values("key", kind="stable")
-                if good.empty:
-                    continue
-                m = np.stack([np.asarray(v, dtype=np.float64) for v in good["v"]])
-                length = np.linalg.norm(m, axis=1, keepdims=True)
-                score = (m / np.where(length == 0, 1, length)) @ unit.T
-                rounded = np.round(score, digits)
-                best = np.argsort(-rounded, axis=0, kind="stable")[: k + exclude_self]
-                rows, cols = best.ravel(), np.tile(np.arange(len(who)), len(best))
-                got = pd.DataFrame({qid: who[cols], key: good["key"].to_numpy()[rows], "score": score[rows, cols]})
-                yield got[got[qid] != got[key]] if exclude_self else got
-
-        rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
-        part = rows.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return top_k(out, k, partition=(qid,), key=key, digits=digits)
+    kinds = queries.schema[qid].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    schema = f"q {kinds[0]}, key {kinds[1]}, score double"
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("q"), F.col(vector).alias("v"))
+    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        out = _broadcast(rows, asked, k, schema, digits, exclude_self)
+    else:
+        out = _blocks(rows, asked, k, schema, digits, exclude_self)
+    return top_k(out.withColumnsRenamed({"q": qid, "key": key}), k, partition=(qid,), key=key, digits=digits)
+
+
+def _broadcast(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int, exclude_self: bool) -> DataFrame:
+    spark, out = rows.sparkSession, None
+    held = [(r["q"], r["v"]) for r in asked.orderBy("q").collect()]
+    for size in sorted({len(v) for _, v in held}):
+        same = [h for h in held if len(h[1]) == size]
+        for at in range(0, len(same), QUERY_BLOCK):
+            block = same[at : at + QUERY_BLOCK]
+            shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=object), _unit([v for _, v in block])))
+
+            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    yield _best(*shared.value, pdf["key"].to_numpy(dtype=object), [*pdf["v"]], k, digits, not exclude_self)
+
+            part = rows.mapInPandas(run, schema)
+            out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _blocks(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int, exclude_self: bool) -> DataFrame:
+    n, m = max(1, math.ceil(rows.count() / VECTOR_BLOCK)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    left = rows.withColumn("i", own("key", n)).withColumn("j", every(m))
+    right = asked.withColumn("j", own("q", m)).withColumn("i", every(n)).withColumn("size", F.size("v"))
+
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        keys, held = vectors["key"].to_numpy(dtype=object), [*vectors["v"]]
+        parts = [_best(q["q"].to_numpy(dtype=object), _unit([*q["v"]]), keys, held, k, digits, not exclude_self) for _, q in queries.groupby("size")]
+        return pd.concat(parts) if parts else pd.DataFrame({"q": [], "key": [], "score": []})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)

@@ -53,7 +53,10 @@ def test_bm25_over_small_tables(spark):
         bm25.retrieve(chunks(spark), questions, 0)
 
 
-def test_dense(spark):
+@pytest.mark.parametrize("most", [dense.BROADCAST_QUERIES, 0])
+def test_dense(spark, monkeypatch, most):
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", most)
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", 2)
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 3.0]), ("d", None), ("e", [0.0, 0.0]), ("f", [1.0])], "chunk_id string, vector array<float>")
     q = spark.createDataFrame([("a", [5.0, 0.1]), ("z", None)], "qid string, vector array<float>")
     assert ranked(dense.nearest(v, q, 3), "a") == ["a", "c", "b"]
