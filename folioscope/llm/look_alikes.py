@@ -2,11 +2,15 @@
 
 Texts are mapped to their reading form, the forms are grouped under an accent-sensitive Unicode
 collation in SQL, every class gets a deterministic canonical member, and that is joined back.
+
+The collation UNICODE alone would go too far: it holds digits of different scripts equal and
+ignores some marks that can be seen. So forms must also be equal to be one class, and only texts
+whose form another text has too are worth a comparison: a sum over hashes finds those first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.readingform import has_visible, reading_form_col
@@ -14,46 +18,50 @@ from folioscope.functions.readingform import has_visible, reading_form_col
 #: Members of a class that meet in one task of the pairing; larger classes are cut into blocks of this size.
 BLOCK = 1024
 
+#: The form's identity in 128 bits, so that the wide texts needn't be shuffled.
+FORM = ["form_a", "form_b"]
+
 
-def _digest(column: str):
-    return F.unhex(F.md5(column))
+def _hashes(column: str, names: list[str]) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), column).alias(name) for seed, name in enumerate(names)]
 
 
 def keyed_forms(df: DataFrame, key: str, text: str, field_name: str) -> DataFrame:
-    """``field_name, key, form, form_id, text_id``, one row for each row of ``df`` whose text has a visible character."""
+    """``field_name, key, form`` and the hashes of form and text, one row for each row of ``df`` whose text has a visible character."""
     rows = df.select(F.lit(field_name).alias("field_name"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").isNotNull()).withColumn("form", reading_form_col("text"))
-    return rows.where(has_visible(F.col("form"))).select("field_name", "key", "form", _digest("form").alias("form_id"), _digest("text").alias("text_id"))
+    return rows.where(has_visible(F.col("form"))).select("field_name", "key", "form", *_hashes("form", FORM), *_hashes("text", ["text_a", "text_b"]))
 
 
 def form_classes(forms: DataFrame) -> DataFrame:
-    """``field_name, form_id, class_id, canonical, members, texts_differ``: one row for each distinct form.
+    """``field_name, form_a, form_b, class_id, canonical``: the classes in which texts differ.
 
-    Forms equal under the collation UNICODE, which heeds accents and case, are one class. Its
-    canonical member is the least of its forms by code point, its ``class_id`` the least digest.
-    Rows of one form are combined in each task before the shuffle, so a form that a third of all
-    rows share is no more than one row from each task.
+    First rows are combined by the form's hash, in each task before the shuffle, which leaves the
+    forms that different texts have. Those are grouped under the collation; the canonical member of a
+    class is the least of its forms by code point, and ``class_id`` its hash.
     """
-    by_collation = forms.sparkSession.sql(
+    differ = forms.groupBy("field_name", *FORM).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("text_a", "text_b") for f in (F.min, F.max)])
+    shared = differ.where("min_text_a <> max_text_a OR min_text_b <> max_text_b").select("field_name", *FORM)
+    rows = forms.select("field_name", *FORM, "form").join(shared, ["field_name", *FORM], "left_semi")
+    return forms.sparkSession.sql(
         """
-        SELECT field_name, min(form_id) AS class_id, min(form) AS canonical, collect_set(form_id) AS form_ids,
-               count(*) AS members, min(text_id) <> max(text_id) AS texts_differ
-        FROM {forms}
-        GROUP BY field_name, form COLLATE UNICODE
+        SELECT field_name, form_a, form_b, min(CAST(form AS STRING COLLATE UTF8_BINARY)) AS canonical, xxhash64(form_a, form_b) AS class_id
+        FROM {rows}
+        GROUP BY field_name, form COLLATE UNICODE, form_a, form_b
         """,
-        forms=forms,
+        rows=rows,
     )
-    return by_collation.select("field_name", F.explode("form_ids").alias("form_id"), "class_id", "canonical", "members", "texts_differ")
 
 
 def canonical_texts(forms: DataFrame) -> DataFrame:
-    """``field_name, key, class_id, canonical``: every text of ``keyed_forms`` in the one form of its class.
+    """``field_name, key, canonical``: every text of ``keyed_forms`` in the one form of its class.
 
-    A key that stands on several rows of one text comes out once; one with several texts once for each class.
+    A text that no other reads like is a class by itself. A key that stands on several rows of one
+    text comes out once; one with several texts once for each class.
     """
-    classes = form_classes(forms).select("field_name", "form_id", "class_id", "canonical")
-    rows = forms.select("field_name", "key", "form_id").distinct()
-    return rows.join(classes, ["field_name", "form_id"]).select("field_name", "key", "class_id", "canonical").distinct()
+    classes = form_classes(forms).select("field_name", *FORM, "canonical")
+    rows = forms.select("field_name", "key", "form", *FORM).join(classes, ["field_name", *FORM], "left")
+    return rows.select("field_name", "key", F.coalesce("canonical", "form").alias("canonical"), *FORM).dropDuplicates(["field_name", "key", *FORM]).drop(*FORM)
 
 
 def same_reading_pairs(forms: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -63,15 +71,15 @@ def same_reading_pairs(forms: DataFrame, *, block: int = BLOCK) -> DataFrame:
     texts differ are paired. A class of more than ``block`` keys is cut into blocks, and each pair
     of blocks meets in a group of its own, so no task holds a whole large class; no pair is left out.
     """
-    mixed = form_classes(forms).where("texts_differ").select("field_name", "form_id", "class_id")
-    rows = forms.where(F.col("key").isNotNull()).select("field_name", "key", "form_id", "text_id")
-    rows = rows.join(mixed, ["field_name", "form_id"]).select("class_id", "field_name", "key", "text_id").distinct()
+    mixed = form_classes(forms).select("field_name", *FORM, "class_id")
+    rows = forms.where(F.col("key").isNotNull()).select("field_name", "key", *FORM, F.xxhash64("text_a", "text_b").alias("text_id"))
+    rows = rows.join(mixed, ["field_name", *FORM]).select("class_id", "field_name", "key", "text_id").distinct()
     large = rows.groupBy("class_id", "field_name").count().where(F.col("count") > block)
     large = large.select("class_id", "field_name", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = rows.join(large, ["class_id", "field_name"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = rows.select("class_id", "field_name", F.col("own").alias("block_a"), every.alias("block_b"), F.col("key").alias("key_a"), F.col("text_id").alias("text_a"))
-    b = rows.select("class_id", "field_name", every.alias("block_a"), F.col("own").alias("block_b"), F.col("key").alias("key_b"), F.col("text_id").alias("text_b"))
-    met = a.join(b, ["class_id", "field_name", "block_a", "block_b"]).where("key_a < key_b AND text_a <> text_b")
+    a = rows.select("class_id", "field_name", F.col("own").alias("block_a"), every.alias("block_b"), F.col("key").alias("key_a"), F.col("text_id").alias("read_a"))
+    b = rows.select("class_id", "field_name", every.alias("block_a"), F.col("own").alias("block_b"), F.col("key").alias("key_b"), F.col("text_id").alias("read_b"))
+    met = a.join(b, ["class_id", "field_name", "block_a", "block_b"]).where("key_a < key_b AND read_a <> read_b")
     return met.select("field_name", "key_a", "key_b").distinct()

@@ -41,6 +41,11 @@ def test_one_form_for_each_class(spark):
     assert canonical_texts(forms(spark, [])).count() == 0
 
 
+def test_digits_of_other_scripts_read_differently(spark):
+    rows = [("a", "page 1"), ("b", "page ١"), ("c", "pаge 1"), ("d", "pаge ١")]
+    assert sorted((r["key_a"], r["key_b"]) for r in same_reading_pairs(forms(spark, rows)).collect()) == [("a", "c"), ("b", "d")] == brute(rows)
+
+
 def test_a_long_text(spark):
     rows = [("a", "х" * 300_000), ("b", "x" * 300_000)]
     assert [tuple(r) for r in same_reading_pairs(forms(spark, rows)).collect()] == [("f", "a", "b")]
