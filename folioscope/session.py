@@ -29,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, which ``spark.checkpoint.dir`` names; a temporary one only on one machine where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "folioscope-shared")
     if spark.sparkContext.getCheckpointDir() is None:
