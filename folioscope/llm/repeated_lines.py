@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.readingform import reading_form
-from folioscope.llm.shared import written
+from folioscope.llm.shared import BROADCAST_ROWS, having, written
 
-#: Rows of a confirmed or candidate set up to which it is broadcast; at about 60 bytes a row that is 30 MB.
-BROADCAST_ROWS = 500_000
 #: Counters that one task keeps for one source.
 COUNTERS = 65_536
 
@@ -99,12 +97,6 @@ def candidates(keyed: DataFrame, at_least: int, *, counters: int = COUNTERS) ->
     return found, losses.where(F.col("all_loss") >= at_least).select("source")
 
 
-def _met(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows that are in ``keys``: broadcast if counted to be at most ``BROADCAST_ROWS``, else by a shuffle."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
-
-
 def repeated_lines(keyed: DataFrame, at_least: int, *, counters: int = COUNTERS) -> DataFrame:
     """(source, key, places) of the lines on at least ``at_least`` different places of their source.
 
@@ -115,11 +107,11 @@ def repeated_lines(keyed: DataFrame, at_least: int, *, counters: int = COUNTERS)
     found, open_sources = candidates(keyed, at_least, counters=counters)
     found = written(found, "line-candidates")
     lines = keyed.where(F.col("source").isNotNull() & F.col("place").isNotNull()).select("source", "place", F.explode("keys").alias("key")).where("key IS NOT NULL")
-    chosen = _met(lines, found, ["source", "key"])
+    chosen = having(lines, found, ["source", "key"])
     rich = written(open_sources, "open-sources")
     if not rich.isEmpty():
         outside = lines.join(found, ["source", "key"], "left_anti")
-        chosen = chosen.unionByName(_met(outside, rich, ["source"]))
+        chosen = chosen.unionByName(having(outside, rich, ["source"]))
     exact = chosen.distinct().groupBy("source", "key").agg(F.count("*").alias("places"))
     return exact.where(F.col("places") >= at_least)
 
@@ -133,7 +125,7 @@ def keyed_rows(df: DataFrame, key: str, source: str, place: str, text: str) -> D
 def found_lines(keyed: DataFrame, confirmed: DataFrame) -> DataFrame:
     """``key_of_row, line_no`` of every confirmed line, once also where rows are repeated."""
     lines = keyed.select("key_of_row", "source", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
-    return _met(lines, confirmed, ["source", "key"]).select("key_of_row", (F.col("at") + 1).alias("line_no")).distinct()
+    return having(lines, confirmed, ["source", "key"]).select("key_of_row", (F.col("at") + 1).alias("line_no")).distinct()
 
 
 def without_lines(df: DataFrame, confirmed: DataFrame, source: str, text: str, *, text_as: str = "clean_text", removed_as: str = "lines_removed") -> DataFrame:
