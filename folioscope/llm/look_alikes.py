@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.readingform import has_visible, reading_form_col
+from folioscope.llm.shared import having, written
 
 #: Members of a class that meet in one task of the pairing; larger classes are cut into blocks of this size.
 BLOCK = 1024
@@ -42,7 +43,7 @@ def form_classes(forms: DataFrame) -> DataFrame:
     """
     differ = forms.groupBy("field_name", *FORM).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("text_a", "text_b") for f in (F.min, F.max)])
     shared = differ.where("min_text_a <> max_text_a OR min_text_b <> max_text_b").select("field_name", *FORM)
-    rows = forms.select("field_name", *FORM, "form").join(shared, ["field_name", *FORM], "left_semi")
+    rows = having(forms.select("field_name", *FORM, "form"), written(shared, "shared-forms"), ["field_name", *FORM])
     return forms.sparkSession.sql(
         """
         SELECT field_name, form_a, form_b, min(CAST(form AS STRING COLLATE UTF8_BINARY)) AS canonical, xxhash64(form_a, form_b) AS class_id
