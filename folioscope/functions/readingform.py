@@ -91,3 +91,16 @@ def reading_form_col(col: Column | str) -> Column:
 def has_visible(col: Column) -> Column:
     """Whether a reading form holds anything but white space."""
     return F.regexp_like(col, F.lit(r"[^\p{Z}\s\x85]"))
+
+
+def reading_form_sql(column: str) -> str:
+    """The same in DuckDB's SQL, to check results with; of the characters that become several, only Latin ones are unfolded there."""
+    table, _ = _table()
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    one = {c: new for c, new in table.items() if len(new) == 1}
+    gone = [c for c, new in table.items() if not new and c != "\x00"]
+    sql = f"translate({column}, {quoted(''.join([*one, *gone]))}, {quoted(''.join(one.values()))})"
+    for c, new in table.items():
+        if len(new) > 1 and new.isascii():
+            sql = f"replace({sql}, {quoted(c)}, {quoted(new)})"
+    return f"nfc_normalize({sql})"

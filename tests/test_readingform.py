@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscope.functions.readingform import LOOKALIKES, reading_form, reading_form_col
+from folioscope.functions.readingform import LOOKALIKES, reading_form, reading_form_col, reading_form_sql
 
 
 def test_what_makes_no_difference_and_what_does():
@@ -28,6 +28,14 @@ def test_it_is_stable_and_composed(text):
     assert once.count("\n") == text.count("\n")
 
 
+def test_the_same_in_sql():
+    import duckdb
+
+    texts = ["Ｆｏｒｍ　１０－Ｋ", "of­ﬁ​ce﻿", "cafe\u0301", "Velmοra Ѕуstem", "a\u00a0b\u2009c", "it's ＇so＇", "", "Ё é m² …"]
+    sql = reading_form_sql("t")
+    assert [duckdb.execute(f"SELECT {sql} FROM (SELECT ? AS t)", [t]).fetchone()[0] for t in texts] == [reading_form(t) for t in texts]
+
+
 def test_column_keeps_nulls(spark):
     df = spark.createDataFrame([("ａ​",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(reading_form_col("t")).collect()] == ["a", None, ""]
