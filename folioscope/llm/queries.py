@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.readingform import reading_form_sql
 from folioscope.llm import languages, look_alikes, mixing, packing, pairs, repeated_lines
 from folioscope.llm.shared import written
 from folioscope.llm.tokens import token_count
@@ -151,7 +152,23 @@ WITH page AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY run_label, qid ORDER BY top_score DESC, doc_id, page_num) AS INTEGER) AS top_rank FROM page
 )
 """
+_FORM = reading_form_sql("t")
+_LINES = f"""
+WITH rows AS (SELECT DISTINCT chunk_id, doc_id, page_num, text FROM chunks WHERE text IS NOT NULL),
+split AS (SELECT chunk_id, doc_id, page_num, i AS line_no, lines[i] AS t FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM rows))),
+keyed AS (SELECT chunk_id, doc_id, page_num, line_no, regexp_replace(trim(regexp_replace(lower({_FORM}), '\\s+', ' ', 'g')), '[0-9]+', '0', 'g') AS k FROM split),
+often AS (SELECT doc_id, k FROM keyed WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT page_num) >= {PAGES})
+SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN often USING (doc_id, k)
+"""
+_SAME = f"""
+WITH texts AS (SELECT DISTINCT 'chunks.text' AS field_name, chunk_id AS key, text AS t FROM chunks UNION SELECT DISTINCT 'generated_answer', grade_id, generated_answer FROM grading_baseline_dense),
+forms AS (SELECT *, {_FORM} AS form FROM texts WHERE t IS NOT NULL)
+SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM forms a JOIN forms b ON a.field_name = b.field_name AND a.form = b.form AND a.key < b.key AND a.t <> b.t WHERE regexp_matches(a.form, '\\S')
+"""
 ORACLE = {
+    "p2_found": _LINES,
+    "p3_found": _SAME,
+    "p3_canonical": _SAME.split("SELECT DISTINCT a.")[0] + "SELECT DISTINCT field_name, key, form AS canonical FROM forms WHERE regexp_matches(form, '\\S')",
     "p4_found": _TOP_PAGES + "SELECT run_label, qid, doc_id, page_num FROM ranked WHERE top_rank <= 10",
     "p4_top_pages": _TOP_PAGES + "SELECT run_label, qid, doc_id, page_num, top_score, top_rank FROM ranked WHERE top_rank <= 10",
 }
