@@ -1,46 +1,5 @@
-"""Tables written once to the folder all executors share, to cut lineage."""
+"""What the operators here share of the library's written tables."""
 
-from __future__ import annotations
+from folioscope.lineage import BROADCAST_BYTES, having, is_small, written
 
-import atexit
-import shutil
-import uuid
-import weakref
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from folioscope.session import shared_folder
-
-
-#: Rows of a set of keys up to which it is broadcast; at about 60 bytes a row that is 30 MB.
-BROADCAST_ROWS = 500_000
-
-
-def _remove(spark_ref, path: str) -> None:
-    spark = spark_ref()
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended, and with it the way to any but a plain folder
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, computed once here.
-
-    A lost executor costs nothing of it. Plans made from the result hold no more than its path, so
-    it is kept until the interpreter ends and removed then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, weakref.ref(spark), path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def having(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose columns ``on`` are in ``keys``, a written table: by broadcast if its rows, counted first, are at most ``BROADCAST_ROWS``, else by a shuffle."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
+__all__ = ["BROADCAST_BYTES", "having", "is_small", "written"]
