@@ -95,9 +95,11 @@ def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mixing.Plan]:
     sized = _sized(spark, sf_dir)
-    # one row for each source
-    sizes = {r["source"]: (r["records"], r["tokens"]) for r in sized.where("tokens > 0").groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens")).collect()}
-    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").collect()]
+    wanted = table(spark, sf_dir, "mix_targets")  # a fixed table of nine rows
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in wanted.collect()]
+    # one row for each target
+    used = sized.where("tokens > 0").join(F.broadcast(wanted.select("source").distinct()), "source", "left_semi").groupBy("source")
+    sizes = {r["source"]: (r["records"], r["tokens"]) for r in used.agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens")).collect()}
     plan = mixing.plan(sizes, sorted(targets))
     return mixing.mixture(sized, plan), plan
 

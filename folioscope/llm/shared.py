@@ -2,4 +2,7 @@
 
 from folioscope.lineage import BROADCAST_BYTES, having, is_small, written
 
-__all__ = ["BROADCAST_BYTES", "having", "is_small", "written"]
+#: Rows of a set of keys up to which it is broadcast; at about 60 bytes a row that is 30 MB.
+BROADCAST_ROWS = 500_000
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "having", "is_small", "written"]

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folioscope.llm.mixing import mixture, pivot, plan, shares
+from folioscope.llm.mixing import mixture, pivot, plan, settle, shares
 
 SCHEMA = "key bigint, source string, tokens bigint, p double"
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4)]
@@ -73,3 +73,45 @@ def test_empty_and_repeated_rows(spark):
     rows = [(1, "a", 10), (1, "a", 10), (2, "b", 10), (None, "b", 10), (3, "c", 10)]
     q = plan(sizes(rows), TARGETS)
     assert sum(r["copies"] * r["tokens"] for r in mixture(sized(spark, rows), q).collect()) <= q.total + 30
+
+
+def heavy(n, seed, giants=()):
+    """Lengths with a heavy tail: a few records hold most of the tokens."""
+    rng = random.Random(seed)
+    return [(i, max(1, int(rng.paretovariate(0.9) * 20))) for i in range(n)] + [(n + i, t) for i, t in enumerate(giants)]
+
+
+def test_settling_keeps_expectations_and_tokens():
+    records = [(i, t, 0.3) for i, t in heavy(120, 2) if t < 600]
+    quota, hits = sum(t * 0.3 for _, t, _ in records), [0] * len(records)
+    for seed in range(300):
+        done = settle(records, seed)
+        assert len(done) == len(records) and all(p in (0.0, 1.0) for _, _, p in done)
+        assert abs(sum(t * p for _, t, p in done) - quota) <= 40
+        for at, (_, _, p) in enumerate(sorted(done)):
+            hits[at] += p
+    assert all(0.17 < h / 300 < 0.43 for h in hits) and abs(sum(hits) / 300 - 0.3 * len(records)) < 2
+
+
+@pytest.mark.parametrize("giant", [4_000, 9_000, 30_000])
+def test_a_record_larger_than_what_its_source_may_give_does_not_spoil_the_share(giant):
+    records = [(i, t, 0.2) for i, t in heavy(200, 3, [giant]) if t < 500 or t == giant]
+    quota = sum(t * 0.2 for _, t, _ in records)
+    for seed in range(40):
+        assert abs(sum(t * p for _, t, p in settle(records, seed)) - quota) <= 40, seed
+
+
+def test_open_records_alone_and_equal_ones():
+    assert settle([], 0) == [] and settle([("a", 5, 0.5)], 1)[0][2] in (0.0, 1.0)
+    assert sum(p for _, _, p in settle([(i, 7, 0.25) for i in range(40)], 3)) == 10
+
+
+@pytest.mark.parametrize("bucket", [50_000, 30])
+def test_shares_are_met_closely_with_heavy_tails(spark, bucket):
+    rng = random.Random(8)
+    rows = [(i, rng.choices(["a", "b", "c"], [60, 25, 15])[0], t) for i, t in heavy(9000, 9)]
+    p = plan(sizes(rows), TARGETS)
+    mixed = mixture(sized(spark, rows), p, bucket=bucket).persist()
+    for r in shares(mixed, p).collect():
+        assert abs(r["actual_share"] - r["target_share"]) <= 0.001
+    mixed.unpersist()
