@@ -105,38 +105,60 @@ def pack(sized: DataFrame, containers: Sequence[tuple[str, int]], *, apart: Sequ
     Items without tokens go nowhere. A null source is the source ''. A repeated row is an item of its own.
     ``apart`` are pairs of sources that must not share a container.
 
-    Shards of about ``shard`` items, by the key's hash, are packed each in one task. Then the items
-    of all bins filled to less than ``full`` are packed again in fewer shards, and so on until one
-    is left, so a shard's last bins don't stay half empty; no task holds more than two shards.
+    Full pieces are containers of their own, made without packing. Shards of about ``shard`` items, by the
+    key's hash, are packed each in one task. Then the items of all bins filled to less than ``full`` are packed
+    again in fewer shards, and so on until one is left, so a shard's last bins don't stay half empty; no task
+    holds more than about two shards of items, however long texts are.
     """
-    spark = sized.sparkSession
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("container"), F.lit(int(c)).alias("capacity")) for n, c in containers])).alias("k")
     each = sized.where("tokens > 0").select(F.col("key").cast("string").alias("key"), F.col("tokens").cast("int").alias("tokens"), "source", "cluster", kinds).select("*", "k.*").drop("k")
-    # an item larger than the capacity becomes full pieces, which no bin has room for but a new one, and a rest
-    pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")).cast("int"))))
-    part = F.least(F.col("capacity"), F.col("tokens") - (F.col("piece") - 1) * F.col("capacity"))
-    items = pieces.select("container", "capacity", "key", "piece", part.alias("tokens"), "source", "cluster")
-    rows = sized.count()
-    shards = max(1, math.ceil(rows / shard))
+    whole, rest = F.floor(F.col("tokens") / F.col("capacity")).cast("int"), F.col("tokens") % F.col("capacity")
+    # repeated rows of an item are told apart by a number
+    long = each.where("tokens >= capacity").groupBy("container", "capacity", "key", "tokens").count()
+    copies = long.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).withColumn("piece", F.explode(F.sequence(F.lit(1), whole)))
+    name = F.concat_ws("-", "container", F.lit("full"), F.xxhash64("key", "tokens"), F.col("key"), F.col("copy"), F.col("piece"))
+    done = copies.select("container", "capacity", name.alias("bin"), F.col("capacity").alias("fill"), "key", "piece", F.col("capacity").alias("tokens"))
+    open_ = each.where(rest > 0).select("container", "capacity", "key", (whole + 1).alias("piece"), rest.alias("tokens"), "source", "cluster")
     spread = lambda df, n, salt: df.withColumn("shard", F.pmod(F.xxhash64("key", "piece", F.lit(salt)), F.lit(n)).cast("int"))
-    packed, done, round_no = _packed(spread(items, shards, 1), 1, apart), None, 1
+    largest = lambda df: df.groupBy("container", "capacity").count().agg(F.max("count")).first()[0] or 0
+    columns = ["container", "capacity", "bin", "fill", "key", "piece", "tokens"]
     settled = F.col("fill") >= full * F.col("capacity")
-    while shards > 1:
+    shards, round_no = max(1, math.ceil(largest(open_) / shard)), 1
+    while True:
+        packed = _packed(spread(open_, shards, round_no), round_no, apart)
+        if shards == 1:
+            break
         packed = written(packed, "packed")
         open_ = packed.where(~settled).select("container", "capacity", "key", "piece", "tokens", "source", "cluster")
-        most = open_.groupBy("container", "capacity").count().agg(F.max("count")).first()[0] or 0
-        fewer = max(1, math.ceil(most / (2 * shard)))
+        fewer = max(1, math.ceil(largest(open_) / (2 * shard)))
         if fewer >= shards:  # hardly a bin is full: a further round would find the same
             break
+        done = done.unionByName(packed.where(settled).select(*columns))
         round_no, shards = round_no + 1, fewer
-        done = packed.where(settled) if done is None else done.unionByName(packed.where(settled))
-        packed = _packed(spread(open_, shards, round_no), round_no, apart)
-    packed = packed if done is None else done.unionByName(packed)
-    return packed.select("container", "capacity", "bin", "fill", "key", "piece", "tokens")
+    return done.unionByName(packed.select(*columns))
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """For each kind of container: ``container, capacity, bins, pieces, tokens, least_bins, fill_rate``; ``least_bins`` is tokens over capacity, rounded up."""
+def fill_report(packed: DataFrame, *, full: float = FULL) -> DataFrame:
+    """For each kind of container: ``container, capacity, bins, pieces, tokens, least_bins, fill_rate, settled_from``.
+
+    ``least_bins`` is tokens over capacity, rounded up; ``settled_from`` is the fill from which packing left a bin as it was, the ``full`` it was packed with.
+    """
     bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = bins.groupBy("container", "capacity").agg(F.count("*").alias("bins"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"))
-    return total.withColumn("least_bins", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill_rate", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
+    return total.withColumn("least_bins", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill_rate", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6)).withColumn("settled_from", F.lit(float(full)))
+
+
+def invariants(packed: DataFrame, items: DataFrame) -> DataFrame:
+    """For each kind of container: ``container, capacity, items, overfull, split, met, lost``.
+
+    ``items`` is what was packed (``key, tokens, source, cluster``, keys unique). Of the packed pieces: bins above their capacity, items
+    that were split though they fit, bins with two items of one cluster, and tokens that are in no bin; all four are to be 0.
+    """
+    own = items.where("tokens > 0").select(F.col("key").cast("string").alias("key"), F.col("tokens").alias("size"), "cluster")
+    joined = packed.join(own, "key")
+    kind = ["container", "capacity"]
+    bins = joined.groupBy(*kind, "bin").agg(F.sum("tokens").alias("t"), (F.count("cluster") - F.count_distinct("cluster")).alias("m"))
+    per_bin = bins.groupBy(*kind).agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), F.count_if(F.col("m") > 0).alias("met"))
+    pieces = joined.groupBy(*kind, "key", "size").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    per_item = pieces.groupBy(*kind).agg(F.count("*").alias("items"), F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity"))).alias("split"), F.sum(F.col("size") - F.col("t")).alias("lost"))
+    return per_item.join(per_bin, kind).select(*kind, "items", "overfull", "split", "met", "lost")

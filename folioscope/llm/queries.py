@@ -79,16 +79,39 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(sized, "sized-documents")
 
 
+def _containers(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    # a fixed table of three rows
+    return sorted((r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "container_sizes").collect())
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # container_sizes is a fixed table of three rows
-    containers = [(r["container"], r["capacity_tokens"]) for r in table(spark, sf_dir, "container_sizes").collect()]
-    return packing.pack(_sized(spark, sf_dir), sorted(containers))
+    return packing.pack(_sized(spark, sf_dir), _containers(spark, sf_dir))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).withColumn("doc_id", F.col("key").cast("long")).drop("key")
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind of container: items, and what must not be there: overfull bins, small items split, copies of a text together, tokens lost."""
+    sized = _sized(spark, sf_dir)
+    return packing.invariants(packing.pack(sized, _containers(spark, sf_dir)), sized)
+
+
+#: Sources whose texts are kept apart from each other in ``p6_kept_apart``: letters of the regulator and what the company says of itself.
+APART = (("regulator_mail", "earnings_calls"), ("regulator_mail", "proxy_letters"))
+
+
+def p6_kept_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packing with pairs of sources that must not share a container: of each kind its items, bins above capacity, and bins in which such a pair met."""
+    sized = _sized(spark, sf_dir)
+    packed = packing.pack(sized, _containers(spark, sf_dir), apart=APART).join(sized.select(F.col("key").cast("string").alias("key"), "source"), "key")
+    has = lambda s: F.max(F.coalesce((F.col("source") == s).cast("int"), F.lit(0)))
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("t"), F.greatest(*[has(a) + has(b) for a, b in APART]).alias("of_a_pair"))
+    each = bins.groupBy("container", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), F.count_if(F.col("of_a_pair") > 1).alias("met"))
+    return each.join(packed.groupBy("container").agg(F.count_distinct("key").alias("items")), "container").select("container", "capacity", "items", "overfull", "met")
+
+
 def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
@@ -112,6 +135,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
+#: How far a source's tokens may be from its target, as a share of the mixture; of a source with fewer records than ``FEW`` nothing is said.
+WITHIN, FEW = 0.005, 30
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target: its records with text, whether its tokens are within ``WITHIN`` of what the target asks for (null for few records), and whether no record is used more often than allowed."""
+    mixed, plan = _mixed(spark, sf_dir)
+    s = mixing.shares(mixed, plan)
+    missed = F.abs(F.col("used_tokens") - F.col("tokens") * F.col("expected_copies"))
+    return s.select("source", "target_share", "records", F.when(F.col("records") >= FEW, missed <= WITHIN * plan.total).alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def _line_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return languages.line_languages(spread(documents), languages.fit(languages.sample(documents)))
@@ -139,8 +174,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_containers": p6_containers,
     "p6_fill_report": p6_fill_report,
+    "p6_invariants": p6_invariants,
+    "p6_kept_apart": p6_kept_apart,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_stretches": p8_stretches,
     "p8_documents": p8_documents,
@@ -167,7 +205,12 @@ WITH texts AS (SELECT DISTINCT 'chunks.text' AS field_name, chunk_id AS key, tex
 forms AS (SELECT *, {_FORM} AS form FROM texts WHERE t IS NOT NULL)
 SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM forms a JOIN forms b ON a.field_name = b.field_name AND a.form = b.form AND a.key < b.key AND a.t <> b.t WHERE regexp_matches(a.form, '\\S')
 """
+_ITEMS = "(SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS items"
 ORACLE = {
+    "p6_invariants": f"SELECT container, capacity_tokens AS capacity, {_ITEMS}, 0 AS overfull, 0 AS split, 0 AS met, 0 AS lost FROM container_sizes",
+    "p6_kept_apart": f"SELECT container, capacity_tokens AS capacity, {_ITEMS}, 0 AS overfull, 0 AS met FROM container_sizes",
+    "p7_invariants": f"""SELECT source, target_share, records, CASE WHEN records >= {FEW} THEN true END AS share_met, true AS cap_kept
+FROM (SELECT t.source, t.target_share, count(d.doc_id) AS records FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY ALL)""",
     "p2_found": _LINES,
     "p3_found": _SAME,
     "p3_canonical": _SAME.split("SELECT DISTINCT a.")[0] + "SELECT DISTINCT field_name, key, form AS canonical FROM forms WHERE regexp_matches(form, '\\S')",
