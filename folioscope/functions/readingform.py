@@ -62,22 +62,63 @@ def _unfold(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def _table() -> tuple[dict[str, str], re.Pattern[str]]:
-    """What each character that changes becomes, made by rule from the Unicode database."""
-    basic, tags = [*range(0x0, 0xD800), *range(0xF900, 0x10000)], range(0xE0000, 0xE0200)
-    table = {chr(c): new for c in [*basic, *tags] if (new := _unfold(chr(c))) != chr(c)}
-    # one set for the basic plane, which matches by bitmap, and the tags apart from it
-    return table, re.compile("[" + "".join(re.escape(c) for c in table if ord(c) < 0x10000) + "]|[" + chr(tags[0]) + "-" + chr(tags[-1]) + "]")
+    """What each character that changes becomes, made by rule from the Unicode database over all its planes."""
+    table = {}
+    for c in range(0x110000):
+        if 0xAC00 <= c < 0xE000 or 0x4E00 <= c < 0x9FFF or 0x17000 <= c < 0x18D00 or 0x20000 <= c < 0x2F800 or 0x30000 <= c < 0xE0000 or c >= 0xF0000:
+            continue  # syllables, ideographs, surrogates and private characters stay as they are
+        if (new := _unfold(ch := chr(c))) != ch:
+            table[ch] = new
+    # one set for the basic plane, which matches by bitmap, and one of ranges for the others
+    ranges: list[list[int]] = []
+    for c in sorted(ord(x) for x in table if ord(x) > 0xFFFF):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    beyond = "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+    return table, re.compile("[" + "".join(re.escape(c) for c in table if ord(c) < 0x10000) + "]|[" + beyond + "]")
+
+
+def unfolded(text: str) -> str:
+    """The text without width, joining, kinds of spaces, foreign look-alikes and what cannot be seen; accents as they are stored."""
+    table, hit = _table()
+    return hit.sub(lambda m: table[m[0]], text)
 
 
 def reading_form(text: str | None) -> str | None:
     """Reading form of one text (see the module)."""
     if text is None:
         return None
-    table, hit = _table()
-    text = hit.sub(lambda m: table.get(m[0], m[0]), text)
+    text = unfolded(text)
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
+# Blocks of letters and accents that the collation UNICODE tells apart as readers do: Latin, Cyrillic, kana, ideographs, Hangul.
+_COLLATED = ("\x00\x7f", "\u00c0\u00d6", "\u00d8\u00f6", "\u00f8\u017e", "\u0180\u01bd", "\u01cd\u01f0", "\u01f4\u024f", "\u0300\u0304", "\u0306\u030c", "\u0400\u0481", "\u048a\u052f", "\u1e00\u1e99", "\u1ea0\u1eff", "\u3041\u3094", "\u3099\u309a", "\u30a1\u30fa", "\u4e00\u9ffc", "\uac00\ud7a3")
+_OTHERS = re.compile("[^" + "".join(f"{a[0]}-{a[1]}" for a in _COLLATED) + "]")
+_MARKS_IN_A_ROW = re.compile("[\u0300-\u036f\u3099\u309a]{2}")
+
+
+@lru_cache(maxsize=65_536)
+def _apart(ch: str) -> str:
+    code = ord(ch)
+    if 0xD800 <= code < 0xF900 or code > 0x1FFFF:  # private already, or in no plane with room: spelled out
+        return f"\uf8fe{code:x};"
+    return chr(0xF0000 + code) if code < 0x10000 else chr(0x100000 + (code & 0xFFFF))
+
+
+def for_collation(text: str) -> str:
+    """An unfolded text such that the collation UNICODE holds two of them equal exactly if they read the same.
+
+    The collation compares letters and their accents in any form of storage. It also holds digits of different scripts,
+    some symbols and rare letters equal, and leaves some marks out: whatever is not in ``_COLLATED`` goes to characters for private use, one each.
+    """
+    if not _OTHERS.search(text) and not _MARKS_IN_A_ROW.search(text):
+        return text
+    return _OTHERS.sub(lambda m: _apart(m[0]), unicodedata.normalize("NFC", text))
+
+
 def reading_form_col(col: Column | str) -> Column:
     """Reading form of a column, over Arrow batches; null stays null."""
 

@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscope.functions.readingform import LOOKALIKES, reading_form, reading_form_col, reading_form_sql
+from folioscope.functions.readingform import LOOKALIKES, for_collation, reading_form, reading_form_col, reading_form_sql, unfolded
 
 
 def test_what_makes_no_difference_and_what_does():
@@ -16,6 +16,20 @@ def test_what_makes_no_difference_and_what_does():
     for a, b in (("Cafe", "café"), ("m²", "m2"), ("a.", "a"), ("A", "a"), ("…", "..."), ("½", "1/2")):
         assert reading_form(a) != reading_form(b)
     assert reading_form(None) is None and reading_form("") == ""
+    assert reading_form("a\U0001d173b\U000e0041") == "ab"  # signs beyond the first plane that cannot be seen
+
+
+def test_the_collation_tells_texts_apart_exactly_as_reading_does(spark):
+    rows = []
+    for c in [*range(1, 0xD800), *range(0xE000, 0x1FFFF, 3), *range(0xE0000, 0xE0200)]:
+        if unicodedata.category(chr(c)) != "Cn":
+            for form in ("NFC", "NFD"):
+                text = "a" + unicodedata.normalize(form, chr(c)) + "b"
+                rows.append((for_collation(unfolded(text)), reading_form(text)))
+    spark.createDataFrame(rows, "t string, f string").createOrReplaceTempView("texts")
+    assert spark.sql("SELECT count(*) FROM texts GROUP BY t COLLATE UNICODE HAVING count(DISTINCT f) > 1").isEmpty()
+    assert spark.sql("SELECT count(*) FROM texts GROUP BY f HAVING count(DISTINCT t COLLATE UNICODE) > 1").isEmpty()
+    assert not spark.sql("SELECT count(*) FROM texts GROUP BY f HAVING count(DISTINCT t) > 1").isEmpty()  # the characters alone do not tell
 
 
 @settings(max_examples=200, deadline=None)
