@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.readingform import reading_form_sql
 from folioscope.llm import languages, look_alikes, mixing, packing, pairs, repeated_lines
 from folioscope.llm.shared import written
 from folioscope.llm.tokens import token_count
@@ -32,17 +31,33 @@ def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_lines(chunks.select("chunk_id", "doc_id", "page_num", "text"), confirmed, "doc_id", "text").drop("text")
 
 
-def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = look_alikes.keyed_forms(spread(table(spark, sf_dir, "chunks")), "chunk_id", "text", "chunks.text")
-    return chunks.unionByName(look_alikes.keyed_forms(spread(table(spark, sf_dir, "grading_baseline_dense")), "grade_id", "generated_answer", "generated_answer"))
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[DataFrame, str, str, str]]]:
+    sources = [(spread(table(spark, sf_dir, "chunks")), "chunk_id", "text", "chunks.text"), (spread(table(spark, sf_dir, "grading_baseline_dense")), "grade_id", "generated_answer", "generated_answer")]
+    keyed = [look_alikes.keyed_texts(*s) for s in sources]
+    return written(keyed[0].unionByName(keyed[1]), "keyed-texts"), sources
+
+
+def _classes(texts: DataFrame, sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
+    return look_alikes.classes(texts, [(df, text, field) for df, _, text, field in sources])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return look_alikes.same_reading_pairs(_forms(spark, sf_dir))
+    texts, sources = _texts(spark, sf_dir)
+    return look_alikes.same_reading_pairs(texts, _classes(texts, sources))
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return look_alikes.canonical_texts(_forms(spark, sf_dir))
+    """Every text as the canonical member of its class."""
+    texts, sources = _texts(spark, sf_dir)
+    found = _classes(texts, sources)
+    a, b = (look_alikes.canonical_texts(*s, found) for s in sources)
+    return a.unionByName(b)
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key with the number of members of its class that have another text: the scalable form of the pairs."""
+    texts, sources = _texts(spark, sf_dir)
+    return look_alikes.members(texts, _classes(texts, sources)).groupBy("field_name", "key").agg(F.max("links").alias("links"))
 
 
 def _top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +184,7 @@ QUERIES = {
     "p2_clean_text": p2_clean_text,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_top_pages": p4_top_pages,
     "p5_found": p5_found,
@@ -192,7 +208,30 @@ WITH page AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY run_label, qid ORDER BY top_score DESC, doc_id, page_num) AS INTEGER) AS top_rank FROM page
 )
 """
-_FORM = reading_form_sql("t")
+# Letters and the Latin letter of the same shape, written out for the SQL, which does not use the library's own table.
+_LIKE = [
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳόΌΆΈΊΎ", "ABEZHIKMNOPTYXCJovcjóÓÁÉÍÝ"),
+    ("АВЕЅІЈКМНОРСТУХѴҺԀԚԜӀ", "ABESIJKMHOPCTYXVHDQWI"),
+    ("аеорсухѕіјѵһԁԛԝӏ", "aeopcyxsijvhdqwl"),
+    ("ЁёЇїЀѐ", "ËëÏïÈè"),
+    ("ՕՏԼՍօսհո", "OSLUouhn"),
+    ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))),
+]
+_JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _read_as(column: str) -> str:
+    """SQL of what a text reads as, by other means than the library's."""
+    sql = column
+    for joined, letters in _JOINED.items():
+        sql = f"replace({sql}, '{joined}', '{letters}')"
+    quoted = lambda t: t.replace("'", "''")
+    sql = f"translate({sql}, '{quoted(''.join(a for a, _ in _LIKE))}', '{quoted(''.join(b for _, b in _LIKE))}')"
+    sql = rf"regexp_replace({sql}, '[\p{{Cf}}\x{{34f}}\x{{180b}}-\x{{180d}}\x{{fe00}}-\x{{fe0f}}\x{{e0100}}-\x{{e01ef}}\x00-\x08\x0e-\x1f\x7f]', '', 'g')"
+    return rf"nfc_normalize(regexp_replace({sql}, '\p{{Zs}}', ' ', 'g'))"
+
+
+_FORM = _read_as("t")
 _LINES = f"""
 WITH rows AS (SELECT DISTINCT chunk_id, doc_id, page_num, text FROM chunks WHERE text IS NOT NULL),
 split AS (SELECT chunk_id, doc_id, page_num, i AS line_no, lines[i] AS t FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM rows))),
@@ -213,7 +252,9 @@ ORACLE = {
 FROM (SELECT t.source, t.target_share, count(d.doc_id) AS records FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY ALL)""",
     "p2_found": _LINES,
     "p3_found": _SAME,
-    "p3_canonical": _SAME.split("SELECT DISTINCT a.")[0] + "SELECT DISTINCT field_name, key, form AS canonical FROM forms WHERE regexp_matches(form, '\\S')",
+    "p3_canonical": _SAME.split("SELECT DISTINCT a.")[0] + "SELECT DISTINCT field_name, key, min(t) OVER (PARTITION BY field_name, form) AS canonical FROM forms WHERE regexp_matches(form, '\\S')",
+    "p3_links": _SAME.split("SELECT DISTINCT a.")[0] + """, seen AS (SELECT DISTINCT field_name, key, t, form FROM forms WHERE regexp_matches(form, '\\S'))
+SELECT field_name, key, max(links) AS links FROM (SELECT field_name, key, count(*) OVER (PARTITION BY field_name, form) - count(*) OVER (PARTITION BY field_name, form, t) AS links FROM seen) GROUP BY field_name, key""",
     "p4_found": _TOP_PAGES + "SELECT run_label, qid, doc_id, page_num FROM ranked WHERE top_rank <= 10",
     "p4_top_pages": _TOP_PAGES + "SELECT run_label, qid, doc_id, page_num, top_score, top_rank FROM ranked WHERE top_rank <= 10",
 }
