@@ -1,11 +1,15 @@
 """Quantities recorded in different units, brought to one common unit for each kind.
 
 Every figure in a text is read with what the text says of its unit. The readings of one figure (the
-*device* is the question asked: its gold answer first, then every answer given to it) form a series.
-A hidden Markov model over that series has the unit as its hidden state: a reading's log value plus
-the log of the state's factor is the underlying level, which should be smooth; a unit named in the
-text is strong evidence for its state, a missing one leaves the choice to the jumps of the log
-value. Viterbi decodes the states, and the value in the common unit follows from the state.
+*device* is the question asked: its gold answer, and every answer given to it) are those of one level.
+A hidden Markov model has the unit as its hidden state: a reading's log value plus the log of the state's
+factor is the level, which should stay as it was from one reading to the next; what a text says of its unit is evidence for
+a state, and how strong depends on how it says it. Viterbi decodes the states, and the value in the common unit follows.
+
+The readings of a question form a tree: every answer's figures are a chain that begins with the gold answer. For each
+state of the gold figure, Viterbi gives the best path through an answer and its score; the scores of all answers are
+added up, which tasks do before the shuffle, and the best state of the gold figure decides which paths hold. So the
+result is the likeliest assignment of the whole question, however many answers it has and however they are spread.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.readingform import reading_form
+from folioscope.lineage import is_small, written
 
 # For each kind its common unit, and what one of each unit is in it.
 COMMON = {"money": "USD", "share": "fraction", "weight": "kg", "area": "m2", "energy": "kWh", "volume": "m3", "length": "m", "term": "month"}
@@ -57,7 +63,8 @@ _TAIL = re.compile(
     rf"(?:\s?\((?:(?:USD|US\$|\$|dollars)\s+)?in\s+(?P<behind>{_SCALE})(?:\s+of\s+(?:{_DOLLARS}))?\))?(?P<whole>\s*\bin\s+whole\s+dollars)?",
     re.I,
 )
-_NOT_A_QUANTITY = re.compile(r"(?:\b(?:pages?|pp?\.|notes?|item|FY|fiscal(?:\s+year)?|year|December|January|February|March|April|May|June|July|August|September|October|November)\s*\d{0,2},?\s*)$", re.I)
+_LABEL = r"\b(?:pages?|pp?\.|notes?|item|FY|fiscal(?:\s+year)?|year|December|January|February|March|April|May|June|July|August|September|October|November)"
+_LABELLED = (re.compile(_LABEL + r"\s*(?=\d)", re.I), re.compile(_LABEL + r"\s*\d{1,2}(?:,\s*|\s+)(?=\d)", re.I))
 _ASKED = re.compile(rf"\bUSD\s+(?:in\s+)?(?P<a>{_SCALE})\b|\b(?P<b>{_SCALE})\s+of\s+(?:{_DOLLARS})\b|\(in\s+(?P<c>{_SCALE})\)|\bin\s+(?P<whole>whole\s+(?:US\s+)?dollars|(?:US\s+)?dollars|USD)\b(?!\s+(?:in\s+)?(?:{_SCALE}))|(?:\(|\bin\s+)(?:(?P<us>{_SCALE})\s+)?(?:of\s+)?(?P<u>{_UNIT})(?=\s*[).?,;]|$)", re.I)
 _SPACES = re.compile(r"\s+")
 
@@ -84,6 +91,7 @@ def quantities(text: str | None) -> list[tuple[str, str, float, float]]:
     without a unit are left out.
     """
     text, out, done = reading_form(text) or "", [], 0
+    labels = {x.end() for r in _LABELLED for x in r.finditer(text)}
     for m in _NUMBER.finditer(text):
         if m.start("num") < done:  # it belongs to the unit before
             continue
@@ -111,7 +119,7 @@ def quantities(text: str | None) -> list[tuple[str, str, float, float]]:
             factor *= scale or 1.0
         elif scale:
             factor = scale
-        elif _NOT_A_QUANTITY.search(text, max(0, m.start() - 24), m.start("num")) or re.fullmatch(r"(?:19|20)\d\d", m["num"]):
+        elif m.start("num") in labels or re.fullmatch(r"(?:19|20)\d\d", m["num"]):
             continue
         out.append((text[m.start() : max(end, t.end())].strip(), kind, value, factor))
     return out
@@ -119,152 +127,174 @@ def quantities(text: str | None) -> list[tuple[str, str, float, float]]:
 
 # --- the hidden Markov model ---------------------------------------------------------------------
 
-NAMED, ASKED, SWITCH, WALK, FARTHEST = 2000.0, 6.0, 0.05, 0.35, 8.0
+#: Cost of a state other than the one evidence is for: what the text of an answer states, what a gold answer states or its question asks for, and what an answer may mean without a word of it.
+STATED, GOLD, MEANT = 14.0, 60.0, 4.0
+#: Chance of another unit in the next reading, width of a jump of the level that counts as none, and the cost of one that is.
+SWITCH, WALK, OUTLIER = 0.05, 0.02, 10.0
+#: Scales of money.
+MONEY = (1.0, 1e3, 1e6, 1e9, 1e12)
 
+_BASE = {kind: sorted(set(units.values())) for kind, units in UNITS.items()} | {"money": list(MONEY)}
 
-def decode(readings: list[tuple[float, float]], states: list[float], asked: float = 0.0) -> list[float]:
-    """Most likely factor of each reading (number, named factor or 0), by Viterbi.
 
-    The level is log|number * factor|. Going from one reading to the next costs the squared jump of
-    the level over twice ``WALK`` squared (jumps beyond ``FARTHEST`` count as that), and a switch of
-    the unit costs -log(``SWITCH``). A named unit makes every other state cost ``NAMED``, more than any
-    two jumps, so what a text says of its unit always holds; where none
-    is named, states other than the asked one cost ``ASKED`` for the first reading, which is the gold
-    answer, and a tenth of it later. Ties go to the smaller factor. A zero has no level and adds no jump.
+def _same(a: float, b: float) -> bool:
+    return math.isclose(a, b, rel_tol=1e-9)
+
+
+def states_of(kind: str, *more: float) -> list[float]:
+    """The factors that a reading may have: those of the kind's units, and of other ones that are named."""
+    out = list(_BASE[kind])
+    out += [f for k, f in enumerate(more) if f and not any(_same(f, s) for s in [*out, *more[:k]])]
+    return sorted(out)
+
+
+def branches(numbers: list[float], costs: np.ndarray, states: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Viterbi from the end of a chain: for each state of its first reading, the best score of the rest, and the states of that path.
+
+    ``costs`` has for each reading what each state costs. Going from one reading to the next costs the squared jump of the
+    level log|number * factor| over twice ``WALK`` squared, ``OUTLIER`` at most, and -log(``SWITCH``) where the
+    state is another. A zero has no level and adds no jump. Ties go to the smaller factor.
     """
-    best: list[float] = []
-    paths: list[list[int]] = []
-    for i, (number, named) in enumerate(readings):
-        if named:
-            emit = [0.0 if math.isclose(s, named, rel_tol=1e-9) else -NAMED for s in states]
-        elif asked:
-            emit = [0.0 if math.isclose(s, asked, rel_tol=1e-9) else -(ASKED if i == 0 else ASKED / 10) for s in states]
+    n, m = len(numbers), len(states)
+    logs = np.log(np.array(states))
+    score, came = np.zeros(m), []
+    switch = np.where(np.eye(m, dtype=bool), 0.0, -math.log(SWITCH))
+    for i in range(n - 2, -1, -1):
+        step = -switch - costs[i + 1][None, :] + score[None, :]
+        if numbers[i] and numbers[i + 1]:
+            jump = (math.log(abs(numbers[i + 1])) + logs[None, :]) - (math.log(abs(numbers[i])) + logs[:, None])
+            step = step - np.minimum(jump**2 / (2 * WALK**2), OUTLIER)
+        best = step.argmax(axis=1)
+        score = step[np.arange(m), best]
+        came.append(best)
+    paths = np.empty((m, n), dtype=int)
+    paths[:, 0] = np.arange(m)
+    for i, best in enumerate(reversed(came), 1):
+        paths[:, i] = best[paths[:, i - 1]]
+    return score, paths
+
+
+def _costs(chain: list[dict], states: list[float], asked: float) -> np.ndarray:
+    """What each state costs each reading: the stated unit has its evidence; a gold answer without one takes the unit asked for, else plain dollars; an answer without one may mean either."""
+    out = np.zeros((len(chain), len(states)))
+    for i, r in enumerate(chain):
+        gold = r["field"] == "gold"
+        if r["named"]:
+            meant, cost = (r["named"],), GOLD if gold else STATED
+        elif gold:
+            meant, cost = (asked or 1.0,), GOLD
         else:
-            emit = [0.0] * len(states)
-        if i == 0:
-            best = emit
-            continue
-        before, came, now = readings[i - 1][0], [], []
-        for k, s in enumerate(states):
-            options = []
-            for j, r in enumerate(states):
-                jump = abs(math.log(abs(number) * s) - math.log(abs(before) * r)) if number and before else 0.0
-                options.append(best[j] - min(jump, FARTHEST) ** 2 / (2 * WALK**2) + (0.0 if j == k else math.log(SWITCH)))
-            j = max(range(len(options)), key=lambda x: (options[x], -x))
-            came.append(j)
-            now.append(options[j] + emit[k])
-        best = now
-        paths.append(came)
-    if not best:
-        return []
-    k = max(range(len(best)), key=lambda x: (best[x], -x))
-    order = [k]
-    for came in reversed(paths):
-        k = came[k]
-        order.append(k)
-    return [states[k] for k in reversed(order)]
-
-
-READINGS = "array<struct<field:string,written:string,kind:string,number:double,named:double>>"
-
-
-def _read(question: str | None, gold: str | None, answer: str | None) -> dict:
-    asked = asked_unit(question)
-    found = [("gold", *q) for q in quantities(gold)] + [("answer", *q) for q in quantities(answer)]
-    return {"asked_kind": asked[0] if asked else "", "asked": asked[1] if asked else 0.0, "readings": [dict(zip(("field", "written", "kind", "number", "named"), f)) for f in found]}
-
-
-def _series(rows: list[tuple]) -> Iterator[tuple]:
-    """Decodes the rows of one series, (grade_id, asked_kind, asked, readings); the figures of each kind form a chain, in order of rows."""
-    plain = {}
-    for i, (_, asked_kind, asked, readings) in enumerate(rows):
-        gold_kinds = [r["kind"] for r in readings if r["field"] == "gold" and r["kind"]]
-        gold_named = [r for r in readings if r["field"] == "gold"]
-        for j, r in enumerate(readings):
-            kind, named = r["kind"], r["named"]
-            if not kind:  # nothing names a kind: that of the question, else the gold answer's money
-                if asked_kind and (r["field"] == "answer" or len(gold_named) == 1):
-                    kind = asked_kind
-                elif named and gold_kinds[:1] == ["money"] and r["field"] == "answer":
-                    kind = "money"
-                else:
-                    continue
-            if kind == "money" and not named and r["kind"] == "money" and (r["field"] == "answer" or asked_kind != "money"):
-                named = 1.0  # a plain number of dollars
-            plain.setdefault(kind, []).append((i, j, r["number"], named, asked if asked_kind == kind else 0.0))
-    decoded: dict[tuple[int, int], tuple[str, float]] = {}
-    for kind, chain in plain.items():
-        asked = next((c[4] for c in chain if c[4]), 0.0)
-        states = sorted({c[3] for c in chain if c[3]} | ({asked} if asked else set()) | ({1.0, 1e3, 1e6, 1e9} if kind == "money" and any(not c[3] for c in chain) else set()))
-        for c, factor in zip(chain, decode([(c[2], c[3]) for c in chain], states, asked) if states else []):
-            decoded[c[0], c[1]] = kind, factor
-    for i, (grade_id, _, _, readings) in enumerate(rows):
-        done = [(r, *decoded[i, j]) for j, r in enumerate(readings) if (i, j) in decoded]
-        yield grade_id, [{"field": r["field"], "written": r["written"], "kind": kind, "number": r["number"], "named": r["named"], "factor": f, "value": r["number"] * f, "unit": COMMON[kind]} for r, kind, f in done]
-
-
-FIGURES = "array<struct<field:string,written:string,kind:string,number:double,named:double,factor:double,value:double,unit:string>>"
-
-
-def common_units(df: DataFrame, *, longest: int = 256) -> DataFrame:
+            meant, cost = tuple(x for x in (asked, 1.0 if r["kind"] == "money" else 0.0) if x), MEANT
+        if meant:
+            out[i] = [0.0 if any(_same(s, x) for x in meant) else cost for s in states]
+    return out
+
+
+FIGURES = "array<struct<field:string,written:string,kind:string,number:double,named:double,asked:double,factor:double,value:double,unit:string>>"
+#: Of each kind that gold and answer have: the first gold figure, its states, what each costs, and the answer's score for each.
+LEVELS = "array<struct<kind:string,first:double,states:array<double>,costs:array<double>,scores:array<double>>>"
+
+
+def _chains(figures: list[dict]) -> Iterator[tuple[str, list[dict], list[float], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each kind: its figures, their states, costs, and what ``branches`` gives."""
+    kinds: dict[str, list[dict]] = {}
+    for f in figures:
+        kinds.setdefault(f["unit_kind"], []).append(f)
+    for kind, chain in kinds.items():
+        asked = chain[0]["asked"]
+        states = states_of(kind, asked, *[f["named"] for f in chain])
+        costs = _costs(chain, states, asked)
+        yield (kind, chain, states, costs, *branches([f["number"] for f in chain], costs, states))
+
+
+def _figures(question: str | None, gold: str | None, answer: str | None) -> list[dict]:
+    """Figures of both texts with their kind: the one they name, else that of the question, else money where the gold answer is money."""
+    asked_kind, asked = asked_unit(question) or ("", 0.0)
+    found = [dict(zip(("field", "written", "kind", "number", "named"), ("gold", *q))) for q in quantities(gold)]
+    alone, money = len(found) == 1, [f["kind"] for f in found if f["kind"]][:1] == ["money"]
+    found += [dict(zip(("field", "written", "kind", "number", "named"), ("answer", *q))) for q in quantities(answer)]
+    out = []
+    for f in found:
+        answered = f["field"] == "answer"
+        kind = f["kind"] or (asked_kind if asked_kind and (answered or alone) else "money" if f["named"] and money and answered else "")
+        if kind:
+            out.append(f | {"unit_kind": kind, "asked": asked if asked_kind == kind else 0.0})
+    return out
+
+
+def _decoded(figures: list[dict], levels: dict[tuple[str, float], float]) -> tuple[list[dict], list[dict]]:
+    """Figures with their factor and value, and the levels of the kinds that both texts have; ``levels`` has states of gold figures that the whole question decides."""
+    factors, found = {}, []
+    for kind, chain, states, costs, score, paths in _chains(figures):
+        first = chain[0]
+        at = int((score - costs[0]).argmax())
+        if first["field"] == "gold":
+            given = levels.get((kind, first["number"]))
+            at = next((i for i, s in enumerate(states) if given and _same(s, given)), at if given else int((-costs[0]).argmax()))
+            if any(f["field"] == "answer" for f in chain):
+                found.append({"kind": kind, "first": first["number"], "states": states, "costs": [float(c) for c in costs[0]], "scores": [float(x) for x in score]})
+        for f, k in zip(chain, paths[at]):
+            factors[id(f)] = states[k]
+    out = [{k: f[k] for k in ("field", "written", "number", "named", "asked")} | {"kind": f["unit_kind"], "factor": factors[id(f)], "value": f["number"] * factors[id(f)], "unit": COMMON[f["unit_kind"]]} for f in figures]
+    return out, found
+
+
+def common_units(df: DataFrame) -> DataFrame:
     """Figures of every graded answer and its gold answer, in one common unit for each kind.
 
     ``df`` has ``grade_id, qid, question, gold_answer, generated_answer`` (others are ignored).
     Returns ``grade_id, qid, figures``, one row for each distinct ``grade_id``; a repeated row adds
     nothing, and of rows that share a ``grade_id`` and differ, each comes out. A null or empty text
-    has no figures; a null ``qid`` is a series of its own; a null ``grade_id`` stays null.
+    has no figures; rows with a null ``qid`` are a question; a null ``grade_id`` stays null. A figure has
+    ``named``, the factor its text states (0: none), beside ``factor``, the one decoded, so a wrong unit in a text can be seen.
 
-    The series of a question with more than ``longest`` rows is cut by the hash of ``grade_id``
-    into blocks of about that many, each beginning with the gold answer, so no task holds one
-    question's rows beyond that and every row is decoded.
+    Texts are read once. Of the answers' scores only sums cross the shuffle; where they speak against the state that
+    the gold answer has by itself, which is rare, that question's answers are decoded again under the other state.
     """
 
-    @F.pandas_udf(f"asked_kind string, asked double, readings {READINGS}")
+    @F.pandas_udf(f"figures {FIGURES}, levels {LEVELS}")
     def read(question: pd.Series, gold: pd.Series, answer: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read(*x) for x in zip(question, gold, answer)], columns=["asked_kind", "asked", "readings"])
-
-    def viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        key = None
-
-        def flush() -> list[tuple]:
-            unique = {repr(r): r for r in held}
-            return [(g, key[0], f) for g, f in _series(list(unique.values()))] if held else []
-
-        for pdf in batches:
-            out: list[tuple] = []
-            for qid, block, *row in zip(pdf["qid"], pdf["block"], pdf["grade_id"], pdf["asked_kind"], pdf["asked"], pdf["readings"]):
-                if (qid, block) != key or len(held) >= 4 * longest:
-                    out += flush()
-                    held, key = [], (qid, block)
-                held.append((row[0], row[1], row[2], [dict(x) if isinstance(x, dict) else x.asDict() for x in row[3]]))
-            yield pd.DataFrame(out, columns=["grade_id", "qid", "figures"])
-        yield pd.DataFrame(flush(), columns=["grade_id", "qid", "figures"])
+        return pd.DataFrame([_decoded(_figures(*x), {}) for x in zip(question, gold, answer)], columns=["figures", "levels"])
 
     rows = df.select("grade_id", "qid", "question", "gold_answer", "generated_answer")
-    long = rows.groupBy("qid").count().where(F.col("count") > longest).select(F.col("qid").alias("long_qid"), F.ceil(F.col("count") / longest).alias("blocks"))
-    read_rows = rows.select("grade_id", "qid", read("question", "gold_answer", "generated_answer").alias("r")).select("grade_id", "qid", "r.*")
-    return (
-        read_rows.join(long, F.col("qid").eqNullSafe(F.col("long_qid")), "left")
-        .withColumn("block", F.pmod(F.xxhash64("grade_id"), F.coalesce("blocks", F.lit(1))))
-        .drop("long_qid", "blocks")
-        .repartition("qid", "block")
-        .sortWithinPartitions("qid", "block", "grade_id")
-        .mapInPandas(viterbi, f"grade_id string, qid string, figures {FIGURES}")
-    )
+    once = written(rows.select("grade_id", "qid", read("question", "gold_answer", "generated_answer").alias("r")).select("grade_id", "qid", "r.*"), "figures")
+    state = F.explode(F.arrays_zip("l.states", "l.costs", "l.scores")).alias("s")
+    key = ["qid", "kind", "first"]
+    each = once.select("qid", F.explode("levels").alias("l")).select("qid", "l.kind", "l.first", state).select(*key, "s.states", "s.costs", "s.scores")
+    total = each.groupBy(*key, "states").agg((F.sum("scores") - F.max("costs")).alias("total"), F.max("costs").alias("costs"))
+    chosen = total.groupBy(*key).agg(F.max_by("states", F.struct("total", -F.col("states"))).alias("state"), F.max_by("states", F.struct(-F.col("costs"), -F.col("states"))).alias("own"))
+    other = written(chosen.where("state <> own").drop("own"), "other-levels")
+    if other.isEmpty():
+        return once.select("grade_id", "qid", "figures").distinct()
+
+    @F.pandas_udf(FIGURES)
+    def again(question: pd.Series, gold: pd.Series, answer: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([_decoded(_figures(q, g, a), {(x["kind"], x["first"]): x["state"] for x in found})[0] for q, g, a, found in zip(question, gold, answer, levels)], dtype=object)
+
+    # as many entries for a question as it has figures in its gold answers
+    listed = other.groupBy("qid").agg(F.collect_list(F.struct("kind", "first", "state")).alias("levels"))
+    listed = written(listed, "questions-to-decode-again")
+    asked = F.broadcast(listed) if is_small(other) else listed
+    same = rows["qid"].eqNullSafe(listed["qid"])
+    redone = rows.join(asked, same).select("grade_id", rows["qid"], again("question", "gold_answer", "generated_answer", "levels").alias("figures"))
+    kept = once.join(asked.select("qid"), once["qid"].eqNullSafe(listed["qid"]), "left_anti").select("grade_id", "qid", "figures")
+    return kept.unionByName(redone).distinct()
 
 
 def same_figure_other_unit(figures: DataFrame, *, tolerance: float = 0.005) -> DataFrame:
     """``grade_id`` whose answer states a figure of the gold answer's kind, equal to it within ``tolerance`` but in another unit or scale.
 
-    Two spellings of one unit have one factor and are no difference. A gold figure of zero equals zero only.
+    Two spellings of one unit have one factor and are no difference. A gold figure of zero equals zero only. A unit that a text
+    states is taken as stated here, also where the model holds it to be wrong; a gold answer without one takes the unit asked for, else
+    plain dollars; an answer without one takes the unit decoded.
     """
-    of = lambda field: F.filter("figures", lambda x: x["field"] == field)
+    stated = lambda x: F.when(x["named"] > 0, x["named"]).when(x["field"] == "gold", F.when(x["asked"] > 0, x["asked"]).otherwise(1.0)).otherwise(x["factor"])
+    of = lambda field: F.transform(F.filter("figures", lambda x: x["field"] == field), lambda x: F.struct(x["kind"].alias("kind"), x["number"].alias("number"), stated(x).alias("own")))
     match = F.exists(
         "gold",
         lambda g: F.exists(
             "given",
-            lambda a: (a["kind"] == g["kind"]) & (F.abs(a["value"] - g["value"]) <= tolerance * F.abs(g["value"])) & (F.abs(a["factor"] - g["factor"]) > 1e-9 * g["factor"]),
+            lambda a: (a["kind"] == g["kind"]) & (F.abs(a["number"] * a["own"] - g["number"] * g["own"]) <= tolerance * F.abs(g["number"] * g["own"])) & (F.abs(a["own"] - g["own"]) > 1e-9 * g["own"]),
         ),
     )
     return figures.select("grade_id", of("gold").alias("gold"), of("answer").alias("given")).where(match).select("grade_id").distinct()
