@@ -66,7 +66,7 @@ _TAIL = re.compile(
 _LABEL = r"\b(?:pages?|pp?\.|notes?|item|FY|fiscal(?:\s+year)?|year|December|January|February|March|April|May|June|July|August|September|October|November)"
 _LABELLED = (re.compile(_LABEL + r"\s*(?=\d)", re.I), re.compile(_LABEL + r"\s*\d{1,2}(?:,\s*|\s+)(?=\d)", re.I))
 _ASKED = re.compile(rf"\bUSD\s+(?:in\s+)?(?P<a>{_SCALE})\b|\b(?P<b>{_SCALE})\s+of\s+(?:{_DOLLARS})\b|\(in\s+(?P<c>{_SCALE})\)|\bin\s+(?P<whole>whole\s+(?:US\s+)?dollars|(?:US\s+)?dollars|USD)\b(?!\s+(?:in\s+)?(?:{_SCALE}))|(?:\(|\bin\s+)(?:(?P<us>{_SCALE})\s+)?(?:of\s+)?(?P<u>{_UNIT})(?=\s*[).?,;]|$)", re.I)
-_SPACES = re.compile(r"\s+")
+_SPACES, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 
 
 def asked_unit(question: str | None) -> tuple[str, float] | None:
@@ -91,6 +91,8 @@ def quantities(text: str | None) -> list[tuple[str, str, float, float]]:
     without a unit are left out.
     """
     text, out, done = reading_form(text) or "", [], 0
+    if not _DIGIT.search(text):
+        return out
     labels = {x.end() for r in _LABELLED for x in r.finditer(text)}
     for m in _NUMBER.finditer(text):
         if m.start("num") < done:  # it belongs to the unit before
