@@ -37,8 +37,8 @@ def random_rows(seed=3):
     return rows + rows[:40]
 
 
-@pytest.mark.parametrize("counters", [rl.COUNTERS, 4])
-def test_against_brute_force_also_where_summaries_lose(spark, counters):
+@pytest.mark.parametrize("counters", [rl.COUNTERS, 4, 1])
+def test_against_brute_force_also_where_counters_are_shared(spark, counters):
     rows = random_rows()
     assert found(spark, rows, counters=counters)[0] == brute(rows)
 
@@ -55,10 +55,27 @@ def test_empty_table_and_pages_of_one_number(spark):
     assert found(spark, same)[0] == []
 
 
-def test_texts_come_out_without_the_lines(spark):
-    rows = [*[(f"c{i}", "d", i, f"HEAD {i}\nbody {'x' * i}\n\nend of {'y' * i}") for i in range(1, 5)], ("n", "d", 9, None), ("o", None, 1, "HEAD 1"), ("p", "d", 10, "head 77")]
+def test_summaries_prune_and_lose_nothing(spark):
+    rows = [(f"c{i}", "d", i, "\n".join(["HEAD", f"body {i:b}".replace("1", "x").replace("0", "y")])) for i in range(400)]
+    keyed = rl.keyed_rows(table(spark, rows), "id", "doc", "page", "body").repartition(5)
+    left = rl.candidates(keyed, 6)
+    assert left.where(f"key = {rl.line_key('HEAD')}").count() == 400 and left.count() < 420  # of 800 lines
+    assert rl.candidates(keyed, 6, counters=1).count() == 800
+
+
+def test_many_sources_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(rl, "HELD", 2)
+    rows = [(f"c{i}", f"s{i % 9}", i, "HEAD\nbody") for i in range(60)]
+    assert found(spark, rows)[0] == brute(rows)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_texts_come_out_without_the_lines(spark, monkeypatch, small):
+    monkeypatch.setattr(rl, "is_small", lambda keys: small)
+    rows = [*[(f"c{i}", "d", i, f"HEAD {i}\nbody {'x' * i}\n\nend of {'y' * i}") for i in range(1, 5)], ("n", "d", 9, None), ("o", None, 1, "HEAD 1"), ("p", "d", 10, "head 77"), ("q", "d", 11, "")]
     _, confirmed = found(spark, rows)
     clean = {r["id"]: (r["clean_text"], r["lines_removed"]) for r in rl.without_lines(table(spark, rows), confirmed, "doc", "body").collect()}
     assert clean["c1"] == ("body x\n\nend of y", 1) and clean["p"] == ("", 1)
+    assert clean["q"] == ("", 0)
     assert clean["n"] == (None, 0) and clean["o"] == ("HEAD 1", 0)
     assert rl.without_lines(table(spark, rows), confirmed, "doc", "body").columns == ["id", "doc", "page", "body", "keys", "clean_text", "lines_removed"]
