@@ -40,8 +40,8 @@ SEEN_FORMATS = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2,
 WIDTH_AND_JOINING = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
-def _unfold(ch: str) -> str:
-    """The character without width, joining, space kind and alphabet; '' if it cannot be seen."""
+def _unfold(ch: str, letters: bool = True) -> str:
+    """The character without width, joining, space kind and, with ``letters``, alphabet; '' if it cannot be seen."""
     code, kind = ord(ch), unicodedata.category(ch)
     if code in UNSEEN or (kind == "Cf" and code not in SEEN_FORMATS) or (kind == "Cc" and ch not in "\t\n\r\v\f\x85"):
         return ""
@@ -52,7 +52,9 @@ def _unfold(ch: str) -> str:
         plain = "".join(chr(int(x, 16)) for x in parts[1:])
         joined = parts[0] == "<compat>" and kind[0] == "L" and len(plain) > 1 and plain.isalpha()
         if parts[0] in WIDTH_AND_JOINING or joined:
-            return "".join(_unfold(x) for x in plain)
+            return "".join(_unfold(x, letters) for x in plain)
+        return ch
+    if not letters:
         return ch
     if parts:
         mapped = "".join(LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFD", ch))
@@ -60,14 +62,14 @@ def _unfold(ch: str) -> str:
     return LOOKALIKES.get(ch, ch)
 
 
-@lru_cache(maxsize=1)
-def _table() -> tuple[dict[str, str], re.Pattern[str]]:
+@lru_cache(maxsize=2)
+def _table(letters: bool = True) -> tuple[dict[str, str], re.Pattern[str]]:
     """What each character that changes becomes, made by rule from the Unicode database over all its planes."""
     table = {}
     for c in range(0x110000):
         if 0xAC00 <= c < 0xE000 or 0x4E00 <= c < 0x9FFF or 0x17000 <= c < 0x18D00 or 0x20000 <= c < 0x2F800 or 0x30000 <= c < 0xE0000 or c >= 0xF0000:
             continue  # syllables, ideographs, surrogates and private characters stay as they are
-        if (new := _unfold(ch := chr(c))) != ch:
+        if (new := _unfold(ch := chr(c), letters)) != ch:
             table[ch] = new
     # one set for the basic plane, which matches by bitmap, and one of ranges for the others
     ranges: list[list[int]] = []
@@ -86,6 +88,15 @@ def unfolded(text: str) -> str:
     return hit.sub(lambda m: table[m[0]], text)
 
 
+def same_alphabet_form(text: str | None) -> str | None:
+    """Like ``reading_form``, but letters stay in their alphabet."""
+    if text is None or text.isascii() and text.isprintable():
+        return text
+    table, hit = _table(False)
+    text = hit.sub(lambda m: table[m[0]], text)
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
 def reading_form(text: str | None) -> str | None:
     """Reading form of one text (see the module)."""
     if text is None:

@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscope.functions.readingform import LOOKALIKES, for_collation, reading_form, reading_form_col, reading_form_sql, unfolded
+from folioscope.functions.readingform import LOOKALIKES, for_collation, reading_form, reading_form_col, reading_form_sql, same_alphabet_form, unfolded
 
 
 def test_what_makes_no_difference_and_what_does():
@@ -15,6 +15,7 @@ def test_what_makes_no_difference_and_what_does():
     assert reading_form("Velmοra Ѕуstem") == "Velmora System"
     for a, b in (("Cafe", "café"), ("m²", "m2"), ("a.", "a"), ("A", "a"), ("…", "..."), ("½", "1/2")):
         assert reading_form(a) != reading_form(b)
+    assert same_alphabet_form("ﬁ Ｒｏсt\u200b е\u0301") == "fi Roсt е\u0301" and same_alphabet_form(None) is None
     assert reading_form(None) is None and reading_form("") == ""
     assert reading_form("a\U0001d173b\U000e0041") == "ab"  # signs beyond the first plane that cannot be seen
 
