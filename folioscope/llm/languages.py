@@ -1,8 +1,9 @@
 """Languages of documents, of their lines and of stretches of lines, by word-first backoff.
 
 A known word gives its log frequency in every language; an unseen one falls back to its character
-n-grams, the longest that are known first, then shorter ones. The scores of a line's words add up
-to a posterior over the languages, whose highest value is the confidence.
+n-grams, the longest that are known first, then shorter ones, and to its script. The scores of a line's words add
+up to a posterior over the languages, whose highest value is the confidence. The languages are those that the documents'
+labels name; a line of which hardly a word is known in any of them is in none.
 """
 
 from __future__ import annotations
@@ -14,33 +15,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.readingform import reading_form
+from folioscope.functions.readingform import LOOKALIKES, reading_form, same_alphabet_form
 
 # For each language its two-letter code, three-letter codes and English name.
 NAMES = {
-    "en": ("eng", "english"),
-    "de": ("deu", "ger", "german"),
-    "fr": ("fra", "fre", "french"),
-    "es": ("spa", "spanish"),
-    "pt": ("por", "portuguese"),
-    "it": ("ita", "italian"),
-    "nl": ("nld", "dut", "dutch"),
-    "ru": ("rus", "russian"),
-    "ja": ("jpn", "japanese"),
-}
+    "bg": ("bul", "bulgarian"), "ca": ("cat", "catalan"), "cs": ("ces", "cze", "czech"), "da": ("dan", "danish"), "de": ("deu", "ger", "german"), "el": ("ell", "gre", "greek"),
+    "en": ("eng", "english"), "es": ("spa", "spanish"), "et": ("est", "estonian"), "fi": ("fin", "finnish"), "fr": ("fra", "fre", "french"), "hr": ("hrv", "croatian"),
+    "hu": ("hun", "hungarian"), "it": ("ita", "italian"), "ja": ("jpn", "japanese"), "ko": ("kor", "korean"), "lt": ("lit", "lithuanian"), "lv": ("lav", "latvian"),
+    "nl": ("nld", "dut", "dutch"), "no": ("nor", "norwegian"), "pl": ("pol", "polish"), "pt": ("por", "portuguese"), "ro": ("ron", "rum", "romanian"), "ru": ("rus", "russian"),
+    "sk": ("slk", "slo", "slovak"), "sl": ("slv", "slovenian"), "sv": ("swe", "swedish"), "tr": ("tur", "turkish"), "uk": ("ukr", "ukrainian"), "zh": ("zho", "chi", "chinese"),
+}
 _CODES = {name: code for code, names in NAMES.items() for name in (code, *names)}
+#: What stands for a language that none of the labels names.
+UNKNOWN = "und"
 
-#: Documents of each label that the model is fitted on, those of the least hash; at most this many texts of at most ``LINES`` lines reach the driver.
-SAMPLE, LINES = 200, 60
+#: Documents of each label that the model is fitted on, those of the least hash; at most this many texts of at most ``LINES`` lines, those of the least hash, of ``CHARS`` characters each reach the driver.
+SAMPLE, LINES, CHARS = 200, 60, 1000
 LONGEST, SHORTEST = 4, 1
-#: Weight of a word's n-grams against known words, and what a line's log score is multiplied by for the confidence.
-FALLBACK, SMOOTH = 0.5, 0.5
+#: Weights of a word's n-grams against known words, and of a line's log score for the confidence, of which the fit takes what suits held-out lines best; lines held out, one of so many.
+FALLBACKS, SMOOTHS, HELD_OUT = (0.5, 1.0, 1.5), (0.35, 0.5, 0.7, 1.0), 10
+#: A label's language whose words are to this share known in one other language, with a tenth of its lines at most, is a wrong label for that one.
+SWALLOWED = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
 _EAST = re.compile(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿가-힯]")
+_LATIN, _LIKE_LATIN = re.compile(r"[a-zß-öø-ɏ]"), re.compile(r"[Ͱ-ԯԱ-֏]")
+# First and last letters of scripts, by Unicode block.
+_SCRIPTS = (("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
+
+
+def script_of(word: str) -> str:
+    """Script of a word's first letter."""
+    c = ord(word[0])
+    return next((name for name, a, b in _SCRIPTS if a <= c <= b), "other")
 
 
 def language_of_label(label: str | None) -> str | None:
@@ -58,14 +69,29 @@ def label_column(column: str):
     return F.coalesce(names[plain], F.when(plain.rlike(r"^[a-z]{2,3}[-_]\w{2,8}$"), names[F.regexp_extract(plain, r"^([a-z]{2,3})", 1)]))
 
 
+_CYRILLIC = {latin: letter for letter, latin in LOOKALIKES.items() if "а" <= letter <= "я"}
+
+
+def _one_alphabet(word: str) -> str:
+    """A word with letters of two alphabets in one: in that of which it has more letters that look like none of the other, Latin if as many."""
+    cyrillic = sum("а" <= c <= "я" and c not in LOOKALIKES for c in word) - sum(bool(_LATIN.match(c)) and c not in _CYRILLIC for c in word)
+    if cyrillic <= 0:
+        return reading_form(word.upper()).lower()  # more capitals than small letters look alike
+    return "".join(_CYRILLIC.get(c, c) for c in word)
+
+
 def words_of(line: str) -> list[str]:
     """Words of a line in lower case; text written without spaces gives its characters' pairs."""
-    return _words(reading_form(line).lower())
+    return _words(same_alphabet_form(line).lower())
 
 
 def _words(lower: str) -> list[str]:
     words = _WORD.findall(lower)
-    if lower.isascii() or not _EAST.search(lower):
+    if lower.isascii():
+        return words
+    if _LIKE_LATIN.search(lower):
+        words = [_one_alphabet(w) if _LIKE_LATIN.search(w) and _LATIN.search(w) else w for w in words]
+    if not _EAST.search(lower):
         return words
     return [x for w in words for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if _EAST.search(w) else [w])]
 
@@ -77,50 +103,64 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies of words (rows of a matrix) and n-grams, a column for each language."""
+    """Log frequencies of words (rows of a matrix), n-grams and scripts, a value for each language."""
 
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
+    scripts: dict[str, np.ndarray]
+    fallback: float = FALLBACKS[0]
+    smooth: float = SMOOTHS[1]
+    strange: float = 0.0  # a line of four words or more of which a smaller share is known is in no language
 
     def __post_init__(self) -> None:
         self.rows = {w: i for i, w in enumerate(self.words)}
         self.matrix = np.array(list(self.words.values())) if self.words else np.zeros((0, len(self.languages)))
         self.memo: dict[str, np.ndarray] = {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Score of a word that isn't known: of its longest n-grams that are, less where few are; 0 if none is."""
-        if (seen := self.memo.get(word)) is not None:
-            return seen
-        score = np.zeros(len(self.languages))
+    def backoff(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """What the n-grams of a word that isn't known say, the longest that are known, less where few are, and what its script says; 0 where nothing is known."""
+        none = np.zeros(len(self.languages))
+        script = self.scripts.get(script_of(word), none)
         for n in range(min(LONGEST, len(word) + 2), SHORTEST - 1, -1):
             hits = [v for g in _grams(word, n) if (v := self.grams[n].get(g)) is not None]
             if hits:
-                score = FALLBACK * np.mean(hits, axis=0) * min(1.0, len(hits) / 2)
-                break
+                return np.mean(hits, axis=0) * min(1.0, len(hits) / 2), script
+        return none, script
+
+    def unseen(self, word: str) -> np.ndarray:
+        """Score of a word that isn't known."""
+        if (seen := self.memo.get(word)) is not None:
+            return seen
+        grams, script = self.backoff(word)
+        score = self.fallback * grams + script
         if len(self.memo) < 200_000:
             self.memo[word] = score
         return score
 
-    def posteriors(self, lines: list[list[str]]) -> np.ndarray:
-        """Probability of each language for each line of words: the words' scores added up, flattened by ``SMOOTH``. No line may be empty."""
+    def posteriors(self, lines: list[list[str]], smooth: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each line of words the probability of each language, and the share of its words that are known. No line may be empty.
+
+        The words' scores are added up and flattened by ``smooth``."""
         starts = np.cumsum([0, *map(len, lines[:-1])])
         flat = [w for words in lines for w in words]
         rows = [*map(self.rows.get, flat)]
+        known = np.ones(len(rows))
         if None in rows:
             unseen = [k for k, i in enumerate(rows) if i is None]
             at = np.array([-1 if i is None else i for i in rows])
             scores = np.empty((len(rows), len(self.languages)))
             scores[at >= 0] = self.matrix[at[at >= 0]]
             scores[unseen] = [self.unseen(flat[k]) for k in unseen]
+            known[unseen] = 0.0
         else:
             scores = self.matrix[rows]
-        total = SMOOTH * np.add.reduceat(scores, starts, axis=0)
+        total = (self.smooth if smooth is None else smooth) * np.add.reduceat(scores, starts, axis=0)
         p = np.exp(total - total.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return p / p.sum(axis=1, keepdims=True), np.add.reduceat(known, starts) / np.diff([*starts, len(flat)])
 
-    def posterior(self, words: list[str]) -> np.ndarray:
-        return self.posteriors([words])[0]
+    def posterior(self, words: list[str], smooth: float | None = None) -> np.ndarray:
+        return self.posteriors([words], smooth)[0][0]
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[list[dict]]:
         """For each text ``line_no, lang, confidence, words`` of every line that has words. Equal scores go to the first code.
@@ -129,7 +169,7 @@ class LanguageModel:
         held: list[list[tuple[int, list[str]]]] = []
         size = 0
         for text in texts:
-            held.append([(i, words) for i, line in enumerate(reading_form(text or "").lower().split("\n"), 1) if (words := _words(line))])
+            held.append([(i, words) for i, line in enumerate(same_alphabet_form(text or "").lower().split("\n"), 1) if (words := _words(line))])
             size += sum(len(w) for _, w in held[-1])
             if size > 20_000:
                 yield from self._scored(held)
@@ -139,9 +179,12 @@ class LanguageModel:
     def _scored(self, held: list[list[tuple[int, list[str]]]]) -> Iterator[list[dict]]:
         every = [w for lines in held for _, w in lines]
         if every:
-            p = self.posteriors(every)
+            p, known = self.posteriors(every)
             best = p.argmax(axis=1)
             langs, sure = [self.languages[k] for k in best], p[np.arange(len(best)), best].tolist()
+            for k in np.flatnonzero(known < self.strange):
+                if len(every[k]) >= 4:
+                    langs[k], sure[k] = UNKNOWN, 1.0 - float(known[k])
         at = 0
         for lines in held:
             yield [{"line_no": n, "lang": langs[k], "confidence": sure[k], "words": len(w)} for k, (n, w) in enumerate(lines, at)]
@@ -164,38 +207,81 @@ def _table(counts: dict[str, Counter], languages: list[str], floor: float, least
     return out
 
 
-def fit(samples: list[tuple[str, str]], rounds: int = 2) -> LanguageModel:
-    """A model of (label, text) pairs; after the first round a line counts for the language found for it, if that is clear, so wrong labels and mixed texts lose their weight."""
-    languages = sorted({label for label, _ in samples}) or ["en"]
-    lines = [(label, w) for label, text in samples for x in text.split("\n")[:LINES] if (w := words_of(x))]
-    model = None
-    for _ in range(rounds):
-        words, grams = defaultdict(Counter), {n: defaultdict(Counter) for n in range(SHORTEST, LONGEST + 1)}
-        found = model.posteriors([ws for _, ws in lines]) if model and lines else None
-        for k, (label, ws) in enumerate(lines):
-            if found is not None:
-                best = int(found[k].argmax())
-                if found[k, best] < 0.8:
-                    continue
-                label = model.languages[best]
-            words[label].update(ws)
-        for label in languages:
-            for w, n in words[label].items():
-                for size in grams:
-                    for g in _grams(w, size):
-                        grams[size][label][g] += min(n, 20)  # a frequent word doesn't make its letters frequent
-        model = LanguageModel(languages, _table(words, languages, 0.5, 2), {n: _table(grams[n], languages, 0.5, 2) for n in grams})
+def _model(lines: list[tuple[str, list[str]]], languages: list[str]) -> LanguageModel:
+    """A model of (language, words of a line)."""
+    words, scripts, grams = defaultdict(Counter), defaultdict(Counter), {n: defaultdict(Counter) for n in range(SHORTEST, LONGEST + 1)}
+    for label, ws in lines:
+        words[label].update(ws)
+    for label in languages:
+        for w, n in words[label].items():
+            scripts[label][script_of(w)] += n
+            for size in grams:
+                for g in _grams(w, size):
+                    grams[size][label][g] += min(n, 20)  # a frequent word doesn't make its letters frequent
+    return LanguageModel(languages, _table(words, languages, 0.5, 2), {n: _table(grams[n], languages, 0.5, 2) for n in grams}, _table(scripts, languages, 0.5, 1))
+
+
+def _named(lines: list[tuple[str, list[str]]]) -> list[str]:
+    """The languages of the labels, without those that are wrong labels only: few lines, whose words are mostly known in one other language."""
+    words, size = defaultdict(Counter), Counter(label for label, _ in lines)
+    for label, ws in lines:
+        words[label].update(ws)
+    often = {label: {w for w, n in c.items() if n > 1} for label, c in words.items()}
+    share = lambda a, b: sum(n for w, n in words[a].items() if w in often[b]) / max(1, sum(words[a].values()))
+    wrong = {a for a in words for b in words if size[a] * 10 <= size[b] and share(a, b) >= SWALLOWED}
+    return sorted(set(words) - wrong) or ["en"]
+
+
+def _weighted(model: LanguageModel, held: list[tuple[str, list[str]]]) -> None:
+    """Sets the weights that give held-out lines, and their first words alone, the highest mean log probability; and how strange a line must be to be in no language."""
+    at = {lang: k for k, lang in enumerate(model.languages)}
+    parts = [(at[lang], ws[:n]) for lang, ws in held for n in (1, 2, 3, len(ws)) if lang in at]
+    if not parts:
+        return
+    none = np.zeros(len(model.languages))
+    sums = np.array([[sum((model.words[w] for w in ws if w in model.rows), none), *(sum(x, none) for x in zip(*[model.backoff(w) for w in ws if w not in model.rows] or [(none, none)]))] for _, ws in parts])
+    truth = np.array([k for k, _ in parts])
+
+    def mean_log(fallback: float, smooth: float) -> float:
+        total = smooth * (sums[:, 0] + fallback * sums[:, 1] + sums[:, 2])
+        total -= total.max(axis=1, keepdims=True)
+        return float((total[np.arange(len(truth)), truth] - np.log(np.exp(total).sum(axis=1))).mean())
+
+    model.fallback, model.smooth = max(((f, s) for f in FALLBACKS for s in SMOOTHS), key=lambda x: mean_log(*x))
+    shares = [sum(w in model.rows for w in ws) / len(ws) for lang, ws in held if len(ws) >= 4]
+    model.strange = 0.3 * min(shares) if len(shares) >= 200 else 0.0
+
+
+def fit(samples: list[tuple[str, str]]) -> LanguageModel:
+    """A model of (label, text) pairs.
+
+    In a second round a line counts for the language found for it, if that is clear, so wrong labels and mixed texts lose
+    their weight. One line of ``HELD_OUT`` is left out of it, and the weights are those that suit these lines best.
+    """
+    lines = [(label, w) for label, text in samples for x in text.split("\n") if (w := words_of(x))]
+    languages = _named(lines)
+    first = _model([x for x in lines if x[0] in set(languages)], languages)
+    if not lines:
+        return first
+    p, _ = first.posteriors([ws for _, ws in lines])
+    best = p.argmax(axis=1)
+    clear = [(languages[k], ws) for k, ws, row in zip(best, (ws for _, ws in lines), p) if row[k] >= 0.8]
+    held = [xxhash.xxh3_64_intdigest(" ".join(ws)) % HELD_OUT == 0 for _, ws in clear]
+    model = _model([x for x, out in zip(clear, held) if not out], languages)
+    _weighted(model, [x for x, out in zip(clear, held) if out])
     return model
 
 
 def sample(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", each: int = SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most ``each`` documents of each label that names a language: those with the least hash of the key, of which the first ``LINES`` lines are kept."""
+    """(language, text) of at most ``each`` documents of each label that names a language: those with the least hash of the key, and of each the ``LINES`` lines with the least hash, in any order, cut at ``CHARS`` characters."""
     rows = documents.where(F.col(text).isNotNull() & label_column(label).isNotNull())
-    rows = rows.select(label_column(label).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.substring_index(text, "\n", LINES).alias("text"))
-    thin = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = rows.select(label_column(label).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("text"))
+    thin = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     # a threshold on the hash keeps four times the sample at most in each language, before the exact cut
     ranked = rows.join(F.broadcast(thin), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= F.lit(4.0 * each))
-    cut = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= each)
+    hashed = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, CHARS).alias("x")))
+    lines = F.array_join(F.transform(F.slice(F.array_sort(hashed), 1, LINES), lambda x: x["x"]), "\n")
+    cut = ranked.select("lang", "h", lines.alias("text")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= each)
     return [(r["lang"], r["text"]) for r in cut.select("lang", "text").orderBy("lang", "text").collect()]
 
 
@@ -213,7 +299,13 @@ def line_languages(documents: DataFrame, model: LanguageModel, key: str = "doc_i
         for s in texts:
             yield pd.Series([*m.texts(s)], index=s.index, dtype=object)
 
-    return documents.select(F.col(key), label_column(label).alias("label_lang"), lines(F.col(text)).alias("lines"))
+    found = documents.select(F.col(key), label_column(label).alias("label_lang"), lines(F.col(text)).alias("lines"))
+    if not model.strange:
+        return found
+    # a language that only this label names is what an unknown one is
+    named = F.when(F.col("label_lang").isin(model.languages), None).otherwise(F.col("label_lang"))
+    as_named = F.transform("lines", lambda x: x.withField("lang", F.when(x["lang"] == UNKNOWN, F.coalesce(named, F.lit(UNKNOWN))).otherwise(x["lang"])))
+    return found.withColumn("lines", F.when(named.isNull(), F.col("lines")).otherwise(as_named))
 
 
 def mislabelled_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -224,27 +316,23 @@ def mislabelled_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def stretches(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, from_line, to_line, lang, confidence``: runs of lines in one language; lines without words don't end a run. The confidence is the mean of the lines', by words."""
-    begin = F.aggregate(
-        "lines",
-        F.expr("cast(array() as array<struct<from_line:int,to_line:int,lang:string,mass:double,words:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["lang"] == x["lang"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["from_line"].alias("from_line"),
-                        x["line_no"].alias("to_line"),
-                        x["lang"].alias("lang"),
-                        (F.element_at(acc, -1)["mass"] + x["confidence"] * x["words"]).alias("mass"),
-                        (F.element_at(acc, -1)["words"] + x["words"]).alias("words"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["line_no"].alias("from_line"), x["line_no"].alias("to_line"), x["lang"].alias("lang"), (x["confidence"] * x["words"]).alias("mass"), x["words"].alias("words"))))),
-    )
-    runs = lines.select(key, F.explode(begin).alias("s"))
-    return runs.select(key, "s.from_line", "s.to_line", "s.lang", F.round(F.col("s.mass") / F.col("s.words"), 6).alias("confidence"))
+
+    @F.pandas_udf("array<struct<from_line:int,to_line:int,lang:string,confidence:double>>")
+    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for found in s:
+                own = []
+                for x in found if found is not None else ():
+                    mass = x["confidence"] * x["words"]
+                    if own and own[-1]["lang"] == x["lang"]:
+                        own[-1] |= {"to_line": x["line_no"], "mass": own[-1]["mass"] + mass, "words": own[-1]["words"] + x["words"]}
+                    else:
+                        own.append({"from_line": x["line_no"], "to_line": x["line_no"], "lang": x["lang"], "mass": mass, "words": x["words"]})
+                out.append([{"from_line": r["from_line"], "to_line": r["to_line"], "lang": r["lang"], "confidence": round(r["mass"] / r["words"], 6)} for r in own])
+            yield pd.Series(out, index=s.index, dtype=object)
+
+    return lines.select(key, F.explode(runs("lines")).alias("s")).select(key, "s.from_line", "s.to_line", "s.lang", "s.confidence")
 
 
 def document_languages(lines: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import languages, look_alikes, mixing, packing, pairs, repeated_lines
 from folioscope.llm.shared import written
 from folioscope.llm.tokens import token_count
 from folioscope.llm.top_n import top_n_per_group
-from folioscope.session import parallelism, spread
+from folioscope.session import spread
 from folioscope.sources.tables import table
 
 
@@ -79,13 +79,11 @@ GOLD = 3000
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = table(spark, sf_dir, "grading_baseline_dense")
-    flags = table(spark, sf_dir, "answers").groupBy("grade_id").agg(F.max("insufficient_evidence").alias("insufficient_evidence"))
     texts = languages.sample(table(spark, sf_dir, "documents"))
-    gold = graded.where("gold_answer IS NOT NULL").select("gold_answer", F.xxhash64("gold_answer").alias("h")).distinct().orderBy("h", "gold_answer").limit(GOLD)
-    terminal = pairs.TerminalModel.fit([t for _, t in texts] + [r["gold_answer"] for r in gold.collect()])
-    n = parallelism(spark)
-    rows = graded.select("grade_id", "question", "generated_answer").repartition(n, "grade_id").join(flags.repartition(n, "grade_id"), "grade_id", "left")
-    return pairs.defects(rows, languages.fit(texts), terminal)
+    gold = graded.where("gold_answer IS NOT NULL").select("question", "gold_answer", F.xxhash64("gold_answer").alias("h")).distinct().orderBy("h", "gold_answer", "question").limit(GOLD).collect()
+    terminal = pairs.TerminalModel.fit([t for _, t in texts] + [r["gold_answer"] for r in gold])
+    most = pairs.CopyDetector.fit((r["question"] or "", r["gold_answer"]) for r in gold)
+    return pairs.defects(spread(graded), table(spark, sf_dir, "answers"), languages.fit(texts), terminal, copies=most)
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +177,20 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.document_languages(_line_languages(spark, sf_dir))
 
 
+def p8_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document whose label names no language, the lines that came out with one: all that have words."""
+    lines = _line_languages(spark, sf_dir).where("label_lang IS NULL")
+    return languages.mislabelled_lines(lines).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.length("lang") == 2).alias("named"))
+
+
+def p8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document with words, the first and last line of its stretches, and whether neighbours differ in language."""
+    runs = languages.stretches(_line_languages(spark, sf_dir))
+    before = F.lag("lang").over(Window.partitionBy("doc_id").orderBy("from_line"))  # a document's stretches
+    each = runs.select("*", (before.isNull() | (before != F.col("lang"))).alias("differs"))
+    return each.groupBy("doc_id").agg(F.min("from_line").alias("first_line"), F.max("to_line").alias("last_line"), F.min("differs").alias("all_differ"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean_text": p2_clean_text,
@@ -198,6 +210,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_stretches": p8_stretches,
     "p8_documents": p8_documents,
+    "p8_unlabelled": p8_unlabelled,
+    "p8_runs": p8_runs,
 }
 
 _TOP_PAGES = """
@@ -232,13 +246,19 @@ def _read_as(column: str) -> str:
 
 
 _FORM = _read_as("t")
-_LINES = f"""
-WITH rows AS (SELECT DISTINCT chunk_id, doc_id, page_num, text FROM chunks WHERE text IS NOT NULL),
-split AS (SELECT chunk_id, doc_id, page_num, i AS line_no, lines[i] AS t FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM rows))),
-keyed AS (SELECT chunk_id, doc_id, page_num, line_no, regexp_replace(trim(regexp_replace(lower({_FORM}), '\\s+', ' ', 'g')), '[0-9]+', '0', 'g') AS k FROM split),
+_OFTEN = f"""
+numbered AS (SELECT chunk_id, doc_id, page_num, text, row_number() OVER () AS row FROM chunks),
+split AS (SELECT chunk_id, doc_id, page_num, row, i AS line_no, lines[i] AS t FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM numbered WHERE text IS NOT NULL))),
+keyed AS (SELECT *, regexp_replace(trim(regexp_replace(lower({_FORM}), '\\s+', ' ', 'g')), '[0-9]+', '0', 'g') AS k FROM split),
 often AS (SELECT doc_id, k FROM keyed WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT page_num) >= {PAGES})
-SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN often USING (doc_id, k)
 """
+_CLEAN = f"""WITH {_OFTEN},
+marked AS (SELECT k.row, k.line_no, k.t, o.k IS NOT NULL AS drop FROM keyed k LEFT JOIN often o USING (doc_id, k)),
+clean AS (SELECT row, coalesce(string_agg(t, chr(10) ORDER BY line_no) FILTER (WHERE NOT drop), '') AS clean_text, CAST(count(*) FILTER (WHERE drop) AS INTEGER) AS lines_removed FROM marked GROUP BY row)
+SELECT n.chunk_id, n.doc_id, n.page_num, c.clean_text, coalesce(c.lines_removed, 0) AS lines_removed FROM numbered n LEFT JOIN clean c USING (row)
+"""
+_NO_LABEL = "lower(trim(coalesce(lang, ''))) IN ('', 'und', 'unknown')"
+_WORDY = "SELECT doc_id, lang, i AS line_no, lines[i] AS t FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))"
 _SAME = f"""
 WITH texts AS (SELECT DISTINCT 'chunks.text' AS field_name, chunk_id AS key, text AS t FROM chunks UNION SELECT DISTINCT 'generated_answer', grade_id, generated_answer FROM grading_baseline_dense),
 forms AS (SELECT *, {_FORM} AS form FROM texts WHERE t IS NOT NULL)
@@ -250,7 +270,10 @@ ORACLE = {
     "p6_kept_apart": f"SELECT container, capacity_tokens AS capacity, {_ITEMS}, 0 AS overfull, 0 AS met FROM container_sizes",
     "p7_invariants": f"""SELECT source, target_share, records, CASE WHEN records >= {FEW} THEN true END AS share_met, true AS cap_kept
 FROM (SELECT t.source, t.target_share, count(d.doc_id) AS records FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY ALL)""",
-    "p2_found": _LINES,
+    "p2_found": f"WITH {_OFTEN} SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN often USING (doc_id, k)",
+    "p2_clean_text": _CLEAN,
+    "p8_unlabelled": rf"SELECT doc_id, count(*) AS lines, count(*) AS named FROM ({_WORDY}) WHERE {_NO_LABEL} AND regexp_matches(t, '\p{{L}}') GROUP BY doc_id",
+    "p8_runs": rf"SELECT doc_id, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, true AS all_differ FROM ({_WORDY}) WHERE regexp_matches(t, '\p{{L}}') GROUP BY doc_id",
     "p3_found": _SAME,
     "p3_canonical": _SAME.split("SELECT DISTINCT a.")[0] + "SELECT DISTINCT field_name, key, min(t) OVER (PARTITION BY field_name, form) AS canonical FROM forms WHERE regexp_matches(form, '\\S')",
     "p3_links": _SAME.split("SELECT DISTINCT a.")[0] + """, seen AS (SELECT DISTINCT field_name, key, t, form FROM forms WHERE regexp_matches(form, '\\S'))

@@ -32,12 +32,13 @@ def test_labels():
     for label in ("en", "EN", "en-US", "en_GB", "eng", "English", " english "):
         assert L.language_of_label(label) == "en"
     assert L.language_of_label("nld") == L.language_of_label("Dutch") == L.language_of_label("nl-NL") == "nl"
+    assert L.language_of_label("sv-SE") == L.language_of_label("Swedish") == "sv"
     for label in (None, "", "und", "unknown", "xx", "klingon"):
         assert L.language_of_label(label) is None
 
 
 def test_label_column_agrees(spark):
-    labels = ["en", "EN", "pt-BR", "pt_br", "fra", "German", " ja ", "und", "", None, "unknown", "zh-CN", "e", "en-"]
+    labels = ["en", "EN", "pt-BR", "pt_br", "fra", "German", " ja ", "und", "", None, "unknown", "zh-CN", "qq-CN", "e", "en-"]
     df = spark.createDataFrame([(x,) for x in labels], "lang string")
     assert [r[0] for r in df.select(L.label_column("lang")).collect()] == [L.language_of_label(x) for x in labels]
 
@@ -80,3 +81,45 @@ def test_sample_is_bounded_and_the_same_in_any_order(spark):
     b = L.sample(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3), each=5)
     assert a == b and len(a) == 5 * len(SENTENCES)
     assert L.sample(spark.createDataFrame([], SCHEMA)) == [] and L.fit([]).lines("some words") != []
+
+
+def test_a_script_that_one_language_has_is_evidence(model):
+    for text in ("Да, выросла", "Выросла", "нe рaскрывaется"):  # unseen words; Latin letters inside Cyrillic ones
+        [r] = model.lines(text)
+        assert r["lang"] == "ru" and r["confidence"] > 0.9, text
+    assert model.lines("Тhe соmраny")[0]["lang"] == "en"  # look-alikes inside Latin words
+
+
+def lively(n=3000, seed=1):
+    rng = random.Random(seed)
+    return [(lang, " ".join(rng.sample(rng.choice(SENTENCES[lang]).split(" "), k=4))) for lang in [rng.choice(["en", "de", "fr", "ru"]) for _ in range(n)]]
+
+
+SWEDISH = "Företaget rapporterade lägre försäljning under fjärde kvartalet och väntar sig högre kostnader"
+
+
+def test_a_language_that_no_label_names_is_unknown(spark):
+    model = L.fit(lively())
+    assert model.lines(SWEDISH)[0]["lang"] == L.UNKNOWN and model.lines(SENTENCES["de"][0])[0]["lang"] == "de"
+    df = spark.createDataFrame([(1, SWEDISH, "sv", "x"), (2, SWEDISH, "en", "x"), (3, SWEDISH, None, "x")], SCHEMA)
+    assert sorted(tuple(r) for r in L.mislabelled_lines(L.line_languages(df, model)).collect()) == [(2, 1, "und"), (3, 1, "und")]
+
+
+def test_languages_come_from_the_labels():
+    swedish = [("sv", SWEDISH)] * 40
+    assert L.fit(lively() + swedish).lines(SWEDISH)[0]["lang"] == "sv"
+    wrong = [("sv", t) for lang, t in lively(60, 5) if lang == "en"]
+    assert "sv" not in L.fit(lively() + wrong).languages
+
+
+def test_lines_of_a_sampled_text_are_chosen_all_over_it(spark):
+    text = "\n".join(f"line {i} " + "x" * 3000 for i in range(500))
+    [(lang, got)] = L.sample(spark.createDataFrame([(1, text, "en", "x")], SCHEMA))
+    lines = got.split("\n")
+    assert lang == "en" and len(lines) == L.LINES and max(int(x.split(" ")[1]) for x in lines) > 400 and all(len(x) <= L.CHARS for x in lines)
+
+
+def test_long_texts_in_one_pass(spark, model):
+    text = "\n".join([SENTENCES["de"][0], SENTENCES["en"][0]] * 20_000)
+    df = spark.createDataFrame([(1, text, "en", "x")], SCHEMA)
+    assert L.stretches(L.line_languages(df, model)).count() == 40_000
