@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.lineage import written
+from folioscope.operators.best import Best
+
 TOKEN = "[A-Za-z0-9]+"
-#: Questions up to which they are scored as a broadcast matrix, in blocks; beyond, by joining postings.
-BROADCAST_QUESTIONS, QUESTION_BLOCK = 20_000, 2_048
+#: Questions whose terms are sent out at once, to be scored against every chunk where it is; more are scored by joining postings.
+BROADCAST_QUESTIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -45,114 +48,147 @@ def postings(chunks: DataFrame, p: Bm25 = Bm25(), key: str = "chunk_id", text: s
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_size(chunks: DataFrame, p: Bm25 = Bm25(), text: str = "text") -> DataFrame:
-    """One row: ``n`` chunks and their mean length ``avgdl``; chunks without terms count."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text), p.stopwords))).alias("avgdl"))
+@dataclass(frozen=True)
+class Statistics:
+    """What scores need of a corpus: its chunks ``n``, their mean length, and ``df``, a written table of ``term, df``."""
+
+    n: int
+    avgdl: float
+    df: DataFrame
+
+
+def statistics(chunks: DataFrame, p: Bm25 = Bm25(), text: str = "text") -> Statistics:
+    """Counts of all terms and chunks in one pass, combined in each task; chunks without terms count."""
+    listed = chunks.select(tokens(F.col(text), p.stopwords).alias("_t")).select(F.size("_t").alias("dl"), F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit("")))).alias("term"))
+    counted = listed.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
+    table = written(counted, "term-counts")
+    every = table.where("term = ''").first()  # the term that every chunk has
+    n = every["df"] if every else 0
+    return Statistics(n, every["dl"] / n if n else 0.0, table.where("term <> ''").select("term", "df"))
 
 
-def idf(posted: DataFrame, n: int, p: Bm25 = Bm25()) -> DataFrame:
+def idf(s: Statistics, p: Bm25 = Bm25()) -> DataFrame:
     """``term, df, idf``; a negative idf becomes epsilon times the mean over all terms, negative ones included."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = s.df.withColumn("raw", F.log(F.lit(float(s.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(p.epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores_by_postings(chunks: DataFrame, questions: DataFrame, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question") -> DataFrame:
-    """``qid, key, score`` of every chunk that shares a term with a question, by joining postings on terms. Any number of questions."""
-    posted = postings(chunks, p, key)
-    n, avgdl = corpus_size(chunks, p).first()
-    asked = questions.select(qid, F.explode(tokens(F.col(question), p.stopwords)).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
+def asked_terms(questions: DataFrame, p: Bm25 = Bm25(), qid: str = "qid", question: str = "question") -> DataFrame:
+    """``qid, term, qtf``: how often each term stands in each question."""
+    return questions.select(qid, F.explode(tokens(F.col(question), p.stopwords)).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
+
+
+def scores_of(posted: DataFrame, weights: DataFrame, avgdl: float, asked: DataFrame, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid") -> DataFrame:
+    """``qid, key, score`` of every chunk that shares a term with a question, from postings, the terms' idf and the questions' terms.
+
+    Where the asked terms are many, a term that most questions and chunks have is met by a join that AQE splits.
+    """
     gain = F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.lit(avgdl)))
-    weighted = posted.join(idf(posted, n, p), "term").select("term", key, gain.alias("gain"))
+    weighted = posted.join(asked.select("term").distinct(), "term", "left_semi").join(weights, "term").select("term", key, gain.alias("gain"))
     return weighted.join(asked, "term").groupBy(qid, key).agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
 
 
+def scores_by_postings(chunks: DataFrame, questions: DataFrame, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question", stats: Statistics | None = None) -> DataFrame:
+    """``scores_of`` a corpus. Any number of questions."""
+    s = stats or statistics(chunks, p)
+    return scores_of(postings(chunks, p, key), idf(s, p), s.avgdl, asked_terms(questions, p, qid, question), p, key, qid)
+
+
 def top_k(scored: DataFrame, k: int, *, partition: Sequence[str] = ("qid",), key: str = "chunk_id", score: str = "score", digits: int = 9) -> DataFrame:
     """Adds ``rank`` from 1 and keeps the first ``k`` of each partition: by score at ``digits`` decimals, highest first, then by key."""
     order = Window.partitionBy(*partition).orderBy(F.round(F.col(score), digits).desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(chunks: DataFrame, asked: list[tuple[object, str]], k: int, p: Bm25, key: str, weights: dict[str, float], avgdl: float, qid_type: str) -> DataFrame:
-    """Each batch's ``k`` best chunks of each question of one block, by a product of term matrices."""
+def _scan(chunks: DataFrame, asked: list[tuple[object, str]], k: int, p: Bm25, key: str, weights: dict[str, float], avgdl: float, qid_type: str) -> DataFrame:
+    """``qid, key, score``: each task's ``k`` best chunks of each question, those that match nothing with score 0.
+
+    A chunk is read into terms once, whatever the number of questions; the postings of a batch are then added up for one
+    question after the other.
+    """
     stop, find = frozenset(p.stopwords), re.compile(TOKEN).findall
-    vocabulary: dict[str, int] = {}
-    counted = [Counter(t for t in find(q.lower()) if t not in stop and t in weights) for _, q in asked]
-    for c in counted:
-        for t in c:
-            vocabulary.setdefault(t, len(vocabulary))
-    matrix = np.zeros((len(vocabulary), len(asked)))
-    for j, c in enumerate(counted):
-        for t, n in c.items():
-            matrix[vocabulary[t], j] = n * weights[t]
-    shared = chunks.sparkSession.sparkContext.broadcast((vocabulary, matrix, [q for q, _ in asked]))
+    terms: dict[str, int] = {}
+    listed = []
+    for _, text in asked:
+        counts = Counter(t for t in find(text.lower()) if t not in stop and t in weights)
+        listed.append([(terms.setdefault(t, len(terms)), n * weights[t]) for t, n in counts.items()])
+    shared = chunks.sparkSession.sparkContext.broadcast((terms, listed, [q for q, _ in asked]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, weighted, names = shared.value
-        names = np.array(names, dtype=object)
+        words, questions, names = shared.value
+        best = Best(len(questions), k, p.digits)
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
-                gain = np.zeros((len(part), len(words)))
-                for i, text in enumerate(part["text"]):
-                    found = [t for t in find((text or "").lower()) if t not in stop]
-                    norm = p.k1 * (1 - p.b + p.b * len(found) / avgdl) if avgdl else p.k1
-                    for t, n in Counter(t for t in found if t in words).items():
-                        gain[i, words[t]] = n * (p.k1 + 1) / (n + norm)
-                score = gain @ weighted
-                rounded = np.round(score, p.digits)
-                keys = part["key"].to_numpy(dtype=object)
-                order = np.argsort(keys, kind="stable")
-                rounded, keys, score = rounded[order], keys[order], score[order]
-                best = np.argsort(-rounded, axis=0, kind="stable")[:k]
-                rows, cols = best.ravel(), np.tile(np.arange(len(names)), len(best))
-                yield pd.DataFrame({"qid": names[cols], "key": keys[rows], "score": score[rows, cols]})
+            keys = pdf["key"].to_numpy(dtype=object)
+            order = np.argsort(keys, kind="stable")
+            texts, keys = pdf["text"].to_numpy(dtype=object)[order], keys[order]
+            rows: dict[int, list[int]] = {}
+            gains: dict[int, list[float]] = {}
+            for i, text in enumerate(texts):
+                found = find((text or "").lower())
+                if stop:
+                    found = [t for t in found if t not in stop]
+                norm = p.k1 * (1 - p.b + p.b * len(found) / avgdl) if avgdl else p.k1
+                for t, n in Counter(found).items():
+                    if (w := words.get(t)) is not None:
+                        rows.setdefault(w, []).append(i)
+                        gains.setdefault(w, []).append(n * (p.k1 + 1) / (n + norm))
+            posted = {w: (np.array(r), np.array(gains[w])) for w, r in rows.items()}
+            for q, own in enumerate(questions):
+                score = np.zeros(len(keys))
+                for w, weight in own:
+                    if w in posted:
+                        at, gain = posted[w]
+                        score[at] += weight * gain
+                best.add(q, keys, score)
+        q, keys, scores = best.entries()
+        yield pd.DataFrame({"qid": np.array(names, dtype=object)[q], "key": keys, "score": scores})
 
     rows = chunks.select(F.col(key).alias("key"), F.col("text"))
     return rows.mapInPandas(run, f"qid {qid_type}, key {chunks.schema[key].dataType.simpleString()}, score double")
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question") -> DataFrame:
-    """``qid, key, score, rank``: the ``k`` best chunks of every question; chunks that match nothing fill up with score 0, in the order of their keys.
+def _scanned(chunks: DataFrame, asked: list[tuple[object, str]], k: int, p: Bm25, key: str, qid: str, qid_type: str, s: Statistics) -> DataFrame:
+    wanted = {t for _, q in asked for t in re.findall(TOKEN, q.lower())} - set(p.stopwords)
+    terms = chunks.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "term string")  # of a bounded number of questions
+    weights = {r["term"]: r["idf"] for r in idf(s, p).join(F.broadcast(terms), "term").collect()}
+    found = _scan(chunks, asked, k, p, key, weights, s.avgdl, qid_type).withColumnsRenamed({"qid": qid, "key": key})
+    return top_k(found, k, partition=(qid,), key=key, digits=p.digits)
+
 
-    Chunks must be unique in ``key``; a null text has no terms. Up to ``BROADCAST_QUESTIONS``
-    questions are broadcast as a matrix and scored against each batch of chunks where it is, which shuffles
-    no more than each batch's ``k`` best; beyond that, postings are joined.
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question", stats: Statistics | None = None) -> DataFrame:
+    """``qid, key, score, rank``: the ``k`` best chunks of every question; chunks that match nothing have score 0 and rank by their keys, before those of negative score.
+
+    Chunks must be unique in ``key``, and should be a written table, as they are read more than once; a null text has no terms. Up to ``BROADCAST_QUESTIONS``
+    questions are sent out and scored against each chunk where it is, which shuffles no more than each task's ``k``
+    best. Of more, postings are joined; a question whose k-th chunk so found has no positive score may have
+    chunks of score 0 before it, so such questions are sent out too, in blocks.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    if questions.limit(BROADCAST_QUESTIONS + 1).count() > BROADCAST_QUESTIONS:
-        scored = scores_by_postings(chunks, questions, p, key, qid, question)
-        first = top_k(scored, k, partition=(qid,), key=key, digits=p.digits)
-        short = questions.select(qid).join(first.groupBy(qid).agg(F.max("rank").alias("_have")), qid, "left").where(F.coalesce("_have", F.lit(0)) < k).select(qid)
-        # a question with h < k matches needs no more than k of the first k + h keys
-        lowest = F.array(*[F.lit(r[0]) for r in chunks.select(key).orderBy(key).limit(2 * k).collect()])
-        pad = short.withColumn(key, F.explode(lowest)).join(first.select(qid, key), [qid, key], "left_anti").withColumn("score", F.lit(0.0))
-        return top_k(first.drop("rank").unionByName(pad.select(qid, key, "score")), k, partition=(qid,), key=key, digits=p.digits)
-    asked = [(r[0], r[1] or "") for r in questions.select(qid, question).orderBy(qid).collect()]
-    n, avgdl = corpus_size(chunks, p).first()
-    wanted = {t for _, q in asked for t in re.findall(TOKEN, q.lower())} - set(p.stopwords)
-    weights = {r["term"]: r["idf"] for r in _asked_idf(chunks, n, p, key, wanted)}
-    out = None
-    for at in range(0, max(1, len(asked)), QUESTION_BLOCK):
-        block = _blocks(chunks, asked[at : at + QUESTION_BLOCK], k, p, key, weights, avgdl or 0.0, questions.schema[qid].dataType.simpleString())
-        out = block if out is None else out.unionByName(block)
-    renamed = out.withColumnsRenamed({"qid": qid, "key": key})
-    return top_k(renamed, k, partition=(qid,), key=key, digits=p.digits)
-
-
-def _asked_idf(chunks: DataFrame, n: int, p: Bm25, key: str, wanted: set[str]) -> list:
-    """Rows (term, idf) of the questions' terms; df counts a chunk's distinct terms and is combined in each task."""
-    listed = chunks.select(F.explode(F.array_distinct(tokens(F.col("text"), p.stopwords))).alias("term"))
-    df = listed.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    table = chunks.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "term string")
-    # one scan gives the mean over all terms and the terms asked for
-    flagged = raw.join(F.broadcast(table.withColumn("asked", F.lit(True))), "term", "left")
-    both = flagged.agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("terms")).first()
-    mean = both["mean"] or 0.0
-    return [{"term": r["term"], "idf": r["raw"] if r["raw"] >= 0 else p.epsilon * mean} for r in both["terms"]]
+    s = stats or statistics(chunks, p)
+    qid_type = questions.schema[qid].dataType.simpleString()
+    if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+        asked = [(r[0], r[1] or "") for r in questions.select(qid, question).orderBy(qid).collect()]
+        return _scanned(chunks, asked, k, p, key, qid, qid_type, s)
+    return completed(top_k(scores_by_postings(chunks, questions, p, key, qid, question, s), k, partition=(qid,), key=key, digits=p.digits), chunks, questions, k, p, key, qid, question, s)
+
+
+def completed(first: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, p: Bm25, key: str, qid: str, question: str, s: Statistics) -> DataFrame:
+    """Rankings from postings, with those in which chunks of score 0 may belong made again over all chunks."""
+    first = written(first, "ranked-postings")
+    positive = first.groupBy(qid).agg(F.count_if(F.round("score", p.digits) > 0).alias("_have")).where(F.col("_have") >= k).select(qid)
+    open_ = written(questions.select(qid, question).join(positive, qid, "left_anti"), "questions-with-few-matches")
+    out, block = first.join(positive, qid, "left_semi"), []
+
+    def scanned() -> DataFrame:
+        return _scanned(chunks, block, k, p, key, qid, questions.schema[qid].dataType.simpleString(), s).select(*out.columns)
+
+    for r in open_.toLocalIterator():
+        block.append((r[0], r[1] or ""))
+        if len(block) == BROADCAST_QUESTIONS:
+            out, block = out.unionByName(scanned()), []
+    return out.unionByName(scanned()) if block else out
 
 
 def okapi_idf(n: int, df: int) -> float:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.best import Best
 from folioscope.operators.bm25 import top_k
 
 #: Query vectors that are scored at once as a broadcast matrix, and up to how many are sent out that way.
@@ -18,19 +19,24 @@ QUERY_BLOCK, BROADCAST_QUERIES = 4_096, 65_536
 VECTOR_BLOCK = 50_000
 
 
-def _best(who: np.ndarray, unit: np.ndarray, keys: np.ndarray, vectors: list, k: int, digits: int, self_too: bool) -> pd.DataFrame:
-    """(q, key, score) of the ``k`` vectors nearest to each query; the queries are rows of unit length."""
+def _add(best: Best, unit: np.ndarray, keys: np.ndarray, vectors: list) -> None:
+    """Cosines of a batch's vectors to the queries, the rows of unit length."""
     good = [i for i, v in enumerate(vectors) if v is not None and len(v) == unit.shape[1]]
     if not good:
-        return pd.DataFrame({"q": who[:0], "key": keys[:0], "score": np.zeros(0)})
-    order = np.argsort(keys[good], kind="stable")
-    good = [good[i] for i in order]
+        return
+    good = [good[i] for i in np.argsort(keys[good], kind="stable")]
     m = np.stack([np.asarray(vectors[i], dtype=np.float64) for i in good])
     length = np.linalg.norm(m, axis=1, keepdims=True)
-    score = (m / np.where(length == 0, 1, length)) @ unit.T
-    best = np.argsort(-np.round(score, digits), axis=0, kind="stable")[: k + (not self_too)]
-    rows, cols = best.ravel(), np.tile(np.arange(len(who)), len(best))
-    got = pd.DataFrame({"q": who[cols], "key": keys[good][rows], "score": score[rows, cols]})
+    m = m / np.where(length == 0, 1, length)
+    for at in range(0, len(unit), 256):  # a few queries at a time, so that the scores stay small
+        score = unit[at : at + 256] @ m.T
+        for q in range(len(score)):
+            best.add(at + q, keys[good], score[q])
+
+
+def _entries(best: Best, who: np.ndarray, self_too: bool) -> pd.DataFrame:
+    q, keys, scores = best.entries()
+    got = pd.DataFrame({"q": who[q], "key": keys, "score": scores})
     return got if self_too else got[got["q"] != got["key"]]
 
 
@@ -45,7 +51,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk
 
     Null vectors and such of another length than the query's are left out, a zero vector has score 0 to all; a
     query with a null vector doesn't come out. Up to ``BROADCAST_QUERIES`` queries go out as matrices; every batch
-    of vectors meets them where it is and only its ``k`` best of each query are shuffled. Beyond that, each block of
+    of vectors meets them where it is and only each task's ``k`` best of each query are shuffled. Beyond that, each block of
     vectors meets each block of queries in a group of its own, and the driver holds neither.
     """
     kinds = queries.schema[qid].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
@@ -69,8 +75,11 @@ def _broadcast(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: i
             shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=object), _unit([v for _, v in block])))
 
             def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                who, unit = shared.value
+                best = Best(len(who), k + exclude_self, digits)
                 for pdf in batches:
-                    yield _best(*shared.value, pdf["key"].to_numpy(dtype=object), [*pdf["v"]], k, digits, not exclude_self)
+                    _add(best, unit, pdf["key"].to_numpy(dtype=object), [*pdf["v"]])
+                yield _entries(best, who, not exclude_self)
 
             part = rows.mapInPandas(run, schema)
             out = part if out is None else out.unionByName(part)
@@ -86,7 +95,11 @@ def _blocks(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int,
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         keys, held = vectors["key"].to_numpy(dtype=object), [*vectors["v"]]
-        parts = [_best(q["q"].to_numpy(dtype=object), _unit([*q["v"]]), keys, held, k, digits, not exclude_self) for _, q in queries.groupby("size")]
+        parts = []
+        for _, q in queries.groupby("size"):
+            best = Best(len(q), k + exclude_self, digits)
+            _add(best, _unit([*q["v"]]), keys, held)
+            parts.append(_entries(best, q["q"].to_numpy(dtype=object), not exclude_self))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "key": [], "score": []})
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.lineage import written
 from folioscope.operators import bm25, dense, metrics, ranking
 from folioscope.operators.caches import latest_chunks
+from folioscope.session import parallelism
 from folioscope.sources.tables import table
 
 TOP = 50
@@ -19,6 +21,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_chunks(table(spark, sf_dir, "chunks"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a written table, for plans that read it more than once; its one shuffle leaves a file for each core at least."""
+    rows = table(spark, sf_dir, "chunks").repartition(parallelism(spark), "chunk_id")
+    return written(latest_chunks(rows).select("chunk_id", "doc_id", "page_num", "text"), "corpus")
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.postings(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
 
@@ -28,12 +36,11 @@ def token_counts_nostop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = corpus(spark, sf_dir)
-    return bm25.idf(bm25.postings(chunks), chunks.count()).select("term", "df", F.round("idf", 4).alias("idf"))
+    return bm25.idf(bm25.statistics(corpus(spark, sf_dir))).select("term", "df", F.round("idf", 4).alias("idf"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, p: bm25.Bm25) -> DataFrame:
-    return bm25.retrieve(corpus(spark, sf_dir).select("chunk_id", "text"), table(spark, sf_dir, "golden"), TOP, p)
+    return bm25.retrieve(indexed(spark, sf_dir), table(spark, sf_dir, "golden"), TOP, p)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +53,14 @@ def bm25_topk_nostop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by joining postings, which takes any number of questions; without chunks of score 0."""
-    scored = bm25.scores_by_postings(corpus(spark, sf_dir).select("chunk_id", "text"), table(spark, sf_dir, "golden"))
+    scored = bm25.scores_by_postings(indexed(spark, sf_dir), table(spark, sf_dir, "golden"))
     return bm25.top_k(scored, TOP).select("qid", "rank", "chunk_id")
 
 
 def tier1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval metrics of BM25 for every question: the whole path from texts to figures."""
-    chunks, golden = corpus(spark, sf_dir), table(spark, sf_dir, "golden")
-    ranked = bm25.retrieve(chunks.select("chunk_id", "text"), golden, TOP).join(chunks.select("chunk_id", "doc_id", "page_num"), "chunk_id")
+    chunks, golden = indexed(spark, sf_dir), table(spark, sf_dir, "golden")
+    ranked = bm25.retrieve(chunks, golden, TOP).join(chunks.select("chunk_id", "doc_id", "page_num"), "chunk_id")
     return metrics.per_question(ranking.collapse_to_pages(ranked), golden, SPECS, top_k=TOP)
 
 

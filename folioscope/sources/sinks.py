@@ -1,43 +1,19 @@
-"""Tables and documents written: keyed upserts, frozen rankings, indexes with their policy, sheets, canonical reports."""
+"""Tables and documents written: caches, indexes with their policy, sheets, canonical reports. Keyed and frozen tables are in ``versions``."""
 
 from __future__ import annotations
 
 import hashlib
 import os
 import subprocess
-from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import bm25
-from folioscope.operators.caches import last_wins
 from folioscope.settings import canonical_json
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def _publish(spark: SparkSession, made: str, path: str) -> None:
-    """Moves a finished folder to its place; what was there goes first."""
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
-    fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"{made} could not be moved to {path}")
-
-
-def upsert(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[Column]) -> None:
-    """Merges rows into the Parquet table at ``path``: of each key the first by ``order`` stays. Running it twice changes nothing."""
-    spark = rows.sparkSession
-    every = spark.read.parquet(path).unionByName(rows, allowMissingColumns=True) if _exists(spark, path) else rows
-    last_wins(every, key, order).write.mode("overwrite").parquet(f"{path}.new")
-    _publish(spark, f"{path}.new", path)
+from folioscope.sources.versions import freeze, matches, thaw
 
 
 def append_to_cache(added: DataFrame, path: str) -> None:
@@ -45,31 +21,11 @@ def append_to_cache(added: DataFrame, path: str) -> None:
     added.write.mode("append").parquet(path)
 
 
-def freeze(tables: dict[str, DataFrame], path: str, manifest: dict[str, Any]) -> None:
-    """Writes all tables and the manifest to a folder beside ``path``, then moves that to its place at once."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}.new/{name}")
-    spark.createDataFrame([(canonical_json(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}.new/manifest")
-    _publish(spark, f"{path}.new", path)
-
-
-def thaw(spark: SparkSession, path: str, name: str, expected: dict[str, Any]) -> DataFrame:
-    """A frozen table; raises if the manifest differs from what is expected in any of its entries."""
-    import json
-
-    manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))
-    if wrong := {k: (manifest.get(k), v) for k, v in expected.items() if manifest.get(k) != v}:
-        raise ValueError(f"frozen under another manifest: {wrong}")
-    return spark.read.parquet(f"{path}/{name}")
-
-
 def save_bm25(chunks: DataFrame, path: str, p: bm25.Bm25, fingerprint: str) -> None:
-    """Postings, idf and corpus size as tables, under the policy and fingerprint they were made from."""
-    posted = bm25.postings(chunks, p)
-    n, avgdl = bm25.corpus_size(chunks, p).first()
-    size = chunks.sparkSession.createDataFrame([(n, avgdl or 0.0)], "n long, avgdl double")
-    freeze({"postings": posted, "idf": bm25.idf(posted, n, p), "size": size}, path, policy(p, fingerprint))
+    """Postings, idf, the corpus and its size as tables, under the policy and fingerprint they were made from."""
+    s = bm25.statistics(chunks, p)
+    size = chunks.sparkSession.createDataFrame([(s.n, s.avgdl)], "n long, avgdl double")
+    freeze({"postings": bm25.postings(chunks, p), "idf": bm25.idf(s, p), "size": size, "chunks": chunks.select("chunk_id", "text")}, path, policy(p, fingerprint))
 
 
 def policy(p: bm25.Bm25, fingerprint: str) -> dict[str, Any]:
@@ -78,13 +34,20 @@ def policy(p: bm25.Bm25, fingerprint: str) -> dict[str, Any]:
 
 
 def search_saved(spark: SparkSession, path: str, questions: DataFrame, k: int, p: bm25.Bm25, fingerprint: str) -> DataFrame:
-    """``qid, chunk_id, score, rank`` from a saved index; raises if it was made under another policy or from another corpus."""
+    """``qid, chunk_id, score, rank`` from a saved index, the same that ``bm25.retrieve`` gives; raises if it was made under another policy or from another corpus."""
     table = lambda name: thaw(spark, path, name, policy(p, fingerprint))
     n, avgdl = table("size").first()
-    asked = questions.select("qid", F.explode(bm25.tokens(F.col("question"), p.stopwords)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    gain = F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.lit(avgdl)))
-    scored = table("postings").join(table("idf"), "term").join(asked, "term").groupBy("qid", "chunk_id").agg(F.sum(gain * F.col("qtf")).alias("score"))
-    return bm25.top_k(scored, k)
+    s = bm25.Statistics(n, avgdl, table("idf").select("term", "df"))
+    scored = bm25.scores_of(table("postings"), table("idf").select("term", "idf"), avgdl, bm25.asked_terms(questions, p), p)
+    return bm25.completed(bm25.top_k(scored, k, digits=p.digits), table("chunks"), questions, k, p, "chunk_id", "qid", "question", s)
+
+
+def open_bm25(chunks: DataFrame, path: str, p: bm25.Bm25, fingerprint: str) -> bool:
+    """Makes the saved index at ``path`` fit a corpus: it is kept if policy and fingerprint match, else built again. Says whether it was built."""
+    if matches(chunks.sparkSession, path, policy(p, fingerprint)):
+        return False
+    save_bm25(chunks, path, p, fingerprint)
+    return True
 
 
 def write_sheet(sheet: DataFrame, path: str) -> int:

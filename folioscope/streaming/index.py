@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope.sources.sinks import upsert
+from folioscope.sources.versions import BUCKETS, upsert
 
 
-def merge_stream(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into the table at ``path``: of each chunk id the row ingested last stays. A batch that runs again after a failure changes nothing."""
+def merge_stream(chunks: DataFrame, path: str, checkpoint: str, *, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merges each micro-batch into the keyed table at ``path``: of each chunk id the row ingested last stays. A batch that runs again after a failure changes nothing, and only the buckets it touches are written."""
     order = [F.col("ingested_at").desc_nulls_last(), F.col("text").asc_nulls_last()]
-    writer = chunks.writeStream.foreachBatch(lambda batch, _: upsert(batch, path, ["chunk_id"], order))
+    writer = chunks.writeStream.foreachBatch(lambda batch, _: upsert(batch, path, ["chunk_id"], order, buckets=buckets))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

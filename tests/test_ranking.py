@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 
 from folioscope.operators import bm25, dense, metrics, ranking
+from folioscope.operators.best import Best
 
 CORPUS = ["the acquisition of xilinx closed", "revenue growth was strong", "dividend per share", "tax rate fell", "", "net sales and revenue", "xilinx products", "growth of the dividend"]
 
@@ -44,6 +46,28 @@ def test_bm25_both_ways_against_brute_force(spark, monkeypatch, most, p):
         assert ranked(out, qid) == brute(CORPUS, q or "", 5, p), qid
 
 
+@pytest.mark.parametrize("most", [bm25.BROADCAST_QUESTIONS, 0])
+def test_chunks_that_match_nothing_come_before_negative_scores(spark, monkeypatch, most):
+    monkeypatch.setattr(bm25, "BROADCAST_QUESTIONS", most)
+    texts = ["net sales tax", "net tax tax sales", "sales net tax", "net sales sales tax", "zzz", "net tax sales net", "tax net sales net"]  # nearly all chunks have most terms: the mean idf is negative
+    questions = spark.createDataFrame([("q", "net sales"), ("r", "zzz net")], "qid string, question string")
+    out = bm25.retrieve(chunks(spark, texts), questions, 4)
+    assert out.where("qid = 'q' AND score < 0").count() and ranked(out, "q") == brute(texts, "net sales", 4) and ranked(out, "q")[0] == "004"
+    assert ranked(out, "r") == brute(texts, "zzz net", 4)
+
+
+def test_the_best_of_many_batches_with_ties():
+    rng = np.random.default_rng(3)
+    scores, best, seen = rng.integers(-3, 4, 500) / 2.0, Best(2, 7, 9), []
+    for at in range(0, 500, 60):
+        keys = np.array([f"{i:03}" for i in range(at, min(500, at + 60))], dtype=object)
+        best.add(1, keys, scores[at : at + 60])
+        seen += [*zip(-scores[at : at + 60], keys)]
+    q, keys, got = best.entries()
+    assert set(q) == {1} and sorted(zip(-got, keys)) == sorted(seen)[:7]
+    assert [len(x) for x in Best(3, 2, 9).entries()] == [0, 0, 0]
+
+
 def test_bm25_over_small_tables(spark):
     questions = spark.createDataFrame([("q", "tax")], "qid string, question string")
     assert bm25.retrieve(chunks(spark).where("false"), questions, 3).count() == 0

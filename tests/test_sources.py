@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope import settings as S
 from folioscope.operators import bm25, caches, generation, golden
-from folioscope.sources import files, sinks
+from folioscope.sources import files, sinks, versions
 from folioscope.streaming import index
 
 
@@ -41,13 +41,67 @@ def test_sheet_round_trip(spark, tmp_path):
     assert [tuple(r) for r in back] == rows
 
 
-def test_upsert_is_idempotent(spark, tmp_path):
+def rows_of(spark, *rows):
+    return spark.createDataFrame(rows, "id string, at int, v string")
+
+
+def test_upsert_is_idempotent_and_writes_what_it_touches(spark, tmp_path):
     path, order = str(tmp_path / "t"), [F.col("at").desc()]
-    df = lambda *rows: spark.createDataFrame(rows, "id string, at int, v string")
     for _ in range(2):
-        sinks.upsert(df(("a", 1, "old"), ("b", 1, "b")), path, ["id"], order)
-    sinks.upsert(df(("a", 2, "new"), ("a", 1, "older")), path, ["id"], order)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 2, "new"), ("b", 1, "b")]
+        versions.upsert(rows_of(spark, ("a", 1, "old"), ("b", 1, "b"), *[(f"k{i}", 1, "x") for i in range(30)]), path, ["id"], order, buckets=8)
+    before = versions.current(spark, path)["folders"]
+    versions.upsert(rows_of(spark, ("a", 2, "new"), ("a", 1, "older")), path, ["id"], order)
+    after = versions.current(spark, path)["folders"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    got = {r["id"]: r["v"] for r in versions.read_table(spark, path).collect()}
+    assert len(got) == 32 and got["a"] == "new" and got["b"] == "b"
+    versions.upsert(spark.createDataFrame([("a", 3, 1.5)], "id string, at int, more double"), path, ["id"], order)
+    assert versions.read_table(spark, path).where("id = 'a'").select("more", "v").first() == (1.5, None)
+    versions.upsert(rows_of(spark), path, ["id"], order)
+    assert versions.read_table(spark, path).count() == 32
+    with pytest.raises(ValueError, match="kept by"):
+        versions.upsert(rows_of(spark), path, ["v"], order)
+
+
+def test_a_crash_between_any_two_steps_loses_nothing(spark, tmp_path, monkeypatch):
+    path, order = str(tmp_path / "t"), [F.col("at").desc()]
+    versions.upsert(rows_of(spark, ("a", 1, "old"), ("b", 1, "b")), path, ["id"], order, buckets=2)
+    for step in ("publish", "vacuum"):
+        with monkeypatch.context() as m:
+            m.setattr(versions, step, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+            with pytest.raises(RuntimeError):
+                versions.upsert(rows_of(spark, ("a", 2, "new")), path, ["id"], order)
+        want = {"publish": "old", "vacuum": "new"}[step]  # the manifest's move is what counts
+        assert sorted((r["id"], r["v"]) for r in versions.read_table(spark, path).collect()) == [("a", want), ("b", "b")]
+    versions.upsert(rows_of(spark, ("a", 2, "new")), path, ["id"], order)  # the same rows again
+    assert sorted((r["id"], r["v"]) for r in versions.read_table(spark, path).collect()) == [("a", "new"), ("b", "b")]
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")]) <= 3
+    stale = versions.current(spark, path)
+    with pytest.raises(OSError, match="another writer"):
+        versions.publish(spark, path, stale)
+
+
+def test_freezing_keeps_what_was_frozen_until_all_is_there(spark, tmp_path, monkeypatch):
+    path, df = str(tmp_path / "f"), rows_of(spark, ("a", 1, "x"))
+    versions.freeze({"t": df}, path, {"revision": "r1"})
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            versions.freeze({"t": df}, path, {"revision": "r2"})
+    assert versions.thaw(spark, path, "t", {"revision": "r1"}).count() == 1 and not versions.matches(spark, path, {"revision": "r2"})
+    versions.freeze({"t": df.where("false")}, path, {"revision": "r2"})
+    with pytest.raises(ValueError, match="another manifest"):
+        versions.thaw(spark, path, "t", {"revision": "r1"})
+    with pytest.raises(FileNotFoundError):
+        versions.thaw(spark, str(tmp_path / "none"), "t", {})
+
+
+def test_ensuring_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert versions.ensure_table(spark, path, "id string, vector array<float>", ["id"]) and not versions.ensure_table(spark, path, "id string, vector array<float>", ["id"])
+    assert versions.read_table(spark, path).count() == 0
+    with pytest.raises(ValueError, match="differs"):
+        versions.ensure_table(spark, path, "id string, vector array<double>", ["id"])
 
 
 def test_saved_index(spark, tmp_path):
@@ -60,6 +114,8 @@ def test_saved_index(spark, tmp_path):
     for other in ((p, "f2"), (bm25.Bm25(b=0.5), "f1")):
         with pytest.raises(ValueError, match="another manifest"):
             sinks.search_saved(spark, path, questions, 2, *other)
+    assert order(sinks.search_saved(spark, path, questions, 9, p, "f1")) == order(bm25.retrieve(chunks, questions, 9, p))  # with chunks that match nothing
+    assert not sinks.open_bm25(chunks, path, p, "f1") and sinks.open_bm25(chunks, path, p, "f2") and not sinks.open_bm25(chunks, path, p, "f2")
 
 
 def test_reports_are_the_same_byte_for_byte(spark, tmp_path):
@@ -141,7 +197,7 @@ def test_stream_merges(spark, tmp_path):
     index.merge_stream(stream(), out, ck).awaitTermination(120)
     rows(("a", "D", "new", 9), ("a", "D", "older", 0)).write.mode("append").parquet(src)
     index.merge_stream(stream(), out, ck).awaitTermination(120)
-    assert sorted((r["chunk_id"], r["text"]) for r in spark.read.parquet(out).collect()) == [("a", "new"), ("b", "b")]
+    assert sorted((r["chunk_id"], r["text"]) for r in versions.read_table(spark, out).collect()) == [("a", "new"), ("b", "b")]
     q = index.ingest_counts(stream()).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("rows")).first()[0] == 4
