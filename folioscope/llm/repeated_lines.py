@@ -45,7 +45,7 @@ def line_keys(text: Column) -> Column:
     def keys(texts: pd.Series) -> pd.Series:
         return texts.map(_keys, na_action="ignore")
 
-    return keys(text)
+    return keys.asNondeterministic()(text)  # or exploding the result would make the plan key a text twice
 
 
 def cell(key: Column, counters: int) -> Column:
