@@ -99,7 +99,7 @@ def span_column(text: Column, size: int = SIZE, overlap: int = OVERLAP, unit: st
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": a, "end": b} for a, b in spans(t, size, overlap, unit)])
 
-    return cut(text)
+    return cut.asNondeterministic()(text)  # or exploding the result would make the plan cut a text twice
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, unit: str = UNIT) -> DataFrame:
