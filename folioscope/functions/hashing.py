@@ -33,22 +33,16 @@ def joined_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(NUL, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def fingerprint(df: DataFrame, *columns: str, name: str = "fingerprint") -> DataFrame:
-    """One row: the digest of a table's rows as a set, whatever their order.
-
-    With one column and a corpus that fits a single value this is SHA-256 over the sorted values,
-    each ended by NUL. It needs all of them in one place, so it is meant for id lists of one
-    filing, a word list or a test corpus; for a corpus of any size use ``content_fingerprint``.
-    """
-    value = F.concat_ws(NUL, *[F.col(c).cast("string") for c in columns])
-    return df.agg(F.sha2(F.coalesce(F.concat(F.array_join(F.array_sort(F.collect_list(value)), NUL), F.lit(NUL)), F.lit("")), 256).alias(name))
+def _digest_sum(value: Column, at: int) -> Column:
+    """Sum of fifteen hexadecimal digits of each value's SHA-256, from place ``at``."""
+    return F.coalesce(F.sum(F.conv(F.substring(F.sha2(value, 256), at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
 
 
 def content_fingerprint(df: DataFrame, *columns: str, name: str = "content_fingerprint") -> DataFrame:
-    """One row, ``rows`` and a digest that is summed in each task: two 64-bit hashes of every row added up, with the rows' number.
+    """One row, ``rows`` and the digest of a table's rows as a multiset, whatever their order and place: parts of every row's SHA-256 added up, hashed with the rows' number.
 
-    Unlike the ids alone it changes when a text changes under an unchanged id.
+    Every task adds up its own rows, so nothing is collected. Over ids and texts it changes when a text changes under its id; nulls differ from ''.
     """
-    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]).cast("decimal(38,0)"))
-    sums = df.agg(F.count("*").alias("rows"), F.coalesce(half(1), F.lit(0)).alias("a"), F.coalesce(half(2), F.lit(0)).alias("b"))
-    return sums.select("rows", F.sha2(F.concat_ws(":", "rows", "a", "b"), 256).alias(name))
+    value = F.concat_ws(NUL, *[F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+    sums = df.agg(F.count("*").alias("rows"), _digest_sum(value, 1).alias("a"), _digest_sum(value, 31).alias("b"))
+    return sums.select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias(name))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.bm25 import tokens
 from folioscope.operators.guards import require_empty
 
 
@@ -37,11 +38,26 @@ def cited_texts(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     return context.join(cited.select("grade_id", "doc_id", "page_num").distinct(), ["grade_id", "doc_id", "page_num"], "left_semi").select("grade_id", "chunk_id", "at")
 
 
+def faithfulness(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``grade_id, faithfulness`` without a model: the share of an answer's distinct terms that the chunks it cites have, at six decimals; 0 where it cites none that its context has.
+
+    ``answers`` has ``grade_id, generated_answer, cited_ids, context_ids``, unique in ``grade_id``; ``chunks`` is unique in ``chunk_id``. An answer without terms has 0.
+    """
+    said = answers.select("grade_id", F.array_distinct(tokens(F.col("generated_answer"))).alias("said"), citations(F.col("cited_ids"), F.col("context_ids"))["kept"].alias("kept"))
+    terms = said.select("grade_id", F.explode("said").alias("term"))
+    shown = said.select("grade_id", F.explode("kept").alias("chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id")
+    shown = shown.select("grade_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    found = terms.join(shown, ["grade_id", "term"], "left_semi").groupBy("grade_id").agg(F.count("*").alias("n"))
+    share = F.when(F.size("said") > 0, F.round(F.coalesce("n", F.lit(0)) / F.size("said"), 6)).otherwise(0.0)
+    return said.join(found, "grade_id", "left").select("grade_id", share.alias("faithfulness"))
+
+
 def tier2_report(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``by, group, n, correct_pct, incorrect_pct, refused_pct, mean_citation_validity, scored, uncited, prompt_tokens, completion_tokens``, overall and by answer type.
+    """``by, group, n, correct_pct, incorrect_pct, refused_pct, mean_citation_validity, mean_faithfulness, scored, uncited, prompt_tokens, completion_tokens``, overall and by answer type.
 
-    ``records`` has ``answer_type, verdict, refused, uncited, citation_validity, prompt_tokens, completion_tokens``.
-    Percentages are of all records; citation validity is of those that aren't refusals.
+    ``records`` has ``answer_type, verdict, refused, uncited, citation_validity, faithfulness, prompt_tokens, completion_tokens``.
+    Percentages are of all records; citation validity and faithfulness are of those that aren't refusals, where an answer that cites nothing, or
+    whose faithfulness is not known, counts as 0.
     """
     own = F.explode(F.array(F.lit("overall"), F.col("answer_type"))).alias("group")
     pct = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 1)
@@ -55,6 +71,7 @@ def tier2_report(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             pct(F.col("verdict") == "incorrect").alias("incorrect_pct"),
             pct(F.coalesce(F.col("refused"), F.lit(False))).alias("refused_pct"),
             F.round(F.avg(F.when(answered, F.col("citation_validity"))), 4).alias("mean_citation_validity"),
+            F.round(F.avg(F.when(answered, F.when(F.col("uncited"), 0.0).otherwise(F.coalesce("faithfulness", F.lit(0.0))))), 4).alias("mean_faithfulness"),
             F.count_if(answered).alias("scored"),
             F.count_if(F.col("uncited") & answered).alias("uncited"),
             F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
@@ -103,10 +120,29 @@ def grading_sheet(records: DataFrame) -> DataFrame:
     return records.select("grade_id", "qid", "answer_type", "question", "gold_answer", "generated_answer", "cited_pages", F.sha2("generated_answer", 256).alias("answer_hash"), verdict.alias("human_verdict"))
 
 
-def latency(samples: DataFrame, stage: str, millis: str) -> DataFrame:
-    """``stage, n, p50, p95``, interpolated linearly, two decimals."""
-    p = F.percentile(millis, F.array(F.lit(0.5), F.lit(0.95)))
-    return samples.where(F.col(millis).isNotNull()).groupBy(stage).agg(F.count("*").alias("n"), p.alias("_p")).select(stage, "n", F.round(F.col("_p")[0], 2).alias("p50"), F.round(F.col("_p")[1], 2).alias("p95"))
+def latency(samples: DataFrame, stage: str, millis: str, *, bins: int = 4096) -> DataFrame:
+    """``stage, n, p50, p95``, exact, interpolated linearly, two decimals; NaN counts as no sample.
+
+    Each stage's range is cut into ``bins`` of equal width and counted, which tasks do before the shuffle; only the samples in the bins that hold the
+    ranks on both sides of a percentile are then put in order. Where most samples have one value, equal ones are counted as one row.
+    """
+    rows = samples.where(F.col(millis).isNotNull() & ~F.isnan(millis)).select(F.col(stage).alias("_stage"), F.col(millis).cast("double").alias("_v"))
+    ends = rows.groupBy("_stage").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))  # a row for each stage
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0).cast("int")
+    same = F.col("_stage").eqNullSafe(F.col("_own"))
+    binned = rows.join(ends.withColumnRenamed("_stage", "_own"), same).withColumn("_bin", place).drop("_own")
+    counts = binned.groupBy("_stage", "_n", "_bin").agg(F.count("*").alias("_c"))
+    below = counts.withColumn("_below", F.sum("_c").over(Window.partitionBy("_stage").orderBy("_bin")) - F.col("_c"))  # over a stage's bins
+    ranks = [F.floor((F.col("_n") - 1) * q) + d for q in (0.5, 0.95) for d in (0, 1)]
+    holds = F.exists(F.array(*ranks), lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))
+    wanted = below.where(holds).select(F.col("_stage").alias("_own"), F.col("_bin").alias("_b"), "_below")
+    values = binned.join(wanted, same & (F.col("_bin") == F.col("_b"))).groupBy("_stage", "_n", "_bin", "_below", "_v").agg(F.count("*").alias("_c"))
+    first = F.col("_below") + F.sum("_c").over(Window.partitionBy("_stage", "_bin").orderBy("_v")) - F.col("_c")
+    placed = values.select("_stage", "_n", "_v", first.alias("_first"), "_c")
+    at = lambda r: F.max(F.when((r >= F.col("_first")) & (r < F.col("_first") + F.col("_c")), F.col("_v")))
+    found = placed.groupBy("_stage", "_n").agg(*[at(r).alias(f"_r{k}") for k, r in enumerate(ranks)])
+    between = lambda q, k: F.round(F.col(f"_r{k}") + (F.coalesce(f"_r{k + 1}", f"_r{k}") - F.col(f"_r{k}")) * ((F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)), 2)
+    return found.select(F.col("_stage").alias(stage), F.col("_n").alias("n"), between(0.5, 0).alias("p50"), between(0.95, 2).alias("p95"))
 
 
 def prompt_context(ranked: DataFrame, chunks: DataFrame, top: int) -> DataFrame:

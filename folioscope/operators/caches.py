@@ -51,6 +51,13 @@ def with_metadata(rows: DataFrame, filings: DataFrame, *, strict: bool = True) -
     return bare.join(meta, "doc_id")
 
 
+def with_tickers(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with the ``ticker`` that ``known`` (``name, ticker``, names trimmed, in lower case and unique) has for their ``company``; a company it lacks raises."""
+    named = rows.withColumn("name", F.lower(F.trim("company")))
+    require_empty(named.select("name").distinct().join(known, "name", "left_anti"), "companies have no ticker")
+    return named.join(known.select("name", "ticker"), "name").drop("name")
+
+
 def load_totals(chunks: DataFrame) -> DataFrame:
     """One row: documents, pages, chunks, rows ingested again, and chunks per page and rows per chunk at three decimals (0 for an empty table)."""
     seen = chunks.groupBy("chunk_id").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id"), F.min("page_num").alias("page_num"))

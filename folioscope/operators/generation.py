@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,29 @@ from folioscope.operators.answers import citations, judge_keys, parse_verdict
 #: (prompt) -> reply; runs on the executors, once for each key that the cache lacks.
 Model = Callable[[str], str]
 
-PROMPT = "Context passages:\n\n{context}\n\n----\nQuestion: {question}"
+PROMPT = "Answer from these excerpts alone and name the ids of those you use.\n\n{context}\n\nWhat is asked: {question}"
+
+
+class QuotaExhausted(RuntimeError):
+    """The model takes no more calls for now; what was answered before is in the cache."""
+
+
+def retrying(model: Model, *, attempts: int = 5, wait: float = 1.0, longest: float = 60.0, exhausted: tuple[type[Exception], ...] = (QuotaExhausted,), sleep: Callable[[float], None] = time.sleep) -> Model:
+    """``model`` called again after a failure, each time after twice the wait, ``attempts`` times at most; an error in ``exhausted`` stops at once."""
+
+    def call(prompt: str) -> str:
+        for attempt in range(attempts):
+            try:
+                return model(prompt)
+            except exhausted:
+                raise
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+                sleep(min(longest, wait * 2**attempt))
+        raise ValueError("attempts must be at least 1")
+
+    return call
 
 
 def _called(keyed: DataFrame, key: str, model: Model) -> DataFrame:
@@ -45,7 +68,10 @@ def generate(questions: DataFrame, contexts: DataFrame, cache: DataFrame, model:
 
 
 def judge(records: DataFrame, cache: DataFrame, model: Model, signature: str) -> tuple[DataFrame, DataFrame]:
-    """(``grade_id, verdict, reason``, additions to the cache): judgements of the answers that aren't refusals.
+    """(``grade_id, verdict, reason, faithfulness``, additions to the cache): judgements of the answers that aren't refusals.
+
+    A reply is JSON with ``verdict``, ``reason`` and, if the model was shown the cited texts, ``faithfulness`` from 0 to 1; an answer
+    without a citation that holds has 0 whatever the reply says.
 
     ``records`` has ``grade_id, question, gold_answer, generated_answer, cited_ids, context_ids, refused``; ``cache`` is
     ``judgment_key, reply``. Only the reply is cached; whatever follows from the record is computed again. A reply that can't be read gives a null verdict.
@@ -55,5 +81,7 @@ def judge(records: DataFrame, cache: DataFrame, model: Model, signature: str) ->
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     prompt = F.concat(F.lit("Question: "), part("question"), F.lit("\nReference: "), part("gold_answer"), F.lit("\nAnswer: "), part("generated_answer"))
     known, added = caches.through_cache(keyed.withColumn("prompt", prompt), cache.select("judgment_key", "reply"), "judgment_key", lambda miss: _called(miss, "judgment_key", model))
-    judged = keyed.select("grade_id", "judgment_key").join(known.withColumn("v", parse_verdict(F.col("reply"))), "judgment_key")
-    return judged.select("grade_id", F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason")), added
+    read = known.withColumn("v", parse_verdict(F.col("reply"))).withColumn("f", F.from_json("reply", "faithfulness double")["faithfulness"])
+    cited = F.size(citations(F.col("cited_ids"), F.col("context_ids"))["kept"]) > 0
+    judged = keyed.select("grade_id", "judgment_key", cited.alias("cited")).join(read, "judgment_key")
+    return judged.select("grade_id", F.col("v.verdict").alias("verdict"), F.col("v.reason").alias("reason"), F.when(F.col("cited"), F.col("f")).otherwise(0.0).alias("faithfulness")), added

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from folioscope.operators.guards import require_empty
 PROSE_CUES = ("what drove", "what industry", "geograph", "products and services", "major products", "acquisitions", "debt securities", "legal battles", "primary customers", "who are", "cyclicality", "retain")
 NUMERIC_CUES = ("how much", "how many", "quick ratio", "current ratio", "tax rate", "ebitda", "capex", "margin profile", "restructuring costs", "customer concentration", "production rate", "more than", "proportionally", "the most", "the least", "largest", "greatest", "highest", "lowest")
 SOURCE = "financebench_id string, question string, answer string, doc_name string, evidence array<struct<evidence_page_num:int,evidence_text:string>>"
-SHORTEST_PAGE, SNIPPET = 300, 500
+SHORTEST_PAGE = 300
 
 
 def answer_type(question: Column) -> Column:
@@ -84,12 +82,3 @@ def alignment(left: DataFrame, right: DataFrame, *, margin: float = 0.05) -> Dat
     length = F.coalesce(F.max(F.when(F.col("own") == F.col("page_num"), F.col("have_len"))), F.lit(0))
     grouped = joined.groupBy("doc_id", "page_num").agg(at(0).alias("same"), at(-1).alias("before"), at(1).alias("after"), length.alias("_right"), F.max("want_len").alias("_left"))
     return grouped.select("doc_id", "page_num", "same", "before", "after", (F.greatest("before", "after") - F.col("same") > margin).alias("drifts"), (F.col("_right") < 0.5 * F.col("_left")).alias("short"))
-
-
-def partial_ratio(short: str, long: str) -> float:
-    """0 to 100: how well the shorter text matches its best place in the longer one, by ``difflib``; for guards on a few pages."""
-    short, long = sorted((short, long), key=len)
-    if not short:
-        return 0.0
-    starts = {max(0, b.b - b.a) for b in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()}
-    return 100.0 * max(SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts)

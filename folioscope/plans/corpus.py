@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import hashing
+from folioscope.functions.readingform import reading_form_col, reading_form_sql
 from folioscope.operators import caches, chunking, golden, tables
 from folioscope.plans.retrieval import LATEST, corpus
 from folioscope.session import spread
@@ -23,17 +24,16 @@ def short_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The id of a chunk at the start of each page, and the number it stands for."""
-    pages = table(spark, sf_dir, "chunks").select("doc_id", "page_num").distinct()
-    first = pages.withColumn("chunk_id", hashing.chunk_id(F.col("doc_id"), F.col("page_num"), F.lit(0)))
-    return first.withColumn("point", hashing.point_id(F.col("chunk_id")).cast("string"))
+    """Ids of all chunks by their offset in the page, its chunks joined by line feeds in order of their present ids, and the numbers they stand for."""
+    order = Window.partitionBy("doc_id", "page_num").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)  # a page's chunks
+    chunks = corpus(spark, sf_dir).withColumn("offset", F.coalesce(F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).over(order), F.lit(0)))
+    made = chunks.select("doc_id", "page_num", "offset", hashing.chunk_id(F.col("doc_id"), F.col("page_num"), F.col("offset")).alias("chunk_id"))
+    return made.withColumn("point", hashing.point_id(F.col("chunk_id")).cast("string"))
 
 
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the chunk ids of the whole list of filings, each filing's by itself first: ids of one filing are what is sorted in one place."""
-    ids = corpus(spark, sf_dir)
-    digest = F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("chunk_id")), "\x00"), F.lit("\x00")), 256)
-    return ids.groupBy("doc_id").agg(F.count("*").alias("chunks"), digest.alias("fingerprint"))
+    """One digest of the whole corpus's chunk ids."""
+    return hashing.content_fingerprint(corpus(spark, sf_dir), "chunk_id", name="fingerprint")
 
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +109,9 @@ def best_match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's whole text against a reading that has only its first chunk."""
-    chunks = corpus(spark, sf_dir)
-    first = chunks.groupBy("doc_id", "page_num").agg(F.min_by("text", "chunk_id").alias("text"))
-    return golden.alignment(golden.page_texts(chunks), first)
+    """Each page as its chunks have it against its reading form, whose terms are those that a reader sees."""
+    pages = golden.page_texts(corpus(spark, sf_dir))
+    return golden.alignment(pages, pages.withColumn("text", reading_form_col("text")))
 
 
 def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,11 +173,21 @@ best AS (SELECT qid, page_num AS best_page, score, list_contains(evidence_pages,
 _REGION = """WITH c AS (SELECT c_nationkey, count(*) AS n, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS cents FROM customer GROUP BY ALL),
 r AS (SELECT r_name, n_name, coalesce(n, 0) AS n, coalesce(cents, 0)::BIGINT AS cents FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN c ON c_nationkey = n_nationkey)"""
 
+
+
+def _fingerprint(value: str, name: str) -> str:
+    part = lambda at: f"sum(CAST(CAST('0x' || sha256(v)[{at}:{at + 14}] AS UBIGINT) AS HUGEINT))"
+    return f"""WITH {LATEST}, v AS (SELECT {value} AS v FROM latest), s AS (SELECT count(*) AS rows, {part(1)} AS a, {part(31)} AS b FROM v)
+SELECT rows, sha256(rows || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR)) AS {name} FROM s"""
+
+
 ORACLE = {
     "pages_from_documents": _PAGES,
     "short_pages": rf"WITH p AS ({_PAGES}) SELECT doc_id, count(*) AS short_pages, count(*) FILTER (WHERE NOT regexp_matches(text, '\S')) AS blank_pages FROM p WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 40 GROUP BY doc_id",
-    "chunk_ids": "SELECT doc_id, page_num, h AS chunk_id, CAST(CAST('0x' || h AS UBIGINT) AS VARCHAR) AS point FROM (SELECT DISTINCT doc_id, page_num, sha256(doc_id || ':' || page_num || ':0')[1:16] AS h FROM chunks)",
-    "corpus_fingerprint": "SELECT doc_id, count(*) AS chunks, sha256(string_agg(chunk_id || chr(0), '' ORDER BY chunk_id)) AS fingerprint FROM (SELECT chunk_id, any_value(doc_id) AS doc_id FROM chunks GROUP BY chunk_id) GROUP BY doc_id",
+    "chunk_ids": f"""WITH {LATEST}, o AS (SELECT doc_id, page_num, CAST(coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY doc_id, page_num ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM latest),
+h AS (SELECT *, sha256(doc_id || ':' || page_num || ':' || "offset")[1:16] AS chunk_id FROM o) SELECT *, CAST(CAST('0x' || chunk_id AS UBIGINT) AS VARCHAR) AS point FROM h""",
+    "corpus_fingerprint": _fingerprint("'1' || chunk_id", "fingerprint"),
+    "content_fingerprint": _fingerprint("'1' || chunk_id || chr(0) || CASE WHEN text IS NULL THEN '0' ELSE '1' || text END", "content_fingerprint"),
     "embed_cache_keys": f"WITH {LATEST} SELECT chunk_id, sha256('rev-1' || chr(0) || coalesce(text, '')) AS cache_key FROM latest",
     "chunk_recursive_invariants": rf"WITH p AS ({_PAGES}) SELECT doc_id, page_num, 0 AS first_start, CAST(length(text) AS INTEGER) AS last_end, true AS bounded FROM p WHERE regexp_matches(text, '\S')",
     "answer_types": f"SELECT qid, {_TYPE} AS answer_type FROM golden",
@@ -193,7 +202,7 @@ SELECT *, round(chunks / pages, 3) AS chunks_per_page, round(repeated / chunks,
     "form_types": f"SELECT {_FORM.format('form_type')} AS form_type, count(*) AS chunk_rows FROM chunks GROUP BY 1",
     "best_match_page": f"{_BEST} SELECT * FROM best",
     "best_match_summary": f"{_BEST} SELECT count(*) AS n, count(*) FILTER (WHERE agrees) AS agree, count(*) FILTER (WHERE NOT agrees) AS disagree, min(score) AS least, max(score) AS most, round(avg(score), 6) AS mean FROM best",
-    "page_alignment": f"""WITH {_PAGE_TEXT}, other AS (SELECT doc_id, page_num, arg_min(text, chunk_id) AS text FROM latest GROUP BY ALL),
+    "page_alignment": f"""WITH {_PAGE_TEXT}, other AS (SELECT doc_id, page_num, {reading_form_sql("text")} AS text FROM page),
 a AS (SELECT doc_id, page_num, {_TOKENS.format("text")} AS want, length(text) AS n FROM page), b AS (SELECT doc_id, page_num, {_TOKENS.format("text")} AS have, length(coalesce(text, '')) AS n FROM other),
 j AS (SELECT a.doc_id, a.page_num, b.page_num - a.page_num AS d, CASE WHEN len(want) > 0 THEN round(len(list_intersect(want, coalesce(have, []))) / len(want), 6) ELSE 0 END AS s, a.n AS own_n, b.n AS other_n
   FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND b.page_num BETWEEN a.page_num - 1 AND a.page_num + 1),

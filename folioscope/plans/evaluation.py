@@ -83,7 +83,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = table(spark, sf_dir, "grading_baseline_dense").groupBy("grade_id").agg(F.min(F.struct("run_label", "qid", "answer_type", "question", "gold_answer", "generated_answer", "answer_hash", "human_verdict", "cited_pages")).alias("r")).select("grade_id", "r.*")
     own = table(spark, sf_dir, "answers").select("grade_id", "cited_ids", "context_ids", "insufficient_evidence", "prompt_tokens", "completion_tokens")
     c = answers.citations(F.col("cited_ids"), F.col("context_ids"))
-    joined = graded.join(own, "grade_id").withColumn("citation_validity", F.round(c["validity"], 6)).withColumn("uncited", F.size(c["kept"]) == 0)
+    known = answers.faithfulness(graded.select("grade_id", "generated_answer").join(own.select("grade_id", "cited_ids", "context_ids"), "grade_id"), latest_chunks(table(spark, sf_dir, "chunks")))
+    joined = graded.join(own, "grade_id").join(known, "grade_id").withColumn("citation_validity", F.round(c["validity"], 6)).withColumn("uncited", F.size(c["kept"]) == 0)
     return judge(joined.withColumn("refused", F.coalesce("insufficient_evidence", F.lit(False))))
 
 
@@ -91,6 +92,11 @@ def tier2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.tier2_report(_records(spark, sf_dir), ("run_label",))
 
 
+def tier2_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every answer stands in the chunks that it cites; null for refusals, which are not judged."""
+    return _records(spark, sf_dir).select("grade_id", F.when(~F.col("refused"), F.col("faithfulness")).alias("faithfulness"))
+
+
 def judge_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
     return answers.agreement(records, records.select("grade_id", "answer_hash", "verdict"))
@@ -115,7 +121,7 @@ def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (gate_check, adoption_verdicts, ablation_deltas, compare_runs, complementarity_pairs, complementarity_cells, union_recall, citation_validity, cited_pages, cited_texts, tier2_report, judge_kappa, grading_sheet, judgment_keys, latency_percentiles, context_prompt)
+    for f in (gate_check, adoption_verdicts, ablation_deltas, compare_runs, complementarity_pairs, complementarity_cells, union_recall, citation_validity, cited_pages, cited_texts, tier2_report, tier2_faithfulness, judge_kappa, grading_sheet, judgment_keys, latency_percentiles, context_prompt)
 }
 
 _REPORT = f"WITH {PAGES}, " + metrics_sql("pages", "run_label,") + ", report AS (" + grouped_sql("run_label,") + ")"
@@ -130,14 +136,17 @@ _TWICE = "(SELECT qid, answer_type AS \"group\", {0} FROM pairs UNION ALL SELECT
 _CIT = """cit AS (SELECT *, list_filter(once, lambda x: list_contains(ctx, x)) AS kept, list_filter(once, lambda x: NOT list_contains(ctx, x)) AS dropped FROM (
   SELECT *, coalesce(context_ids, []) AS ctx, list_filter(coalesce(cited_ids, []), lambda x, i: list_position(coalesce(cited_ids, []), x) = i) AS once FROM answers)),
 valid AS (SELECT *, CASE WHEN len(once) = 0 THEN 1.0::DOUBLE ELSE round(len(kept) / len(once), 6) END AS validity FROM cit)"""
-_RECORDS = f"""{_CIT},
+_RECORDS = f"""{LATEST}, {_CIT},
+shown AS (SELECT DISTINCT grade_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM (SELECT grade_id, unnest(kept) AS chunk_id FROM cit) JOIN latest USING (chunk_id)),
+said AS (SELECT grade_id, f, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS term, len(w) AS n FROM (SELECT grade_id, r.f AS f, list_distinct(regexp_extract_all(lower(coalesce(r.f, '')), '[a-z0-9]+')) AS w FROM (SELECT grade_id, min({{'a': run_label, 'b': qid, 'c': answer_type, 'd': question, 'e': gold_answer, 'f': generated_answer, 'g': answer_hash, 'h': human_verdict, 'i': cited_pages}}) AS r FROM grading_baseline_dense GROUP BY grade_id))),
+faith AS (SELECT grade_id, CASE WHEN any_value(n) = 0 THEN 0 ELSE round(count(s.term) / any_value(n), 6) END::DOUBLE AS faithfulness FROM said LEFT JOIN shown s USING (grade_id, term) GROUP BY grade_id),
 graded AS (SELECT grade_id, r.* FROM (SELECT grade_id, min({{'a': run_label, 'b': qid, 'c': answer_type, 'd': question, 'e': gold_answer, 'f': generated_answer, 'g': answer_hash, 'h': human_verdict, 'i': cited_pages}}) AS r FROM grading_baseline_dense GROUP BY grade_id)),
 records AS (SELECT g.grade_id, a AS run_label, b AS qid, c AS answer_type, d AS question, e AS gold_answer, f AS generated_answer, g AS answer_hash, h AS human_verdict, i AS cited_pages, coalesce(insufficient_evidence, false) AS refused,
-  validity AS citation_validity, len(kept) = 0 AS uncited, kept, prompt_tokens, completion_tokens,
+  validity AS citation_validity, faithfulness, len(kept) = 0 AS uncited, kept, prompt_tokens, completion_tokens,
   CASE WHEN len(list_filter(regexp_extract_all(lower(coalesce(e, '')), '[a-z0-9]+'), lambda x: NOT list_contains(regexp_extract_all(lower(coalesce(f, '')), '[a-z0-9]+'), x))) = 0 THEN 'correct' ELSE 'incorrect' END AS verdict
-  FROM graded g JOIN valid USING (grade_id))"""
+  FROM graded g JOIN valid USING (grade_id) JOIN faith USING (grade_id))"""
 _TIER2 = """count(*) AS n, round(100.0 * count(*) FILTER (WHERE verdict = 'correct') / count(*), 1) AS correct_pct, round(100.0 * count(*) FILTER (WHERE verdict = 'incorrect') / count(*), 1) AS incorrect_pct,
-  round(100.0 * count(*) FILTER (WHERE refused) / count(*), 1) AS refused_pct, round(avg(citation_validity) FILTER (WHERE NOT refused), 4) AS mean_citation_validity, count(*) FILTER (WHERE NOT refused) AS scored,
+  round(100.0 * count(*) FILTER (WHERE refused) / count(*), 1) AS refused_pct, round(avg(citation_validity) FILTER (WHERE NOT refused), 4) AS mean_citation_validity, round(avg(CASE WHEN uncited THEN 0 ELSE faithfulness END) FILTER (WHERE NOT refused), 4) AS mean_faithfulness, count(*) FILTER (WHERE NOT refused) AS scored,
   count(*) FILTER (WHERE uncited AND NOT refused) AS uncited, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens"""
 
 ORACLE = {
@@ -169,6 +178,7 @@ c AS (SELECT grade_id, chunk_id, CAST(min(pos) AS INTEGER) AS pos FROM (SELECT g
 p AS (SELECT DISTINCT grade_id, doc_id, page_num FROM (SELECT grade_id, unnest(kept) AS chunk_id FROM cit) JOIN latest USING (chunk_id))
 SELECT c.grade_id, c.chunk_id, c.pos AS "at" FROM c JOIN latest l USING (chunk_id) SEMI JOIN p ON p.grade_id = c.grade_id AND p.doc_id = l.doc_id AND p.page_num = l.page_num""",
     "tier2_report": f"WITH {_RECORDS} SELECT run_label, 'overall' AS \"group\", {_TIER2} FROM records GROUP BY run_label UNION ALL SELECT run_label, answer_type, {_TIER2} FROM records GROUP BY run_label, answer_type",
+    "tier2_faithfulness": f"WITH {_RECORDS} SELECT grade_id, CASE WHEN NOT refused THEN faithfulness END AS faithfulness FROM records",
     "judge_kappa": f"""WITH {_RECORDS}, h AS (SELECT lower(trim(coalesce(human_verdict, ''))) AS human, verdict FROM records),
 c AS (SELECT count(*) FILTER (WHERE human = 'correct' AND verdict = 'correct') AS cc, count(*) FILTER (WHERE human = 'correct' AND verdict = 'incorrect') AS ci, count(*) FILTER (WHERE human = 'incorrect' AND verdict = 'correct') AS ic,
   count(*) FILTER (WHERE human = 'incorrect' AND verdict = 'incorrect') AS ii, count(*) FILTER (WHERE human = 'refused') AS refused, count(*) FILTER (WHERE human = '') AS ungraded FROM h),

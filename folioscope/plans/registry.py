@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import corpus, evaluation, retrieval, units
+from folioscope.plans import corpus, evaluation, retrieval, serving, units
 
 FLAGSHIP = "tier1_bm25"
-MODULES = [corpus, retrieval, evaluation, units]
+MODULES = [corpus, retrieval, evaluation, serving, units]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

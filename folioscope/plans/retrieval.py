@@ -106,17 +106,6 @@ def hybrid_low_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.hybrid(_run(spark, sf_dir, "dense"), _run(spark, sf_dir, "sparse_bm25"), TOP, sparse_weight=0.5).select("qid", "chunk_id", "rank")
 
 
-def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the reranked run with a score, by that score, cut to five as for serving."""
-    scored = _run(spark, sf_dir, "dense_rerank").where("score IS NOT NULL")
-    return ranking.rerank(scored, scored.select("qid", "chunk_id", "score"), top=5).select("qid", "chunk_id", "rank")
-
-
-def frozen_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frozen = _run(spark, sf_dir, "sparse_bm25")
-    return ranking.replay(frozen, frozen.select("qid").distinct(), 10).select("qid", "chunk_id", "rank")
-
-
 def collapse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.collapse_to_pages(_logged(spark, sf_dir), ("run_label", "qid"))
 
@@ -143,7 +132,7 @@ def evidence_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("run_label", band.alias("ranks")).agg(F.count("*").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, token_counts_nostop, bm25_idf, bm25_topk, bm25_topk_nostop, bm25_postings_topk, tier1_bm25, tier1_bm25_grouped, dense_topk, dense_label_recall, logged_rankings, rrf_union, hybrid_topk, hybrid_low_weight, rerank_topk, frozen_replay, collapse_pages, tier1_per_question, tier1_grouped, evidence_ranks)}
+QUERIES = {f.__name__: f for f in (token_counts, token_counts_nostop, bm25_idf, bm25_topk, bm25_topk_nostop, bm25_postings_topk, tier1_bm25, tier1_bm25_grouped, dense_topk, dense_label_recall, logged_rankings, rrf_union, hybrid_topk, hybrid_low_weight, collapse_pages, tier1_per_question, tier1_grouped, evidence_ranks)}
 
 LATEST = """latest AS (
   SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, text NULLS LAST, company NULLS LAST, form_type NULLS LAST, fiscal_year NULLS LAST, doc_id NULLS LAST, page_num NULLS LAST) AS n FROM chunks) WHERE n = 1)"""
@@ -156,7 +145,7 @@ t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t
 SELECT term, count(*) AS n, count(DISTINCT chunk_id) AS df FROM t {where} GROUP BY term"""
 
 
-def _bm25_sql(stop: bool, pad: bool) -> str:
+def bm25_sql(stop: bool, pad: bool) -> str:
     where = f"WHERE term NOT IN {_STOP}" if stop else ""
     return f"""WITH {LATEST},
 tok AS (SELECT chunk_id, term FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM latest) {where}),
@@ -243,20 +232,18 @@ _NEAREST = """near AS (SELECT q.vec_id AS qid, v.vec_id, q.label AS label, v.lab
 ORACLE = {
     "token_counts": _terms(""),
     "token_counts_nostop": _terms(f"WHERE term NOT IN {_STOP}"),
-    "bm25_idf": _bm25_sql(False, False) + " SELECT term, df, round(idf, 4) AS idf FROM idf",
-    "bm25_topk": _bm25_sql(False, True) + " SELECT qid, rank, chunk_id FROM ranked WHERE rank <= 50",
-    "bm25_topk_nostop": _bm25_sql(True, True) + " SELECT qid, rank, chunk_id FROM ranked WHERE rank <= 50",
-    "bm25_postings_topk": _bm25_sql(False, False) + " SELECT qid, rank, chunk_id FROM ranked WHERE rank <= 50",
-    "tier1_bm25": _bm25_sql(False, True) + _BM25_PAGES + metrics_sql("pages", "") + f" SELECT {_PER} FROM per_question",
-    "tier1_bm25_grouped": _bm25_sql(False, True) + _BM25_PAGES + metrics_sql("pages", "") + " " + grouped_sql(""),
+    "bm25_idf": bm25_sql(False, False) + " SELECT term, df, round(idf, 4) AS idf FROM idf",
+    "bm25_topk": bm25_sql(False, True) + " SELECT qid, rank, chunk_id FROM ranked WHERE rank <= 50",
+    "bm25_topk_nostop": bm25_sql(True, True) + " SELECT qid, rank, chunk_id FROM ranked WHERE rank <= 50",
+    "bm25_postings_topk": bm25_sql(False, False) + " SELECT qid, rank, chunk_id FROM ranked WHERE rank <= 50",
+    "tier1_bm25": bm25_sql(False, True) + _BM25_PAGES + metrics_sql("pages", "") + f" SELECT {_PER} FROM per_question",
+    "tier1_bm25_grouped": bm25_sql(False, True) + _BM25_PAGES + metrics_sql("pages", "") + " " + grouped_sql(""),
     "dense_topk": f"WITH {_NEAREST} SELECT qid, rank, vec_id FROM near WHERE rank <= 10",
     "dense_label_recall": f"WITH {_NEAREST} SELECT qid, label, count(*) FILTER (WHERE found = label) AS same_label FROM near WHERE rank <= 10 GROUP BY ALL",
     "logged_rankings": f"WITH {LOGGED} SELECT run_label, qid, chunk_id, rank FROM logged",
     "rrf_union": _fused(1.0, False),
     "hybrid_topk": _fused(1.0, True),
     "hybrid_low_weight": _fused(0.5, True),
-    "rerank_topk": f"WITH {LOGGED} SELECT qid, chunk_id, rank FROM logged WHERE run_label = 'dense_rerank' AND score IS NOT NULL AND rank <= 5",
-    "frozen_replay": f"WITH {LOGGED} SELECT qid, chunk_id, rank FROM logged WHERE run_label = 'sparse_bm25' AND rank <= 10",
     "collapse_pages": f"WITH {PAGES} SELECT * FROM pages",
     "tier1_per_question": f"WITH {PAGES}, " + metrics_sql("pages", "run_label,") + f" SELECT run_label, {_PER} FROM per_question",
     "tier1_grouped": f"WITH {PAGES}, " + metrics_sql("pages", "run_label,") + " " + grouped_sql("run_label,"),

@@ -157,7 +157,6 @@ def test_best_page_and_guard(spark):
     golden.require_agreement(g, pages)
     with pytest.raises(ValueError, match="another page"):
         golden.require_agreement(g.withColumn("evidence_pages", F.array(F.lit(1))), pages)
-    assert golden.partial_ratio("net sales rose", "then net sales rose again") == 100.0 and golden.partial_ratio("", "x") == 0.0
 
 
 def test_model_calls_go_through_the_cache(spark, tmp_path):
@@ -185,7 +184,7 @@ def test_judging(spark):
     records = spark.createDataFrame([("g1", "q", "gold", "right", ["c"], ["c"], False), ("g2", "q", "gold", "declines", [], [], True)], "grade_id string, question string, gold_answer string, generated_answer string, cited_ids array<string>, context_ids array<string>, refused boolean")
     cache = spark.createDataFrame([], "judgment_key string, reply string")
     judged, added = generation.judge(records, cache, lambda p: json.dumps({"verdict": "correct" if "right" in p else "incorrect", "reason": "r"}), "j1")
-    assert [tuple(r) for r in judged.collect()] == [("g1", "correct", "r")] and added.count() == 1
+    assert [tuple(r) for r in judged.collect()] == [("g1", "correct", "r", None)] and added.count() == 1
 
 
 def test_stream_merges(spark, tmp_path):
