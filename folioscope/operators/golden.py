@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.lineage import written
 from folioscope.operators.bm25 import tokens
 from folioscope.operators.guards import require_empty
 
@@ -46,13 +47,26 @@ def best_page(golden: DataFrame, pages: DataFrame, *, shortest: int = 0) -> Data
 
     The score is the share of the evidence's distinct tokens that the page has, at six decimals; ties go to the first
     page. Pages shorter than ``shortest`` characters are left out. Questions without evidence text or without a page don't come out.
+
+    Not every question meets every page of its document: with n words, of which the labelled pages have m at best, a page that has as many
+    has one of the n - m + 1 words that stand on the fewest pages. Only such pages are scored, besides the labelled ones and the first.
     """
     asked = golden.where(F.col("evidence_text").isNotNull()).select("qid", "doc_id", "evidence_pages", F.array_distinct(tokens(F.col("evidence_text"))).alias("want")).where(F.size("want") > 0)
-    there = pages.where(F.length("text") >= shortest).select("doc_id", "page_num", F.array_distinct(tokens(F.col("text"))).alias("have"))
-    scored = asked.join(there, "doc_id").select("qid", "page_num", "evidence_pages", F.round(F.size(F.array_intersect("want", "have")) / F.size("want"), 6).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "page_num")
-    first = scored.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return first.select("qid", F.col("page_num").alias("best_page"), "score", F.array_contains("evidence_pages", F.col("page_num")).alias("agrees"))
+    there = written(pages.where(F.length("text") >= shortest).select("doc_id", "page_num", F.array_distinct(tokens(F.col("text"))).alias("have")), "page-words")
+    shared = F.size(F.array_intersect("want", "have"))
+    labelled = asked.select("qid", "doc_id", "want", F.explode("evidence_pages").alias("page_num")).join(there, ["doc_id", "page_num"]).groupBy("qid").agg(F.max(shared).alias("_m"))
+    stands = there.select("doc_id", "page_num", F.explode("have").alias("term"))
+    often = stands.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
+    words = asked.join(labelled, "qid", "left").select("qid", "doc_id", F.size("want").alias("_size"), F.greatest(F.coalesce("_m", F.lit(1)), F.lit(1)).alias("_m"), F.explode("want").alias("term"))
+    ordered = words.join(often, ["doc_id", "term"], "left").groupBy("qid", "doc_id", "_size", "_m").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "term"))).alias("_t"))  # a question's words
+    rare = ordered.select("qid", "doc_id", F.explode(F.slice("_t", F.lit(1), F.col("_size") - F.col("_m") + 1)).alias("x")).select("qid", "doc_id", F.col("x.term").alias("term"))
+    near = rare.join(stands, ["doc_id", "term"]).select("qid", "page_num")
+    given = asked.select("qid", F.explode("evidence_pages").alias("page_num"))
+    first = asked.select("qid", "doc_id").join(there.groupBy("doc_id").agg(F.min("page_num").alias("page_num")), "doc_id").select("qid", "page_num")
+    met = near.unionByName(given).unionByName(first).distinct().join(asked, "qid").join(there, ["doc_id", "page_num"])
+    score = F.round(shared / F.size("want"), 6)
+    best = met.groupBy("qid").agg(F.min_by(F.struct("page_num", score.alias("score"), F.array_contains("evidence_pages", F.col("page_num")).alias("agrees")), F.struct(-score, F.col("page_num"))).alias("b"))
+    return best.select("qid", F.col("b.page_num").alias("best_page"), "b.score", "b.agrees")
 
 
 def require_agreement(golden: DataFrame, pages: DataFrame) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.bm25 import top_k
 from folioscope.operators.guards import require_empty
+from folioscope.operators.ranks import number_within
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, *, k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0) -> DataFrame:
@@ -20,8 +21,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, *, k: int = 60, dense_weight: floa
     arm = lambda df, w: df.groupBy("qid", "chunk_id").agg(F.min("rank").alias("rank")).select("qid", "chunk_id", (F.lit(float(w)) / (F.col("rank") + k)).alias("score"))
     both = arm(dense, dense_weight).unionByName(arm(sparse, sparse_weight))
     fused = both.groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "chunk_id")
-    return fused.withColumn("rank", F.row_number().over(order))
+    return number_within(fused, ["qid"], [F.round("score", 12).desc(), F.col("chunk_id")], "rank")
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, top: int, **weights) -> DataFrame:
@@ -56,17 +56,17 @@ def logged_rankings(retrieved: DataFrame) -> DataFrame:
     """
     usable = F.when(F.isnan("score"), None).otherwise(F.col("score"))
     rows = retrieved.withColumn("score", usable)
-    latest = Window.partitionBy("run_label", "qid", "chunk_id").orderBy(F.col("logged_at").desc_nulls_last(), F.col("score").desc_nulls_last(), "doc_id", "page_num")
-    one = rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
-    order = Window.partitionBy("run_label", "qid").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
-    return one.select("run_label", "qid", "chunk_id", "doc_id", "page_num", "score", F.row_number().over(order).alias("rank"))
+    # the latest row of each chunk is the least by this, which tasks find before the shuffle
+    key = F.struct(F.col("logged_at").isNull(), -F.unix_micros("logged_at"), F.col("score").isNull(), -F.col("score"), "doc_id", "page_num")
+    one = rows.groupBy("run_label", "qid", "chunk_id").agg(F.min_by(F.struct("doc_id", "page_num", "score"), key).alias("_r"))
+    one = one.select("run_label", "qid", "chunk_id", "_r.*")
+    return number_within(one, ["run_label", "qid"], [F.col("score").desc_nulls_last(), F.col("chunk_id")], "rank")
 
 
 def collapse_to_pages(ranked: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """``by, doc_id, page_num, page_rank``: each page at the first position any of its chunks has, order kept."""
     first = ranked.groupBy(*by, "doc_id", "page_num").agg(F.min("rank").alias("_first"))
-    order = Window.partitionBy(*by).orderBy("_first", "doc_id", "page_num")
-    return first.select(*by, "doc_id", "page_num", F.row_number().over(order).alias("page_rank"))
+    return number_within(first, by, ["_first", "doc_id", "page_num"], "page_rank").drop("_first")
 
 
 __all__ = ["collapse_to_pages", "fuse", "hybrid", "logged_rankings", "replay", "rerank", "top_k"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.lineage import written
 from folioscope.operators import answers, decisions, metrics, ranking
 from folioscope.operators.bm25 import tokens
 from folioscope.operators.caches import latest_chunks
@@ -19,24 +20,24 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _report(spark, sf_dir).where(F.col("group") == "overall").persist()
+    report = written(_report(spark, sf_dir).where(F.col("group") == "overall"), "report")
     side = lambda run: report.where(F.col("run_label") == run).select("metric", "value")
     return decisions.gate(side(BASE), side(OTHER))
 
 
 def adoption_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overall = tier1_grouped(spark, sf_dir).where(F.col("group") == "overall").persist()
+    overall = written(tier1_grouped(spark, sf_dir).where(F.col("group") == "overall"), "overall")
     runs = overall.withColumnRenamed("run_label", "run").withColumn("top_k", F.lit(50)).withColumn("dirty", F.lit(False)).withColumn("recall_at_k", F.lit(None).cast("double"))
     return decisions.adoption(runs.where(F.col("run") != BASE), runs.where(F.col("run") == BASE))
 
 
 def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _report(spark, sf_dir).withColumnRenamed("run_label", "run").withColumn("backend", F.when(F.col("run") == BASE, "dense").otherwise("other")).withColumn("position", F.lit(0))
-    return decisions.ablation(report.persist())
+    return decisions.ablation(written(report, "report"))
 
 
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _report(spark, sf_dir).persist()
+    report = written(_report(spark, sf_dir), "report")
     side = lambda run: report.where(F.col("run_label") == run).drop("run_label")
     return decisions.compare(side(BASE), side(OTHER))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -63,4 +65,5 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             z.write(file, file.relative_to(package.parent))
     context.addPyFile(str(made))
+    atexit.register(shutil.rmtree, made.parent, True)
     context._folioscope_shipped = True

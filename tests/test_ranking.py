@@ -2,9 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.operators import bm25, dense, metrics, ranking
+from folioscope.operators import golden as golden_questions
 from folioscope.operators.best import Best
+from folioscope.operators.ranks import number_within
 
 CORPUS = ["the acquisition of xilinx closed", "revenue growth was strong", "dividend per share", "tax rate fell", "", "net sales and revenue", "xilinx products", "growth of the dividend"]
 
@@ -165,3 +168,32 @@ def test_groups(spark):
     got = {r["group"]: (r["n"], r["mrr"]) for r in metrics.grouped(per, ["mrr"]).collect()}
     assert got == {"overall": (3, 0.444444), "numeric": (3, 0.444444), "prose": (0, None)}
     assert metrics.grouped(per.where("qid < 'c'"), ["mrr"], groups=["overall"]).first()["mrr"] == 0.166667
+
+
+def test_positions_in_hot_groups_are_those_of_a_plain_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else f"g{i % 7}", int(rng.integers(0, 9)) if i % 11 else None, f"k{i:04}") for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, score int, key string")
+    order = [F.col("score").desc_nulls_last(), F.col("key")]
+    plain = number_within(df, ["g"], order, "rank", plain_bytes=1 << 60)
+    cut = number_within(df, ["g"], order, "rank", hot_rows=50, plain_bytes=0)
+    assert cut.schema["rank"].dataType == plain.schema["rank"].dataType
+    assert sorted(map(repr, cut.select("g", "score", "key", "rank").collect())) == sorted(map(repr, plain.select("g", "score", "key", "rank").collect()))
+    assert number_within(df.where("false"), ["g"], order, "rank", plain_bytes=0).count() == 0
+
+
+def test_the_best_page_without_meeting_every_page_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    pages = [(f"D{i % 3}", i // 3, text(int(rng.integers(0, 14)))) for i in range(60)]
+    asked = [(f"q{i}", f"D{i % 4}", [int(rng.integers(0, 25)), 2], text(int(rng.integers(0, 9))) if i % 9 else "zzz") for i in range(40)]
+    g = spark.createDataFrame(asked, "qid string, doc_id string, evidence_pages array<int>, evidence_text string")
+    got = {r["qid"]: (r["best_page"], r["score"], r["agrees"]) for r in golden_questions.best_page(g, spark.createDataFrame(pages, "doc_id string, page_num int, text string")).collect()}
+    want = {}
+    for qid, doc, labels, evidence in asked:
+        w = set(evidence.split())
+        scored = [(-round(len(w & set(t.split())) / len(w), 6), p) for d, p, t in pages if d == doc] if w else []
+        if scored:
+            want[qid] = (min(scored)[1], -min(scored)[0], min(scored)[1] in labels)
+    assert got == want
