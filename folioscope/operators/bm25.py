@@ -17,8 +17,8 @@ from folioscope.lineage import written
 from folioscope.operators.best import Best
 
 TOKEN = "[A-Za-z0-9]+"
-#: Questions whose terms are sent out at once, to be scored against every chunk where it is; more are scored by joining postings.
-BROADCAST_QUESTIONS = 20_000
+#: Questions whose terms are sent out at once, to be scored against every chunk where it is; the chunks are read once for each block.
+BLOCK = 20_000
 
 
 @dataclass(frozen=True)
@@ -79,20 +79,13 @@ def asked_terms(questions: DataFrame, p: Bm25 = Bm25(), qid: str = "qid", questi
     return questions.select(qid, F.explode(tokens(F.col(question), p.stopwords)).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qtf"))
 
 
-def scores_of(posted: DataFrame, weights: DataFrame, avgdl: float, asked: DataFrame, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid") -> DataFrame:
-    """``qid, key, score`` of every chunk that shares a term with a question, from postings, the terms' idf and the questions' terms.
-
-    Where the asked terms are many, a term that most questions and chunks have is met by a join that AQE splits.
-    """
-    gain = F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.lit(avgdl)))
-    weighted = posted.join(asked.select("term").distinct(), "term", "left_semi").join(weights, "term").select("term", key, gain.alias("gain"))
-    return weighted.join(asked, "term").groupBy(qid, key).agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
-
-
 def scores_by_postings(chunks: DataFrame, questions: DataFrame, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question", stats: Statistics | None = None) -> DataFrame:
-    """``scores_of`` a corpus. Any number of questions."""
+    """``qid, key, score`` of every chunk that shares a term with a question, by joining postings on terms: for rare terms, or where all scores are wanted; ``retrieve`` is for rankings."""
     s = stats or statistics(chunks, p)
-    return scores_of(postings(chunks, p, key), idf(s, p), s.avgdl, asked_terms(questions, p, qid, question), p, key, qid)
+    asked = asked_terms(questions, p, qid, question)
+    gain = F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.lit(s.avgdl)))
+    weighted = postings(chunks, p, key).join(asked.select("term").distinct(), "term", "left_semi").join(idf(s, p), "term").select("term", key, gain.alias("gain"))
+    return weighted.join(asked, "term").groupBy(qid, key).agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, *, partition: Sequence[str] = ("qid",), key: str = "chunk_id", score: str = "score", digits: int = 9) -> DataFrame:
@@ -159,36 +152,24 @@ def _scanned(chunks: DataFrame, asked: list[tuple[object, str]], k: int, p: Bm25
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question", stats: Statistics | None = None) -> DataFrame:
     """``qid, key, score, rank``: the ``k`` best chunks of every question; chunks that match nothing have score 0 and rank by their keys, before those of negative score.
 
-    Chunks must be unique in ``key``, and should be a written table, as they are read more than once; a null text has no terms. Up to ``BROADCAST_QUESTIONS``
-    questions are sent out and scored against each chunk where it is, which shuffles no more than each task's ``k``
-    best. Of more, postings are joined; a question whose k-th chunk so found has no positive score may have
-    chunks of score 0 before it, so such questions are sent out too, in blocks.
+    Chunks must be unique in ``key``, and should be a written table, as they are read more than once; a null text has no terms. Questions
+    are sent out, ``BLOCK`` at a time, and scored against each chunk where it is, which shuffles no more than each task's ``k``
+    best. Joining postings instead (``scores_by_postings``) would make a row of every term that a question and a chunk share.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     s = stats or statistics(chunks, p)
     qid_type = questions.schema[qid].dataType.simpleString()
-    if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
-        asked = [(r[0], r[1] or "") for r in questions.select(qid, question).orderBy(qid).collect()]
-        return _scanned(chunks, asked, k, p, key, qid, qid_type, s)
-    return completed(top_k(scores_by_postings(chunks, questions, p, key, qid, question, s), k, partition=(qid,), key=key, digits=p.digits), chunks, questions, k, p, key, qid, question, s)
-
-
-def completed(first: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, p: Bm25, key: str, qid: str, question: str, s: Statistics) -> DataFrame:
-    """Rankings from postings, with those in which chunks of score 0 may belong made again over all chunks."""
-    first = written(first, "ranked-postings")
-    positive = first.groupBy(qid).agg(F.count_if(F.round("score", p.digits) > 0).alias("_have")).where(F.col("_have") >= k).select(qid)
-    open_ = written(questions.select(qid, question).join(positive, qid, "left_anti"), "questions-with-few-matches")
-    out, block = first.join(positive, qid, "left_semi"), []
-
-    def scanned() -> DataFrame:
-        return _scanned(chunks, block, k, p, key, qid, questions.schema[qid].dataType.simpleString(), s).select(*out.columns)
-
-    for r in open_.toLocalIterator():
+    out, block = None, []
+    for r in questions.select(qid, question).orderBy(qid).toLocalIterator():
         block.append((r[0], r[1] or ""))
-        if len(block) == BROADCAST_QUESTIONS:
-            out, block = out.unionByName(scanned()), []
-    return out.unionByName(scanned()) if block else out
+        if len(block) == BLOCK:
+            part, block = _scanned(chunks, block, k, p, key, qid, qid_type, s), []
+            out = part if out is None else out.unionByName(part)
+    if block or out is None:
+        part = _scanned(chunks, block, k, p, key, qid, qid_type, s)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def okapi_idf(n: int, df: int) -> float:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.lineage import written
 from folioscope.operators.bm25 import tokens
 from folioscope.operators.guards import require_empty
+from folioscope.operators.ranks import PLAIN_BYTES, estimated_bytes
 
 # Phrases that ask for a narrative, looked for first, and phrases that ask for figures.
 PROSE_CUES = ("what drove", "what industry", "geograph", "products and services", "major products", "acquisitions", "debt securities", "legal battles", "primary customers", "who are", "cyclicality", "retain")
@@ -42,18 +43,26 @@ def page_texts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "\n").alias("text"))
 
 
-def best_page(golden: DataFrame, pages: DataFrame, *, shortest: int = 0) -> DataFrame:
+def best_page(golden: DataFrame, pages: DataFrame, *, shortest: int = 0, plain_bytes: int = PLAIN_BYTES) -> DataFrame:
     """``qid, best_page, score, agrees``: the page of the question's own document that holds most of the evidence's words.
 
     The score is the share of the evidence's distinct tokens that the page has, at six decimals; ties go to the first
     page. Pages shorter than ``shortest`` characters are left out. Questions without evidence text or without a page don't come out.
 
-    Not every question meets every page of its document: with n words, of which the labelled pages have m at best, a page that has as many
+    Where the plan's estimate is beyond ``plain_bytes``, not every question meets every page of its document: with n words, of which the labelled pages have m at best, a page that has as many
     has one of the n - m + 1 words that stand on the fewest pages. Only such pages are scored, besides the labelled ones and the first.
     """
     asked = golden.where(F.col("evidence_text").isNotNull()).select("qid", "doc_id", "evidence_pages", F.array_distinct(tokens(F.col("evidence_text"))).alias("want")).where(F.size("want") > 0)
-    there = written(pages.where(F.length("text") >= shortest).select("doc_id", "page_num", F.array_distinct(tokens(F.col("text"))).alias("have")), "page-words")
     shared = F.size(F.array_intersect("want", "have"))
+    score = F.round(shared / F.size("want"), 6)
+    there = pages.where(F.length("text") >= shortest).select("doc_id", "page_num", F.array_distinct(tokens(F.col("text"))).alias("have"))
+    met = asked.join(there, "doc_id") if estimated_bytes(there) <= plain_bytes else _near_pages(asked, written(there, "page-words"), shared)
+    best = met.groupBy("qid").agg(F.min_by(F.struct("page_num", score.alias("score"), F.array_contains("evidence_pages", F.col("page_num")).alias("agrees")), F.struct(-score, F.col("page_num"))).alias("b"))
+    return best.select("qid", F.col("b.page_num").alias("best_page"), "b.score", "b.agrees")
+
+
+def _near_pages(asked: DataFrame, there: DataFrame, shared: Column) -> DataFrame:
+    """``asked`` with the pages that may be best; see ``best_page``."""
     labelled = asked.select("qid", "doc_id", "want", F.explode("evidence_pages").alias("page_num")).join(there, ["doc_id", "page_num"]).groupBy("qid").agg(F.max(shared).alias("_m"))
     stands = there.select("doc_id", "page_num", F.explode("have").alias("term"))
     often = stands.groupBy("doc_id", "term").agg(F.count("*").alias("_n"))
@@ -63,10 +72,7 @@ def best_page(golden: DataFrame, pages: DataFrame, *, shortest: int = 0) -> Data
     near = rare.join(stands, ["doc_id", "term"]).select("qid", "page_num")
     given = asked.select("qid", F.explode("evidence_pages").alias("page_num"))
     first = asked.select("qid", "doc_id").join(there.groupBy("doc_id").agg(F.min("page_num").alias("page_num")), "doc_id").select("qid", "page_num")
-    met = near.unionByName(given).unionByName(first).distinct().join(asked, "qid").join(there, ["doc_id", "page_num"])
-    score = F.round(shared / F.size("want"), 6)
-    best = met.groupBy("qid").agg(F.min_by(F.struct("page_num", score.alias("score"), F.array_contains("evidence_pages", F.col("page_num")).alias("agrees")), F.struct(-score, F.col("page_num"))).alias("b"))
-    return best.select("qid", F.col("b.page_num").alias("best_page"), "b.score", "b.agrees")
+    return near.unionByName(given).unionByName(first).distinct().join(asked, "qid").join(there, ["doc_id", "page_num"])
 
 
 def require_agreement(golden: DataFrame, pages: DataFrame) -> None:

@@ -14,7 +14,8 @@ from folioscope.session import parallelism
 HOT_ROWS, PLAIN_BYTES = 2_000_000, 256 << 20
 
 
-def _estimated(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of a result as the plan estimates them, from the sizes of its files; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
@@ -26,7 +27,7 @@ def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     plainly = lambda rows, *more: F.row_number().over(Window.partitionBy(*by, *more).orderBy(*order))
-    if not by or _estimated(df) <= plain_bytes:
+    if not by or estimated_bytes(df) <= plain_bytes:
         return df.withColumn(name, plainly(df))
     df = written(df, "to-be-numbered")
     hot = written(df.groupBy(*by).count().where(F.col("count") > hot_rows).select(*by), "hot-groups")  # no more than rows over hot_rows

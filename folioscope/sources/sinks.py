@@ -22,10 +22,10 @@ def append_to_cache(added: DataFrame, path: str) -> None:
 
 
 def save_bm25(chunks: DataFrame, path: str, p: bm25.Bm25, fingerprint: str) -> None:
-    """Postings, idf, the corpus and its size as tables, under the policy and fingerprint they were made from."""
+    """Idf of all terms, the corpus and its size as tables, under the policy and fingerprint they were made from."""
     s = bm25.statistics(chunks, p)
     size = chunks.sparkSession.createDataFrame([(s.n, s.avgdl)], "n long, avgdl double")
-    freeze({"postings": bm25.postings(chunks, p), "idf": bm25.idf(s, p), "size": size, "chunks": chunks.select("chunk_id", "text")}, path, policy(p, fingerprint))
+    freeze({"idf": bm25.idf(s, p), "size": size, "chunks": chunks.select("chunk_id", "text")}, path, policy(p, fingerprint))
 
 
 def policy(p: bm25.Bm25, fingerprint: str) -> dict[str, Any]:
@@ -37,9 +37,7 @@ def search_saved(spark: SparkSession, path: str, questions: DataFrame, k: int, p
     """``qid, chunk_id, score, rank`` from a saved index, the same that ``bm25.retrieve`` gives; raises if it was made under another policy or from another corpus."""
     table = lambda name: thaw(spark, path, name, policy(p, fingerprint))
     n, avgdl = table("size").first()
-    s = bm25.Statistics(n, avgdl, table("idf").select("term", "df"))
-    scored = bm25.scores_of(table("postings"), table("idf").select("term", "idf"), avgdl, bm25.asked_terms(questions, p), p)
-    return bm25.completed(bm25.top_k(scored, k, digits=p.digits), table("chunks"), questions, k, p, "chunk_id", "qid", "question", s)
+    return bm25.retrieve(table("chunks"), questions, k, p, stats=bm25.Statistics(n, avgdl, table("idf").select("term", "df")))
 
 
 def open_bm25(chunks: DataFrame, path: str, p: bm25.Bm25, fingerprint: str) -> bool:

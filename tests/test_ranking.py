@@ -39,19 +39,19 @@ def ranked(df, qid):
 QUESTIONS = [("q1", "XILINX acquisition"), ("q2", "revenue growth growth"), ("q3", "nothing here matches zzz"), ("q4", None), ("q5", "the the of")]
 
 
-@pytest.mark.parametrize("most", [bm25.BROADCAST_QUESTIONS, 0])
+@pytest.mark.parametrize("most", [bm25.BLOCK, 2])
 @pytest.mark.parametrize("p", [bm25.Bm25(), bm25.Bm25(k1=1.2, b=0.3, stopwords=("the", "of"))])
-def test_bm25_both_ways_against_brute_force(spark, monkeypatch, most, p):
-    monkeypatch.setattr(bm25, "BROADCAST_QUESTIONS", most)
+def test_bm25_in_one_block_and_more_against_brute_force(spark, monkeypatch, most, p):
+    monkeypatch.setattr(bm25, "BLOCK", most)
     questions = spark.createDataFrame(QUESTIONS, "qid string, question string")
     out = bm25.retrieve(chunks(spark), questions, 5, p)
     for qid, q in QUESTIONS:
         assert ranked(out, qid) == brute(CORPUS, q or "", 5, p), qid
 
 
-@pytest.mark.parametrize("most", [bm25.BROADCAST_QUESTIONS, 0])
+@pytest.mark.parametrize("most", [bm25.BLOCK, 2])
 def test_chunks_that_match_nothing_come_before_negative_scores(spark, monkeypatch, most):
-    monkeypatch.setattr(bm25, "BROADCAST_QUESTIONS", most)
+    monkeypatch.setattr(bm25, "BLOCK", most)
     texts = ["net sales tax", "net tax tax sales", "sales net tax", "net sales sales tax", "zzz", "net tax sales net", "tax net sales net"]  # nearly all chunks have most terms: the mean idf is negative
     questions = spark.createDataFrame([("q", "net sales"), ("r", "zzz net")], "qid string, question string")
     out = bm25.retrieve(chunks(spark, texts), questions, 4)
@@ -182,14 +182,15 @@ def test_positions_in_hot_groups_are_those_of_a_plain_window(spark):
     assert number_within(df.where("false"), ["g"], order, "rank", plain_bytes=0).count() == 0
 
 
-def test_the_best_page_without_meeting_every_page_against_brute_force(spark):
+@pytest.mark.parametrize("plain", [0, 1 << 60])
+def test_the_best_page_with_and_without_meeting_every_page_against_brute_force(spark, plain):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(30)]
     text = lambda n: " ".join(rng.choice(words, n))
     pages = [(f"D{i % 3}", i // 3, text(int(rng.integers(0, 14)))) for i in range(60)]
     asked = [(f"q{i}", f"D{i % 4}", [int(rng.integers(0, 25)), 2], text(int(rng.integers(0, 9))) if i % 9 else "zzz") for i in range(40)]
     g = spark.createDataFrame(asked, "qid string, doc_id string, evidence_pages array<int>, evidence_text string")
-    got = {r["qid"]: (r["best_page"], r["score"], r["agrees"]) for r in golden_questions.best_page(g, spark.createDataFrame(pages, "doc_id string, page_num int, text string")).collect()}
+    got = {r["qid"]: (r["best_page"], r["score"], r["agrees"]) for r in golden_questions.best_page(g, spark.createDataFrame(pages, "doc_id string, page_num int, text string"), plain_bytes=plain).collect()}
     want = {}
     for qid, doc, labels, evidence in asked:
         w = set(evidence.split())
