@@ -61,6 +61,22 @@ def chunk_recursive_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("doc_id", "page_num").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"), (F.max(F.col("end") - F.col("start")) <= 240).alias("bounded"))
 
 
+def chunk_tokens_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document that isn't blank: its chunks by tokens begin at 0, end at its end, leave no gap, and none has more tokens than size and overlap together."""
+    chunks = chunk_tokens(spark, sf_dir)
+    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))  # a document's chunks
+    gaps = chunks.withColumn("gap", F.col("start") > F.coalesce(before, F.lit(0)))
+    most = chunking.SIZE + chunking.OVERLAP
+    return gaps.groupBy("doc_id").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"), (~F.max("gap")).alias("whole"), (F.max(F.regexp_count("text", F.lit(r"(?U)\w+|[^\w\s]"))) <= most).alias("bounded"))
+
+
+def layout_chunks_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every region's page: the rows of its table over all chunks, none lost or repeated, and whether every chunk of it begins with the header."""
+    rows = layout_chunks(spark, sf_dir).where(F.col("text").contains("| nation |"))
+    lines = rows.select("doc_id", "text", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"^\| [A-Z]"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct("line").alias("different"))
+
+
 def answer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "golden").select("qid", golden.answer_type(F.col("question")).alias("answer_type"))
 
@@ -149,7 +165,7 @@ def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pages_from_documents, short_pages, chunk_ids, corpus_fingerprint, content_fingerprint, embed_cache_keys, chunk_recursive, chunk_tokens, chunk_recursive_invariants, answer_types, golden_build, golden_split, upsert_last_wins, metadata_join, cache_misses, load_totals, form_types, best_match_page, best_match_summary, page_alignment, table_flat, table_markdown, table_linearized, layout_chunks)
+    for f in (pages_from_documents, short_pages, chunk_ids, corpus_fingerprint, content_fingerprint, embed_cache_keys, chunk_recursive, chunk_tokens, chunk_recursive_invariants, chunk_tokens_invariants, layout_chunks_invariants, answer_types, golden_build, golden_split, upsert_last_wins, metadata_join, cache_misses, load_totals, form_types, best_match_page, best_match_summary, page_alignment, table_flat, table_markdown, table_linearized, layout_chunks)
 }
 
 _PAGES = "SELECT doc_id, CAST(i AS INTEGER) AS page_num, lines[i] AS text FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))"
@@ -190,6 +206,8 @@ h AS (SELECT *, sha256(doc_id || ':' || page_num || ':' || "offset")[1:16] AS ch
     "content_fingerprint": _fingerprint("'1' || chunk_id || chr(0) || CASE WHEN text IS NULL THEN '0' ELSE '1' || text END", "content_fingerprint"),
     "embed_cache_keys": f"WITH {LATEST} SELECT chunk_id, sha256('rev-1' || chr(0) || coalesce(text, '')) AS cache_key FROM latest",
     "chunk_recursive_invariants": rf"WITH p AS ({_PAGES}) SELECT doc_id, page_num, 0 AS first_start, CAST(length(text) AS INTEGER) AS last_end, true AS bounded FROM p WHERE regexp_matches(text, '\S')",
+    "chunk_tokens_invariants": r"SELECT doc_id, 0 AS first_start, CAST(length(text) AS INTEGER) AS last_end, true AS whole, true AS bounded FROM documents WHERE regexp_matches(text, '\S')",
+    "layout_chunks_invariants": "SELECT r_name AS doc_id, count(*) AS rows, count(*) AS different FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "answer_types": f"SELECT qid, {_TYPE} AS answer_type FROM golden",
     "golden_build": _BUILT,
     "golden_split": f"SELECT doc_id, answer_type, count(*) AS questions FROM ({_BUILT}) GROUP BY ALL",
