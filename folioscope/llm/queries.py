@@ -86,6 +86,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(spread(graded), table(spark, sf_dir, "answers"), languages.fit(texts), terminal, copies=most)
 
 
+def p5_plain_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found of the answers that are null, blank or their question word for word."""
+    graded = table(spark, sf_dir, "grading_baseline_dense")
+    plain = graded.where(F.col("generated_answer").isNull() | ~F.col("generated_answer").rlike(r"\S") | (F.col("generated_answer") == F.col("question")))
+    return p5_found(spark, sf_dir).join(plain.select("grade_id").distinct(), "grade_id", "left_semi")
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents"))
     sized = documents.select(F.col("doc_id").alias("key"), "source", token_count(F.col("text")).alias("tokens"), F.unhex(F.md5("text")).alias("cluster"))
@@ -200,6 +207,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_top_pages": p4_top_pages,
     "p5_found": p5_found,
+    "p5_plain_cases": p5_plain_cases,
     "p6_containers": p6_containers,
     "p6_fill_report": p6_fill_report,
     "p6_invariants": p6_invariants,
@@ -266,6 +274,7 @@ SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM forms a JOIN f
 """
 _ITEMS = "(SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS items"
 ORACLE = {
+    "p5_plain_cases": r"SELECT DISTINCT grade_id, CASE WHEN generated_answer = question THEN 'copies_question' ELSE 'empty' END AS defect FROM grading_baseline_dense WHERE generated_answer IS NULL OR NOT regexp_matches(generated_answer, '\S') OR generated_answer = question",
     "p6_invariants": f"SELECT container, capacity_tokens AS capacity, {_ITEMS}, 0 AS overfull, 0 AS split, 0 AS met, 0 AS lost FROM container_sizes",
     "p6_kept_apart": f"SELECT container, capacity_tokens AS capacity, {_ITEMS}, 0 AS overfull, 0 AS met FROM container_sizes",
     "p7_invariants": f"""SELECT source, target_share, records, CASE WHEN records >= {FEW} THEN true END AS share_met, true AS cap_kept
