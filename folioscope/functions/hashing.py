@@ -33,6 +33,15 @@ def joined_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(NUL, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def fingerprint(df: DataFrame, *columns: str, name: str = "fingerprint") -> DataFrame:
+    """One row: SHA-256 over the sorted values, each ended by NUL, as artifacts from elsewhere have it.
+
+    It needs all values in one place, so it is for word lists and the ids of one filing; for a corpus of any size there is ``content_fingerprint``.
+    """
+    value = F.concat_ws(NUL, *[F.col(c).cast("string") for c in columns])
+    return df.agg(F.sha2(F.coalesce(F.concat(F.array_join(F.array_sort(F.collect_list(value)), NUL), F.lit(NUL)), F.lit("")), 256).alias(name))
+
+
 def _digest_sum(value: Column, at: int) -> Column:
     """Sum of fifteen hexadecimal digits of each value's SHA-256, from place ``at``."""
     return F.coalesce(F.sum(F.conv(F.substring(F.sha2(value, 256), at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
