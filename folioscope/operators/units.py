@@ -58,6 +58,8 @@ _NUMBER = re.compile(
     r"(?<![A-Za-z0-9.,])(?P<sign>[-−])?(?P<open>\(\s?[-−]?)?(?P<cur2>\$)?(?P<num>(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)(?P<close>\s?\))?(?![,.]?\d)",
     re.I,
 )
+#: What the pattern above can begin with, besides a space: far quicker to look for.
+_START = re.compile(r"[-−(.$\d]|\b(?:in\s|a\s+r|us)", re.I)
 _TAIL = re.compile(
     rf"\s?(?:(?P<scale>{_SCALE})\b\s*)?(?:(?P<mark>{_any_of(MONEY_MARKS)})(?!\w)\s*)?(?:(?P<dollars>{_DOLLARS})\b)?(?:(?P<unit>{_UNIT})(?!\w))?"
     rf"(?:\s?\((?:(?:USD|US\$|\$|dollars)\s+)?in\s+(?P<behind>{_SCALE})(?:\s+of\s+(?:{_DOLLARS}))?\))?(?P<whole>\s*\bin\s+whole\s+dollars)?",
@@ -94,7 +96,11 @@ def quantities(text: str | None) -> list[tuple[str, str, float, float]]:
     if not _DIGIT.search(text):
         return out
     labels = {x.end() for r in _LABELLED for x in r.finditer(text)}
-    for m in _NUMBER.finditer(text):
+    past = 0
+    for start in _START.finditer(text):
+        if start.start() < past or not (m := _NUMBER.match(text, start.start())):
+            continue
+        past = m.end()
         if m.start("num") < done:  # it belongs to the unit before
             continue
         value = float(m["num"].replace(",", ""))
