@@ -79,23 +79,26 @@ def judge(records: DataFrame) -> DataFrame:
     return records.withColumn("verdict", F.when(F.size(missing) == 0, "correct").otherwise("incorrect"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each graded answer, of rows that share an id the first by run and answer."""
+def _records(spark: SparkSession, sf_dir: str, *, faithful: bool = False) -> DataFrame:
+    """One record for each graded answer, of rows that share an id the first by run and answer; with ``faithful`` how much of it its citations have."""
     graded = table(spark, sf_dir, "grading_baseline_dense").groupBy("grade_id").agg(F.min(F.struct("run_label", "qid", "answer_type", "question", "gold_answer", "generated_answer", "answer_hash", "human_verdict", "cited_pages")).alias("r")).select("grade_id", "r.*")
     own = table(spark, sf_dir, "answers").select("grade_id", "cited_ids", "context_ids", "insufficient_evidence", "prompt_tokens", "completion_tokens")
     c = answers.citations(F.col("cited_ids"), F.col("context_ids"))
+    joined = graded.join(own, "grade_id").withColumn("citation_validity", F.round(c["validity"], 6)).withColumn("uncited", F.size(c["kept"]) == 0)
+    judged = judge(joined.withColumn("refused", F.coalesce("insufficient_evidence", F.lit(False))))
+    if not faithful:
+        return judged
     known = answers.faithfulness(graded.select("grade_id", "generated_answer").join(own.select("grade_id", "cited_ids", "context_ids"), "grade_id"), latest_chunks(table(spark, sf_dir, "chunks")))
-    joined = graded.join(own, "grade_id").join(known, "grade_id").withColumn("citation_validity", F.round(c["validity"], 6)).withColumn("uncited", F.size(c["kept"]) == 0)
-    return judge(joined.withColumn("refused", F.coalesce("insufficient_evidence", F.lit(False))))
+    return judged.join(known, "grade_id")
 
 
 def tier2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.tier2_report(_records(spark, sf_dir), ("run_label",))
+    return answers.tier2_report(_records(spark, sf_dir, faithful=True), ("run_label",))
 
 
 def tier2_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every answer stands in the chunks that it cites; null for refusals, which are not judged."""
-    return _records(spark, sf_dir).select("grade_id", F.when(~F.col("refused"), F.col("faithfulness")).alias("faithfulness"))
+    return _records(spark, sf_dir, faithful=True).select("grade_id", F.when(~F.col("refused"), F.col("faithfulness")).alias("faithfulness"))
 
 
 def judge_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
