@@ -3,46 +3,88 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Best:
-    """For each query its ``k`` best (score, key): by score at ``digits`` decimals, highest first, then by key.
+    """For each query its ``k`` best (score, key): by score at ``digits`` decimals, highest first, then by key; NaN is the highest.
 
-    However many batches a task sees, it holds and gives ``k`` entries of a query.
+    Entries are put aside and cut for all queries at once, when they have doubled. However many batches a task sees, it gives ``k`` entries of a
+    query, and holds few times as many. ``floor`` is the rounded score that each query's k-th had at the last cut: lower ones can't come in.
     """
 
     def __init__(self, queries: int, k: int, digits: int):
         self.k, self.digits = k, digits
-        self.keys: list[np.ndarray | None] = [None] * queries
-        self.scores: list[np.ndarray | None] = [None] * queries
+        self.floor = np.full(queries, -np.inf)
+        self.slack = 10.0**-digits
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, place in the keys, score
+        self.keys: list[pa.Array] = []
+        self.held, self.seen, self.start, self.after = 0, 0, 0, 0
 
-    def _first(self, rounded: np.ndarray) -> np.ndarray:
-        """Places of the ``k`` highest, of equal ones those that come first, in that order."""
+    def _rounded(self, scores: np.ndarray) -> np.ndarray:
+        rounded = np.round(scores, self.digits) + 0.0
+        return np.where(np.isnan(rounded), np.inf, rounded)
+
+    def first(self, scores: np.ndarray) -> np.ndarray:
+        """Places of the ``k`` highest, of equal ones those that come first."""
+        rounded = self._rounded(scores)
         n = len(rounded)
-        if n > self.k:
-            least = np.partition(rounded, n - self.k)[n - self.k]
-            above, equal = np.flatnonzero(rounded > least), np.flatnonzero(rounded == least)
-            at = np.concatenate([above, equal[: self.k - len(above)]])
-            at.sort()
-        else:
-            at = np.arange(n)
-        return at[np.argsort(-rounded[at], kind="stable")]
+        if n <= self.k:
+            return np.arange(n)
+        least = np.partition(rounded, n - self.k)[n - self.k]
+        above, equal = np.flatnonzero(rounded > least), np.flatnonzero(rounded == least)
+        return np.concatenate([above, equal[: self.k - len(above)]])
+
+    def batch(self, keys: pa.Array) -> None:
+        """Takes the keys of a batch, to whose places the entries put next refer."""
+        if self.held > self.after:
+            self.cut()
+        self.start = self.seen
+        self.keys.append(keys)
+        self.seen += len(keys)
+
+    def put(self, queries: np.ndarray, places: np.ndarray, scores: np.ndarray) -> None:
+        """Entries of the batch."""
+        if len(queries):
+            self.parts.append((queries, places + self.start, scores))
+            self.held += len(queries)
 
     def add(self, query: int, keys: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of a batch's keys, which are sorted."""
-        at = self._first(np.round(scores, self.digits) + 0.0)
-        keys, scores = keys[at], scores[at]
-        if self.keys[query] is not None:
-            keys, scores = np.concatenate([self.keys[query], keys]), np.concatenate([self.scores[query], scores])
-            order = np.argsort(keys, kind="stable")
-            keys, scores = keys[order], scores[order]
-            at = self._first(np.round(scores, self.digits) + 0.0)
-            keys, scores = keys[at], scores[at]
-        self.keys[query], self.scores[query] = keys, scores
+        """Scores of one query for a batch's keys, which are sorted."""
+        self.batch(pa.array(keys))
+        at = self.first(scores)
+        self.put(np.full(len(at), query), at, scores[at])
+
+    def cut(self) -> None:
+        """Leaves the ``k`` best of each query, in order, and the keys that they have."""
+        if not self.parts:
+            return
+        q, at, scores = (np.concatenate(x) for x in zip(*self.parts))
+        used, place = np.unique(at, return_inverse=True)
+        keys = pa.chunked_array(self.keys).take(pa.array(used)).combine_chunks()
+        by_key = np.empty(len(used), dtype=np.int64)
+        by_key[pc.sort_indices(keys).to_numpy()] = np.arange(len(used))
+        rounded = self._rounded(scores)
+        order = np.lexsort((by_key[place], -rounded, q))
+        q, place, scores, rounded = q[order], place[order], scores[order], rounded[order]
+        begins = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        nth = np.arange(len(q)) - np.repeat(begins, np.diff(np.r_[begins, len(q)]))
+        self.floor[q[nth == self.k - 1]] = rounded[nth == self.k - 1]
+        kept = nth < self.k
+        self.parts = [(q[kept], place[kept], scores[kept])]
+        self.keys, self.seen, self.held = [keys], len(keys), int(kept.sum())
+        self.after = 2 * self.held
+
+    def table(self) -> tuple[np.ndarray, pa.Array | None, np.ndarray]:
+        """(query, key, score) of all that are kept, keys as they came; None for keys where there are none."""
+        self.cut()
+        if not self.parts:
+            return np.zeros(0, dtype=int), None, np.zeros(0)
+        q, at, scores = self.parts[0]
+        return q, self.keys[0].take(pa.array(at)), scores
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, key, score) of all that are kept."""
-        there = [i for i, s in enumerate(self.scores) if s is not None and len(s)]
-        if not there:
-            return np.zeros(0, dtype=int), np.zeros(0, dtype=object), np.zeros(0)
-        return np.repeat(there, [len(self.scores[i]) for i in there]), np.concatenate([self.keys[i] for i in there]), np.concatenate([self.scores[i] for i in there])
+        q, keys, scores = self.table()
+        return q, np.zeros(0, dtype=object) if keys is None else keys.to_numpy(zero_copy_only=False).astype(object), scores

@@ -7,58 +7,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.best import Best
 from folioscope.operators.bm25 import top_k
 
-#: Query vectors that are scored at once as a broadcast matrix, and up to how many are sent out that way.
-QUERY_BLOCK, BROADCAST_QUERIES = 4_096, 65_536
-#: Vectors in a block, where blocks of vectors meet blocks of queries.
-VECTOR_BLOCK = 50_000
+#: Query vectors that one task scores against the vectors it reads, and up to how many are sent out that way, in how many bytes.
+QUERY_BLOCK, BROADCAST_QUERIES, BROADCAST_BYTES = 16_384, 262_144, 256 << 20
+#: Vectors in a block, where blocks of vectors meet blocks of queries; queries and vectors in a tile, whose scores stay in a core's cache.
+VECTOR_BLOCK, TILE = 50_000, (256, 1_000)
 
 
-def _add(best: Best, unit: np.ndarray, keys: np.ndarray, vectors: list) -> None:
-    """Cosines of a batch's vectors to the queries, the rows of unit length."""
-    good = [i for i, v in enumerate(vectors) if v is not None and len(v) == unit.shape[1]]
-    if not good:
+def _add(best: Best, unit: np.ndarray, keys: pa.Array, vectors: pa.Array) -> None:
+    """Cosines of a batch's vectors to the queries, the rows of unit length.
+
+    Scores in single precision, whose error is bounded, tell which pairs can't be among the best; the others are scored in double.
+    """
+    d = unit.shape[1]
+    good = np.flatnonzero(pc.equal(pc.list_value_length(vectors), d).fill_null(False).to_numpy(zero_copy_only=False))
+    if not len(good):
         return
-    good = [good[i] for i in np.argsort(keys[good], kind="stable")]
-    m = np.stack([np.asarray(vectors[i], dtype=np.float64) for i in good])
+    keys, vectors = keys.take(pa.array(good)), vectors.take(pa.array(good))
+    order = pc.sort_indices(keys)
+    keys = keys.take(order)
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), d)[order.to_numpy()]
     length = np.linalg.norm(m, axis=1, keepdims=True)
     m = m / np.where(length == 0, 1, length)
-    for at in range(0, len(unit), 256):  # a few queries at a time, so that the scores stay small
-        score = unit[at : at + 256] @ m.T
-        for q in range(len(score)):
-            best.add(at + q, keys[good], score[q])
-
-
-def _entries(best: Best, who: np.ndarray, self_too: bool) -> pd.DataFrame:
-    q, keys, scores = best.entries()
-    got = pd.DataFrame({"q": who[q], "key": keys, "score": scores})
-    return got if self_too else got[got["q"] != got["key"]]
+    best.batch(keys)
+    floor = best.floor
+    cold, warm = np.flatnonzero(floor == -np.inf), np.flatnonzero(floor > -np.inf)
+    for at in range(0, len(cold), 64):  # a few queries at a time, so that the scores stay small
+        own = cold[at : at + 64]
+        for q, score in zip(own, unit[own] @ m.T):
+            first = best.first(score)
+            best.put(np.full(len(first), q), first, score[first])
+    # the error of a product of two unit vectors in single precision, and of rounding
+    least = (floor - best.slack - (d + 8) * 1.2e-7).astype(np.float32)
+    small = m.astype(np.float32)
+    for at in range(0, len(warm), TILE[0]):
+        own = warm[at : at + TILE[0]]
+        near, bound = unit[own].astype(np.float32), least[own][:, None]
+        for v in range(0, len(m), TILE[1]):
+            hit = np.flatnonzero(~(near @ small[v : v + TILE[1]].T < bound))  # NaN stays in
+            if not len(hit):
+                continue
+            width = min(TILE[1], len(m) - v)
+            q, place = own[hit // width], v + hit % width
+            if len(hit) > 16 * best.k * len(own):  # many equal scores
+                for one in np.unique(q):
+                    places = place[q == one]
+                    score = m[places] @ unit[one]
+                    first = best.first(score)
+                    best.put(np.full(len(first), one), places[first], score[first])
+            else:
+                best.put(q, place, np.einsum("ij,ij->i", unit[q], m[place]))
+
+
+def _entries(best: Best, who: pa.Array, self_too: bool) -> Iterator[pa.RecordBatch]:
+    q, keys, scores = best.table()
+    if keys is None:
+        return
+    got = pa.table({"q": who.take(pa.array(q)), "key": keys, "score": scores})
+    if not self_too:
+        own = pd.Series(got["q"].to_numpy(zero_copy_only=False)) != pd.Series(got["key"].to_numpy(zero_copy_only=False))
+        got = got.filter(pa.array(own.to_numpy()))
+    yield from got.combine_chunks().to_batches(max_chunksize=50_000)
 
 
-def _unit(vectors: list) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(vectors: pa.Array, size: int) -> np.ndarray:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), size)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length == 0, 1, length)
 
 
+def grid(queries: int, most: int, cores: int) -> tuple[int, int]:
+    """(queries in a block, parts that a block's scan is joined to): two tasks for each core, in few parts, as each gives ``k`` entries of a query; never one, as Spark runs a union of single partitions as one task."""
+    block = max(1, min(most, max(1_000, math.ceil(queries / cores))))
+    return block, max(2, math.ceil(2 * cores / max(1, math.ceil(queries / block))))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", qid: str = "qid", vector: str = "vector", exclude_self: bool = False, digits: int = 9) -> DataFrame:
     """``qid, key, score, rank``: the ``k`` vectors nearest to each query by cosine, ties at ``digits`` decimals by key.
 
     Null vectors and such of another length than the query's are left out, a zero vector has score 0 to all; a
-    query with a null vector doesn't come out. Up to ``BROADCAST_QUERIES`` queries go out as matrices; every batch
-    of vectors meets them where it is and only each task's ``k`` best of each query are shuffled. Beyond that, each block of
+    query with a null vector doesn't come out. Up to ``BROADCAST_QUERIES`` queries go out as matrices, in blocks; a task
+    meets all vectors, or a part of them where blocks are few, with one block, so that few more than the ``k`` best of each query are shuffled.
+    ``vectors`` should be a written table, as every block reads it. Beyond that, each block of
     vectors meets each block of queries in a group of its own, and the driver holds neither.
     """
     kinds = queries.schema[qid].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     schema = f"q {kinds[0]}, key {kinds[1]}, score double"
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("q"), F.col(vector).alias("v"))
-    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    n, values = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    if n <= BROADCAST_QUERIES and 8 * values <= BROADCAST_BYTES:
         out = _broadcast(rows, asked, k, schema, digits, exclude_self)
     else:
         out = _blocks(rows, asked, k, schema, digits, exclude_self)
@@ -67,22 +112,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk
 
 def _broadcast(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int, exclude_self: bool) -> DataFrame:
     spark, out = rows.sparkSession, None
-    held = [(r["q"], r["v"]) for r in asked.orderBy("q").collect()]
-    for size in sorted({len(v) for _, v in held}):
-        same = [h for h in held if len(h[1]) == size]
-        for at in range(0, len(same), QUERY_BLOCK):
-            block = same[at : at + QUERY_BLOCK]
-            shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], dtype=object), _unit([v for _, v in block])))
-
-            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    held = asked.orderBy("q").toArrow().combine_chunks()
+    block, parts = grid(held.num_rows, QUERY_BLOCK, spark.sparkContext.defaultParallelism)
+    sizes = pc.list_value_length(held["v"])
+    for size in sorted(pc.unique(sizes).to_pylist()):
+        same = held.filter(pc.equal(sizes, size))
+        for at in range(0, same.num_rows, block):
+            part = same.slice(at, block).combine_chunks()
+            shared = spark.sparkContext.broadcast((part["q"].combine_chunks(), _unit(part["v"].combine_chunks(), size)))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 who, unit = shared.value
                 best = Best(len(who), k + exclude_self, digits)
-                for pdf in batches:
-                    _add(best, unit, pdf["key"].to_numpy(dtype=object), [*pdf["v"]])
-                yield _entries(best, who, not exclude_self)
+                for b in batches:
+                    _add(best, unit, b.column(0), b.column(1))
+                yield from _entries(best, who, not exclude_self)
 
-            part = rows.mapInPandas(run, schema)
-            out = part if out is None else out.unionByName(part)
+            scored = rows.coalesce(parts).mapInArrow(run, schema)
+            out = scored if out is None else out.unionByName(scored)
     return spark.createDataFrame([], schema) if out is None else out
 
 
@@ -93,13 +140,15 @@ def _blocks(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int,
     left = rows.withColumn("i", own("key", n)).withColumn("j", every(m))
     right = asked.withColumn("j", own("q", m)).withColumn("i", every(n)).withColumn("size", F.size("v"))
 
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        keys, held = vectors["key"].to_numpy(dtype=object), [*vectors["v"]]
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         parts = []
-        for _, q in queries.groupby("size"):
-            best = Best(len(q), k + exclude_self, digits)
-            _add(best, _unit([*q["v"]]), keys, held)
-            parts.append(_entries(best, q["q"].to_numpy(dtype=object), not exclude_self))
-        return pd.concat(parts) if parts else pd.DataFrame({"q": [], "key": [], "score": []})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+        for size in pc.unique(queries["size"]).to_pylist():
+            part = queries.filter(pc.equal(queries["size"], size)).combine_chunks()
+            best = Best(part.num_rows, k + exclude_self, digits)
+            for b in vectors.to_batches():
+                _add(best, _unit(part["v"].combine_chunks(), size), b["key"], b["v"])
+            parts += _entries(best, part["q"].combine_chunks(), not exclude_self)
+        none = pa.table({"q": queries["q"].slice(0, 0), "key": vectors["key"].slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.Table.from_batches(parts) if parts else none
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)

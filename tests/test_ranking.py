@@ -91,6 +91,21 @@ def test_dense(spark, monkeypatch, most):
     assert dense.nearest(v, q.where("false"), 2).count() == 0 == dense.nearest(v.where("false"), q, 2).count()
 
 
+def test_dense_over_many_parts_shuffles_few_entries_and_misses_none(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 70)
+    monkeypatch.setattr(dense, "TILE", (16, 30))
+    rng = np.random.default_rng(8)
+    v, q = rng.integers(0, 3, (400, 5)).astype(float), rng.integers(0, 3, (200, 5)).astype(float)  # many ties, some zero vectors
+    table = lambda m, name: spark.createDataFrame([(f"{i:04}", x.tolist()) for i, x in enumerate(m)], f"{name} string, vector array<double>")
+    vectors, asked = table(v, "chunk_id").repartition(40), table(q, "qid")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit(q) @ unit(v).T, 9) + 0.0
+    want = {(f"{i:04}", n, f"{j:04}") for i, row in enumerate(scores) for n, j in enumerate(np.argsort(-row, kind="stable")[:7], 1)}
+    assert {(r["qid"], r["rank"], r["chunk_id"]) for r in dense.nearest(vectors, asked, 7).collect()} == want
+    rows = lambda df, key: df.select(F.col(key).alias("q" if key == "qid" else "key"), F.col("vector").alias("v"))
+    assert dense._broadcast(rows(vectors, "chunk_id"), rows(asked, "qid"), 7, "q string, key string, score double", 9, False).count() < 10 * 7 * len(q)  # of 40 parts each gave its own 7 before
+
+
 def lists(spark, pages, name="q"):
     return spark.createDataFrame([(name, f"{p:03}", i + 1, 1 - 0.1 * i) for i, p in enumerate(pages)], "qid string, chunk_id string, rank int, score double")
 
