@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from folioscope.operators import caches
 from folioscope.operators.bm25 import tokens
 from folioscope.operators.guards import require_empty
 
+#: Terms whose places a task remembers.
+PLACES = 1_000_000
 #: (texts) -> one vector each; made by the factory once in every task.
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 #: (questions, texts) -> one score each.
@@ -67,12 +73,30 @@ def unit(vectors: DataFrame, vector: str = "vector") -> DataFrame:
 def hashed_vectors(rows: DataFrame, keys: Sequence[str], text: str, dims: int) -> DataFrame:
     """``keys, vector`` without a model: how many of a text's terms fall to each of ``dims`` places by their MD5, at unit length.
 
-    ``keys`` should be unique; a text without terms has a zero vector. Terms are counted in each task before the shuffle.
+    ``keys`` should be unique; a text without terms has a zero vector. A text is counted where it is, and a term hashed once in a task.
     """
-    place = F.when(F.col("_t").isNotNull(), (F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long") % dims).cast("int"))
-    places = rows.select(*keys, F.explode_outer(tokens(F.col(text))).alias("_t")).select(*keys, place.alias("_p"))
-    counted = places.groupBy(*keys).agg(*[F.count_if(F.col("_p") == d).cast("double").alias(f"_{d}") for d in range(dims)])
-    return unit(counted.select(*keys, F.array(*[f"_{d}" for d in range(dims)]).alias("vector")))
+    find = re.compile("[a-z0-9]+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for b in batches:
+            counts = np.zeros((b.num_rows, dims))
+            for row, lowered in enumerate(b.column(len(keys)).to_pylist()):
+                at = []
+                for t in find(lowered or ""):
+                    if (p := place.get(t)) is None:
+                        if len(place) >= PLACES:
+                            place.clear()
+                        p = place[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims
+                    at.append(p)
+                counts[row] = np.bincount(at, minlength=dims) if at else 0.0
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))  # whole numbers, so exact
+            counts /= np.where(length == 0, 1, length)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], vectors], names=[*keys, "vector"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, F.lower(F.col(text)).alias("_text")).mapInArrow(run, f"{kinds}, vector array<double>")
 
 
 def score_pairs(pairs: DataFrame, factory: Callable[[], PairScorer]) -> DataFrame:
