@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -88,3 +91,23 @@ class Best:
         """(query, key, score) of all that are kept."""
         q, keys, scores = self.table()
         return q, np.zeros(0, dtype=object) if keys is None else keys.to_numpy(zero_copy_only=False).astype(object), scores
+
+
+def grid(queries: int, most: int, cores: int) -> tuple[int, int]:
+    """(queries in a block, parts that a block's scan is joined to): two tasks for each core, in few parts, as each gives ``k`` entries of a query; never one, as Spark runs a union of single partitions as one task."""
+    block = max(1, min(most, max(1_000, math.ceil(queries / cores))))
+    return block, max(2, math.ceil(2 * cores / max(1, math.ceil(queries / block))))
+
+
+def joined(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``rows`` rows or more."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)

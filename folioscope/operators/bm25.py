@@ -10,15 +10,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.lineage import written
-from folioscope.operators.best import Best
+from folioscope.operators.best import Best, grid, joined
 
 TOKEN = "[A-Za-z0-9]+"
-#: Questions whose terms are sent out at once, to be scored against every chunk where it is; the chunks are read once for each block.
-BLOCK = 20_000
+#: Questions whose terms are sent out at once, for which the chunks are read into terms, and those that one task scores.
+BLOCK, SCORED = 200_000, 25_000
+#: Share of the chunks that a frequent term is in, and how many such terms are held as a value for each of the ``ROWS`` chunks that are scored at once.
+OFTEN, WIDE, ROWS = 0.03, 256, 32_768
 
 
 @dataclass(frozen=True)
@@ -94,82 +99,172 @@ def top_k(scored: DataFrame, k: int, *, partition: Sequence[str] = ("qid",), key
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(chunks: DataFrame, asked: list[tuple[object, str]], k: int, p: Bm25, key: str, weights: dict[str, float], avgdl: float, qid_type: str) -> DataFrame:
-    """``qid, key, score``: each task's ``k`` best chunks of each question, those that match nothing with score 0.
-
-    A chunk is read into terms once, whatever the number of questions; the postings of a batch are then added up for one
-    question after the other.
-    """
+def _counted(chunks: DataFrame, places: dict[str, int], p: Bm25, key: str) -> DataFrame:
+    """``key, terms, tfs, dl``: of each chunk the terms that have a place, how often each stands there, and how many terms the chunk has."""
     stop, find = frozenset(p.stopwords), re.compile(TOKEN).findall
-    terms: dict[str, int] = {}
-    listed = []
-    for _, text in asked:
-        counts = Counter(t for t in find(text.lower()) if t not in stop and t in weights)
-        listed.append([(terms.setdefault(t, len(terms)), n * weights[t]) for t, n in counts.items()])
-    shared = chunks.sparkSession.sparkContext.broadcast((terms, listed, [q for q, _ in asked]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, questions, names = shared.value
-        best = Best(len(questions), k, p.digits)
-        for pdf in batches:
-            keys = pdf["key"].to_numpy(dtype=object)
-            order = np.argsort(keys, kind="stable")
-            texts, keys = pdf["text"].to_numpy(dtype=object)[order], keys[order]
-            rows: dict[int, list[int]] = {}
-            gains: dict[int, list[float]] = {}
-            for i, text in enumerate(texts):
+    shared = chunks.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for b in batches:
+            terms, tfs, ends, lengths = [], [], [0], []
+            for text in b.column(1).to_pylist():
                 found = find((text or "").lower())
                 if stop:
                     found = [t for t in found if t not in stop]
-                norm = p.k1 * (1 - p.b + p.b * len(found) / avgdl) if avgdl else p.k1
                 for t, n in Counter(found).items():
-                    if (w := words.get(t)) is not None:
-                        rows.setdefault(w, []).append(i)
-                        gains.setdefault(w, []).append(n * (p.k1 + 1) / (n + norm))
-            posted = {w: (np.array(r), np.array(gains[w])) for w, r in rows.items()}
-            for q, own in enumerate(questions):
-                score = np.zeros(len(keys))
-                for w, weight in own:
-                    if w in posted:
-                        at, gain = posted[w]
-                        score[at] += weight * gain
-                best.add(q, keys, score)
-        q, keys, scores = best.entries()
-        yield pd.DataFrame({"qid": np.array(names, dtype=object)[q], "key": keys, "score": scores})
-
-    rows = chunks.select(F.col(key).alias("key"), F.col("text"))
-    return rows.mapInPandas(run, f"qid {qid_type}, key {chunks.schema[key].dataType.simpleString()}, score double")
-
-
-def _scanned(chunks: DataFrame, asked: list[tuple[object, str]], k: int, p: Bm25, key: str, qid: str, qid_type: str, s: Statistics) -> DataFrame:
-    wanted = {t for _, q in asked for t in re.findall(TOKEN, q.lower())} - set(p.stopwords)
-    terms = chunks.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "term string")  # of a bounded number of questions
-    weights = {r["term"]: r["idf"] for r in idf(s, p).join(F.broadcast(terms), "term").collect()}
-    found = _scan(chunks, asked, k, p, key, weights, s.avgdl, qid_type).withColumnsRenamed({"qid": qid, "key": key})
-    return top_k(found, k, partition=(qid,), key=key, digits=p.digits)
-
-
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question", stats: Statistics | None = None) -> DataFrame:
-    """``qid, key, score, rank``: the ``k`` best chunks of every question; chunks that match nothing have score 0 and rank by their keys, before those of negative score.
+                    if (w := at.get(t)) is not None:
+                        terms.append(w)
+                        tfs.append(n)
+                ends.append(len(terms))
+                lengths.append(len(found))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), listed(terms), listed(tfs), pa.array(lengths, pa.int32())], names=["key", "terms", "tfs", "dl"])
+
+    return chunks.select(F.col(key).alias("key"), F.col("text")).mapInArrow(run, f"key {chunks.schema[key].dataType.simpleString()}, terms array<int>, tfs array<int>, dl int")
+
+
+Asked = list[tuple[tuple[tuple[int, float], ...], tuple[tuple[int, float], ...]]]
+
+
+def _score(best: Best, asked: Asked, keys: pa.Array, terms: pa.Array, tfs: pa.Array, dl: np.ndarray, often: int, p: Bm25, avgdl: float, matching: bool) -> None:
+    """Adds a batch's chunks for every question, each a pair of its frequent terms, which have the places below ``often``, and its other terms, with their weights.
+
+    Questions are in order of their frequent terms, so each sum over those is made once, and for all chunks. Where no such sum alone reaches what the
+    question's k-th has, only the chunks that have one of its other terms are looked at.
+    """
+    n = len(keys)
+    order = pc.sort_indices(keys)
+    row_of = np.empty(n, dtype=np.int64)
+    row_of[order.to_numpy()] = np.arange(n)
+    best.batch(keys.take(order))
+    row = row_of[np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))]
+    term, tf = terms.flatten().to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False)
+    length = np.empty(n)
+    length[row_of] = dl
+    norm = p.k1 * (1 - p.b + p.b * length / avgdl) if avgdl else np.full(n, p.k1)
+    gain = tf * (p.k1 + 1) / (tf + norm[row])
+    by_term = np.lexsort((row, term))
+    term, row, gain = term[by_term], row[by_term], gain[by_term]
+    begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=int)
+    posted = {int(term[i]): (row[i:j], gain[i:j]) for i, j in zip(begins, [*begins[1:], len(term)])}
+    wide: dict[int, np.ndarray] = {}
+    for w in range(often):
+        if w in posted:
+            wide[w] = np.zeros(n)
+            wide[w][posted[w][0]] = posted[w][1]
+    more, floor = np.zeros(n), best.floor - 2 * best.slack
+    stack: list[np.ndarray] = [np.zeros(n)]  # sums over the first frequent terms of a question
+    has: list[np.ndarray] = [np.zeros(n, dtype=bool)]
+    before: tuple = ()
+    lone, most = None, -np.inf
+    for q, (frequent, other) in enumerate(asked):
+        if lone is None or frequent != before:
+            same = 0
+            while same < min(len(before), len(frequent)) and before[same] == frequent[same]:
+                same += 1
+            del stack[same + 1 :], has[same + 1 :]
+            for w, weight in frequent[same:]:
+                there = wide.get(w)
+                stack.append(stack[-1] if there is None else stack[-1] + weight * there)
+                if matching:
+                    has.append(has[-1] if there is None else has[-1] | (there > 0))
+            before = frequent
+            lone = np.where(has[-1], stack[-1], -np.inf) if matching else stack[-1]
+            most = lone.max() if n else -np.inf
+        hits = [(posted[w], weight) for w, weight in other if w in posted]
+        if most < floor[q]:
+            if not hits:
+                continue
+            for (at, g), weight in hits:
+                more[at] += weight * g
+            touched = hits[0][0][0] if len(hits) == 1 else np.concatenate([at for (at, _), _ in hits])
+            score = stack[-1][touched] + more[touched]
+            more[touched] = 0.0
+            near = score >= floor[q]
+            if not near.any():
+                continue
+            places, first = np.unique(touched[near], return_index=True)
+            score = score[near][first]
+        else:
+            score, places = lone, None
+            if hits:
+                for (at, g), weight in hits:
+                    more[at] += weight * g
+                touched = hits[0][0][0] if len(hits) == 1 else np.concatenate([at for (at, _), _ in hits])
+                score = lone.copy()
+                score[touched] = stack[-1][touched] + more[touched]
+                more[touched] = 0.0
+            places = np.flatnonzero(score >= floor[q]) if floor[q] > -np.inf else np.flatnonzero(score > -np.inf)
+            score = score[places]
+        if len(places) > best.k:
+            first = best.first(score)
+            places, score = places[first], score[first]
+        best.put(np.full(len(places), q), places, score)
+
+
+def _scanned(chunks: DataFrame, questions: list[tuple[object, str]], k: int, p: Bm25, key: str, qid: str, kind: pa.DataType, qid_type: str, s: Statistics, matching: bool) -> DataFrame:
+    spark, stop = chunks.sparkSession, frozenset(p.stopwords)
+    counts = [Counter(t for t in re.findall(TOKEN, q.lower()) if t not in stop) for _, q in questions]
+    wanted = pd.DataFrame({"term": sorted({t for c in counts for t in c})}, dtype=object)  # of a bounded number of questions
+    known = idf(s, p).join(F.broadcast(spark.createDataFrame(wanted, "term string")), "term").collect()
+    known.sort(key=lambda r: (-r["df"], r["term"]))
+    places = {r["term"]: i for i, r in enumerate(known)}
+    often = sum(r["df"] > OFTEN * s.n for r in known[:WIDE])  # the first places
+    weights = [r["idf"] for r in known]
+    listed = []
+    for (q, _), c in zip(questions, counts):
+        own = sorted((places[t], n) for t, n in c.items() if t in places)
+        weighed = [(w, n * weights[w]) for w, n in own]
+        listed.append((q, tuple(x for x in weighed if x[0] < often), tuple(x for x in weighed if x[0] >= often)))
+    listed.sort(key=lambda x: x[1])
+    block, parts = grid(len(listed), SCORED, spark.sparkContext.defaultParallelism)
+    counted = _counted(chunks, places, p, key)
+    if len(listed) > block:
+        counted = written(counted, "counted-terms")
+    schema, avgdl, out = f"{qid} {qid_type}, {key} {chunks.schema[key].dataType.simpleString()}, score double", s.avgdl, None
+    for at in range(0, max(1, len(listed)), block):
+        part = listed[at : at + block]
+        shared = spark.sparkContext.broadcast((pa.array([q for q, _, _ in part], kind), [(a, b) for _, a, b in part]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            who, asked = shared.value
+            best = Best(len(asked), k, p.digits)
+            for b in joined(batches, ROWS):
+                _score(best, asked, b.column(0), b.column(1), b.column(2), b.column(3).to_numpy(zero_copy_only=False), often, p, avgdl, matching)
+            q, keys, scores = best.table()
+            if keys is not None:
+                yield from pa.table({qid: who.take(pa.array(q)), key: keys, "score": scores}).combine_chunks().to_batches(max_chunksize=50_000)
+
+        scored = counted.coalesce(parts).mapInArrow(run, schema)
+        out = scored if out is None else out.unionByName(scored)
+    return top_k(out, k, partition=(qid,), key=key, digits=p.digits)
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int, p: Bm25 = Bm25(), key: str = "chunk_id", qid: str = "qid", question: str = "question", stats: Statistics | None = None, matching: bool = False) -> DataFrame:
+    """``qid, key, score, rank``: the ``k`` best chunks of every question; chunks that match nothing have score 0 and rank by their keys, before those of negative score. With ``matching`` they are left out.
 
     Chunks must be unique in ``key``, and should be a written table, as they are read more than once; a null text has no terms. Questions
-    are sent out, ``BLOCK`` at a time, and scored against each chunk where it is, which shuffles no more than each task's ``k``
-    best. Joining postings instead (``scores_by_postings``) would make a row of every term that a question and a chunk share.
+    are taken ``BLOCK`` at a time; chunks are read into the terms that these have once, and each task scores a part of the questions against all chunks, or a large
+    part of them where questions are few. So few more than the ``k`` best of a question are shuffled. Joining postings instead (``scores_by_postings``) would make
+    a row of every term that a question and a chunk share.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     s = stats or statistics(chunks, p)
     qid_type = questions.schema[qid].dataType.simpleString()
+    kind = to_arrow_type(questions.schema[qid].dataType)
     out, block = None, []
+
+    def scan() -> DataFrame:
+        part = _scanned(chunks, block, k, p, key, qid, kind, qid_type, s, matching)
+        return part if out is None else out.unionByName(part)
+
     for r in questions.select(qid, question).orderBy(qid).toLocalIterator():
         block.append((r[0], r[1] or ""))
         if len(block) == BLOCK:
-            part, block = _scanned(chunks, block, k, p, key, qid, qid_type, s), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = _scanned(chunks, block, k, p, key, qid, qid_type, s)
-        out = part if out is None else out.unionByName(part)
-    return out
+            out, block = scan(), []
+    return scan() if block or out is None else out
 
 
 def okapi_idf(n: int, df: int) -> float:

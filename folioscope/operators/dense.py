@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators.best import Best
+from folioscope.operators.best import Best, grid
 from folioscope.operators.bm25 import top_k
 
 #: Query vectors that one task scores against the vectors it reads, and up to how many are sent out that way, in how many bytes.
@@ -83,12 +83,6 @@ def _unit(vectors: pa.Array, size: int) -> np.ndarray:
     return m / np.where(length == 0, 1, length)
 
 
-def grid(queries: int, most: int, cores: int) -> tuple[int, int]:
-    """(queries in a block, parts that a block's scan is joined to): two tasks for each core, in few parts, as each gives ``k`` entries of a query; never one, as Spark runs a union of single partitions as one task."""
-    block = max(1, min(most, max(1_000, math.ceil(queries / cores))))
-    return block, max(2, math.ceil(2 * cores / max(1, math.ceil(queries / block))))
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", qid: str = "qid", vector: str = "vector", exclude_self: bool = False, digits: int = 9) -> DataFrame:
     """``qid, key, score, rank``: the ``k`` vectors nearest to each query by cosine, ties at ``digits`` decimals by key.
 

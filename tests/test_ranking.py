@@ -59,6 +59,26 @@ def test_chunks_that_match_nothing_come_before_negative_scores(spark, monkeypatc
     assert ranked(out, "r") == brute(texts, "zzz net", 4)
 
 
+def test_bm25_of_chunks_that_match_only(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SCORED", 7)
+    monkeypatch.setattr(bm25, "ROWS", 16)
+    monkeypatch.setattr(bm25, "OFTEN", 0.2)
+    monkeypatch.setattr(bm25, "scores_by_postings", lambda *a, **k: pytest.fail("a row for each term that a question and a chunk share"))
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(25)]
+    text = lambda n: " ".join(words[int(i)] for i in rng.geometric(0.15, n) % 25)
+    texts, asked = [text(int(rng.integers(0, 9))) for _ in range(120)], [text(int(rng.integers(0, 6))) for _ in range(40)]
+    questions = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(asked)], "qid string, question string")
+    got = {}
+    for r in bm25.retrieve(chunks(spark, texts).repartition(6), questions, 5, matching=True).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["chunk_id"]
+    for i, q in enumerate(asked):
+        want = [c for c in brute(texts, q, len(texts)) if set(q.split()) & set(texts[int(c)].split())][:5]
+        assert [c for _, c in sorted(got.get(f"q{i}", {}).items())] == want, q
+    every = bm25.retrieve(chunks(spark, texts).repartition(6), questions, 5).collect()
+    assert all([r["chunk_id"] for r in sorted((r for r in every if r["qid"] == f"q{i}"), key=lambda r: r["rank"])] == brute(texts, q, 5) for i, q in enumerate(asked))
+
+
 def test_the_best_of_many_batches_with_ties():
     rng = np.random.default_rng(3)
     scores, best, seen = rng.integers(-3, 4, 500) / 2.0, Best(2, 7, 9), []
