@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.hashing import content_fingerprint
+from folioscope.lineage import written
 from folioscope.operators import bm25, dense, frozen, metrics, ranking
 from folioscope.settings import Settings
 from folioscope.sources import sinks
@@ -71,6 +72,7 @@ def retrieve(s: Settings, c: Corpus, questions: DataFrame) -> DataFrame:
     ranked = BACKENDS[s.retrieval.backend](s, c, questions)
     if not s.rerank.enabled:
         return ranked
+    ranked = written(ranked, "ranked")  # read three times: for the pairs, for the guard and for the result
     pairs = ranked.select("qid", "chunk_id").join(questions.select("qid", "question"), "qid").join(c.chunks.select("chunk_id", "text"), "chunk_id")
     return ranking.rerank(ranked, _needed(c.pair_scores, "pair_scores")(pairs), top=s.rerank.top_n)
 

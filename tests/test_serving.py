@@ -215,3 +215,21 @@ def test_fingerprints_and_tickers(spark):
     assert caches.with_tickers(rows(" VELMORA"), known).first()["ticker"] == "VEL"
     with pytest.raises(ValueError, match="no ticker"):
         caches.with_tickers(rows("Oriva"), known)
+
+
+def test_a_ranking_is_made_once_for_reranking(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def backend(s, c, asked):
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return asked.selectExpr("qid", "'c1' AS chunk_id", "1.0D AS score", "1 AS rank").mapInArrow(run, "qid string, chunk_id string, score double, rank int")
+
+    monkeypatch.setitem(backends.BACKENDS, "sparse", backend)
+    s = replace(Settings(), retrieval=Retrieval("sparse", 3), rerank=Rerank(True, 2))
+    overlaps = lambda pairs: pairs.select("qid", "chunk_id", scorers.overlap(F.col("question"), F.col("text")).alias("score"))
+    got = backends.retrieve(s, backends.Corpus(chunks(spark), pair_scores=overlaps), questions(spark)).collect()
+    assert sorted((r["qid"], r["rank"]) for r in got) == [("q1", 1), ("q2", 1)] and made.value == 2
