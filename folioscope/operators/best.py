@@ -93,6 +93,13 @@ class Best:
         return q, np.zeros(0, dtype=object) if keys is None else keys.to_numpy(zero_copy_only=False).astype(object), scores
 
 
+def each(q: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among all, entry) for entries of groups ``q``, once for each member of the group, where group ``g`` has the places from ``ends[g]`` to before ``ends[g + 1]``."""
+    sizes = np.diff(ends)[q]
+    entry = np.repeat(np.arange(len(q)), sizes)
+    return np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes - ends[q], sizes), entry
+
+
 def grid(queries: int, most: int, cores: int) -> tuple[int, int]:
     """(queries in a block, parts that a block's scan is joined to): two tasks for each core, in few parts, as each gives ``k`` entries of a query; never one, as Spark runs a union of single partitions as one task."""
     block = max(1, min(most, max(1_000, math.ceil(queries / cores))))
@@ -111,3 +118,12 @@ def joined(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             held, n = [], 0
     if held:
         yield pa.concat_batches(held)
+
+
+def growing(batches: Iterable[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, the first batch in parts of ``first`` rows, then three times as many as before each: most of it already meets a floor."""
+    for n, b in enumerate(batches):
+        at, size = 0, first if n == 0 else b.num_rows
+        while at < b.num_rows:
+            yield b.slice(at, size)
+            at, size = at + size, 3 * (at + size)

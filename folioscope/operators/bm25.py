@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.lineage import written
-from folioscope.operators.best import Best, grid, joined
+from folioscope.operators.best import Best, each, grid, growing, joined
 
 TOKEN = "[A-Za-z0-9]+"
 #: Questions whose terms are sent out at once, for which the chunks are read into terms, and those that one task scores.
 BLOCK, SCORED = 200_000, 25_000
 #: Share of the chunks that a frequent term is in, and how many such terms are held as a value for each of the ``ROWS`` chunks that are scored at once.
 OFTEN, WIDE, ROWS = 0.03, 256, 32_768
+#: Sums of rarer terms, one for a chunk, that a task holds at once for questions that share them; chunks that a task scores first, so that later ones meet a question's k-th.
+HELD, FIRST = 4_000_000, 1_024
 
 
 @dataclass(frozen=True)
@@ -130,21 +133,18 @@ Asked = list[tuple[tuple[tuple[int, float], ...], tuple[tuple[int, float], ...]]
 def _score(best: Best, asked: Asked, keys: pa.Array, terms: pa.Array, tfs: pa.Array, dl: np.ndarray, often: int, p: Bm25, avgdl: float, matching: bool) -> None:
     """Adds a batch's chunks for every question, each a pair of its frequent terms, which have the places below ``often``, and its other terms, with their weights.
 
-    Questions are in order of their frequent terms, so each sum over those is made once, and for all chunks. Where no such sum alone reaches what the
-    question's k-th has, only the chunks that have one of its other terms are looked at.
+    Questions are in order of their frequent terms, so each sum over those is made once, for all chunks and all questions that have these terms; each question then
+    looks only at the chunks whose sum reaches what its k-th has, and at those that have one of its other terms, whose sums are shared likewise.
     """
     n = len(keys)
     order = pc.sort_indices(keys)
-    row_of = np.empty(n, dtype=np.int64)
-    row_of[order.to_numpy()] = np.arange(n)
     best.batch(keys.take(order))
-    row = row_of[np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))]
+    terms, tfs, length = terms.take(order), tfs.take(order), dl[order.to_numpy()]
+    row = np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
     term, tf = terms.flatten().to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False)
-    length = np.empty(n)
-    length[row_of] = dl
     norm = p.k1 * (1 - p.b + p.b * length / avgdl) if avgdl else np.full(n, p.k1)
     gain = tf * (p.k1 + 1) / (tf + norm[row])
-    by_term = np.lexsort((row, term))
+    by_term = np.argsort(term.astype(np.int16) if not len(term) or term.max() < 1 << 15 else term, kind="stable")
     term, row, gain = term[by_term], row[by_term], gain[by_term]
     begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, dtype=int)
     posted = {int(term[i]): (row[i:j], gain[i:j]) for i, j in zip(begins, [*begins[1:], len(term)])}
@@ -153,54 +153,74 @@ def _score(best: Best, asked: Asked, keys: pa.Array, terms: pa.Array, tfs: pa.Ar
         if w in posted:
             wide[w] = np.zeros(n)
             wide[w][posted[w][0]] = posted[w][1]
-    more, floor = np.zeros(n), best.floor - 2 * best.slack
+    more, mark, floor = np.zeros(n), np.zeros(n, dtype=bool), best.floor - 2 * best.slack
     stack: list[np.ndarray] = [np.zeros(n)]  # sums over the first frequent terms of a question
     has: list[np.ndarray] = [np.zeros(n, dtype=bool)]
     before: tuple = ()
-    lone, most = None, -np.inf
-    for q, (frequent, other) in enumerate(asked):
-        if lone is None or frequent != before:
-            same = 0
-            while same < min(len(before), len(frequent)) and before[same] == frequent[same]:
-                same += 1
-            del stack[same + 1 :], has[same + 1 :]
-            for w, weight in frequent[same:]:
-                there = wide.get(w)
-                stack.append(stack[-1] if there is None else stack[-1] + weight * there)
-                if matching:
-                    has.append(has[-1] if there is None else has[-1] | (there > 0))
-            before = frequent
-            lone = np.where(has[-1], stack[-1], -np.inf) if matching else stack[-1]
-            most = lone.max() if n else -np.inf
+    gains: dict[tuple, tuple[np.ndarray, np.ndarray] | None] = {}  # of sets of other terms, which questions share: places and sums, the highest last
+    held = 0
+
+    def sums(other: tuple) -> tuple[np.ndarray, np.ndarray] | None:
         hits = [(posted[w], weight) for w, weight in other if w in posted]
-        if most < floor[q]:
-            if not hits:
-                continue
-            for (at, g), weight in hits:
-                more[at] += weight * g
-            touched = hits[0][0][0] if len(hits) == 1 else np.concatenate([at for (at, _), _ in hits])
-            score = stack[-1][touched] + more[touched]
-            more[touched] = 0.0
-            near = score >= floor[q]
-            if not near.any():
+        if not hits:
+            return None
+        for (at, g), weight in hits:
+            more[at] += weight * g
+            mark[at] = True
+        touched = np.flatnonzero(mark)
+        gained = more[touched]
+        more[touched], mark[touched] = 0.0, False
+        up = np.argsort(gained)
+        return touched[up], gained[up]
+
+    for frequent, group in groupby(enumerate(asked), key=lambda x: x[1][0]):
+        same = 0
+        while same < min(len(before), len(frequent)) and before[same] == frequent[same]:
+            same += 1
+        del stack[same + 1 :], has[same + 1 :]
+        for w, weight in frequent[same:]:
+            there = wide.get(w)
+            stack.append(stack[-1] if there is None else stack[-1] + weight * there)
+            if matching:
+                has.append(has[-1] if there is None else has[-1] | (there > 0))
+        before = frequent
+        lone = np.where(has[-1], stack[-1], -np.inf) if matching else stack[-1]
+        own = [(q, other) for q, (_, other) in group]
+        least = min(floor[q] for q, _ in own)
+        # what may come in by the frequent terms alone, for the question that asks least
+        good = np.flatnonzero(lone >= least if least > -np.inf else lone > -np.inf)
+        value, most = lone[good], stack[-1].max() if n else -np.inf
+        for q, other in own:
+            if other not in gains:
+                if held > HELD:
+                    gains.clear()
+                    held = 0
+                gains[other] = sums(other)
+                held += len(gains[other][0]) if gains[other] else 0
+            places, score = good, value
+            if len(good) and floor[q] > least:
+                places = np.flatnonzero(value >= floor[q])
+                places, score = good[places], value[places]
+            if (found := gains[other]) is not None:
+                touched, gained = found
+                if len(places):
+                    mark[touched] = True
+                    rest = ~mark[places]
+                    mark[touched] = False
+                    places, score = places[rest], score[rest]
+                enough = gained.searchsorted(floor[q] - most - best.slack)  # lower ones can't come in with the highest sum
+                touched = touched[enough:]
+                summed = stack[-1][touched] + gained[enough:]
+                near = summed >= floor[q]
+                if near.any():
+                    places, score = np.concatenate([places, touched[near]]), np.concatenate([score, summed[near]])
+            if not len(places):
                 continue
-            places, first = np.unique(touched[near], return_index=True)
-            score = score[near][first]
-        else:
-            score, places = lone, None
-            if hits:
-                for (at, g), weight in hits:
-                    more[at] += weight * g
-                touched = hits[0][0][0] if len(hits) == 1 else np.concatenate([at for (at, _), _ in hits])
-                score = lone.copy()
-                score[touched] = stack[-1][touched] + more[touched]
-                more[touched] = 0.0
-            places = np.flatnonzero(score >= floor[q]) if floor[q] > -np.inf else np.flatnonzero(score > -np.inf)
-            score = score[places]
-        if len(places) > best.k:
-            first = best.first(score)
-            places, score = places[first], score[first]
-        best.put(np.full(len(places), q), places, score)
+            if len(places) > best.k:
+                order = np.argsort(places)
+                first = order[best.first(score[order])]
+                places, score = places[first], score[first]
+            best.put(np.full(len(places), q), places, score)
 
 
 def _scanned(chunks: DataFrame, questions: list[tuple[object, str]], k: int, p: Bm25, key: str, qid: str, kind: pa.DataType, qid_type: str, s: Statistics, matching: bool) -> DataFrame:
@@ -212,11 +232,13 @@ def _scanned(chunks: DataFrame, questions: list[tuple[object, str]], k: int, p:
     places = {r["term"]: i for i, r in enumerate(known)}
     often = sum(r["df"] > OFTEN * s.n for r in known[:WIDE])  # the first places
     weights = [r["idf"] for r in known]
-    listed = []
+    alike: dict[tuple, list] = {}  # questions that ask for the same terms have one ranking
     for (q, _), c in zip(questions, counts):
-        own = sorted((places[t], n) for t, n in c.items() if t in places)
+        alike.setdefault(tuple(sorted((places[t], n) for t, n in c.items() if t in places)), []).append(q)
+    listed = []
+    for own, who in alike.items():
         weighed = [(w, n * weights[w]) for w, n in own]
-        listed.append((q, tuple(x for x in weighed if x[0] < often), tuple(x for x in weighed if x[0] >= often)))
+        listed.append((who, tuple(x for x in weighed if x[0] < often), tuple(x for x in weighed if x[0] >= often)))
     listed.sort(key=lambda x: x[1])
     block, parts = grid(len(listed), SCORED, spark.sparkContext.defaultParallelism)
     counted = _counted(chunks, places, p, key)
@@ -225,16 +247,18 @@ def _scanned(chunks: DataFrame, questions: list[tuple[object, str]], k: int, p:
     schema, avgdl, out = f"{qid} {qid_type}, {key} {chunks.schema[key].dataType.simpleString()}, score double", s.avgdl, None
     for at in range(0, max(1, len(listed)), block):
         part = listed[at : at + block]
-        shared = spark.sparkContext.broadcast((pa.array([q for q, _, _ in part], kind), [(a, b) for _, a, b in part]))
+        ends = np.cumsum([0, *(len(who) for who, _, _ in part)])
+        shared = spark.sparkContext.broadcast((pa.array([q for who, _, _ in part for q in who], kind), ends, [(a, b) for _, a, b in part]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            who, asked = shared.value
+            who, ends, asked = shared.value
             best = Best(len(asked), k, p.digits)
-            for b in joined(batches, ROWS):
+            for b in growing(joined(batches, ROWS), FIRST):
                 _score(best, asked, b.column(0), b.column(1), b.column(2), b.column(3).to_numpy(zero_copy_only=False), often, p, avgdl, matching)
             q, keys, scores = best.table()
             if keys is not None:
-                yield from pa.table({qid: who.take(pa.array(q)), key: keys, "score": scores}).combine_chunks().to_batches(max_chunksize=50_000)
+                own, entry = each(q, ends)
+                yield from pa.table({qid: who.take(own), key: keys.take(entry), "score": scores[entry]}).combine_chunks().to_batches(max_chunksize=50_000)
 
         scored = counted.coalesce(parts).mapInArrow(run, schema)
         out = scored if out is None else out.unionByName(scored)

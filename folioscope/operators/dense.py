@@ -12,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators.best import Best, grid
+from folioscope.operators.best import Best, each, grid, growing
 from folioscope.operators.bm25 import top_k
 
 #: Query vectors that one task scores against the vectors it reads, and up to how many are sent out that way, in how many bytes.
 QUERY_BLOCK, BROADCAST_QUERIES, BROADCAST_BYTES = 16_384, 262_144, 256 << 20
 #: Vectors in a block, where blocks of vectors meet blocks of queries; queries and vectors in a tile, whose scores stay in a core's cache.
-VECTOR_BLOCK, TILE = 50_000, (256, 1_000)
+VECTOR_BLOCK, TILE = 50_000, (512, 1_000)
+#: Vectors that a task meets first, so that later ones meet each query's k-th.
+FIRST = 1_000
 
 
 def _add(best: Best, unit: np.ndarray, keys: pa.Array, vectors: pa.Array) -> None:
@@ -51,11 +53,12 @@ def _add(best: Best, unit: np.ndarray, keys: pa.Array, vectors: pa.Array) -> Non
         own = warm[at : at + TILE[0]]
         near, bound = unit[own].astype(np.float32), least[own][:, None]
         for v in range(0, len(m), TILE[1]):
-            hit = np.flatnonzero(~(near @ small[v : v + TILE[1]].T < bound))  # NaN stays in
-            if not len(hit):
+            product = near @ small[v : v + TILE[1]].T
+            some = np.flatnonzero(~(product.max(axis=1) < bound[:, 0]))  # NaN stays in
+            if not len(some):
                 continue
-            width = min(TILE[1], len(m) - v)
-            q, place = own[hit // width], v + hit % width
+            hit, at_place = np.nonzero(~(product[some] < bound[some]))
+            q, place = own[some[hit]], v + at_place
             if len(hit) > 16 * best.k * len(own):  # many equal scores
                 for one in np.unique(q):
                     places = place[q == one]
@@ -66,11 +69,12 @@ def _add(best: Best, unit: np.ndarray, keys: pa.Array, vectors: pa.Array) -> Non
                 best.put(q, place, np.einsum("ij,ij->i", unit[q], m[place]))
 
 
-def _entries(best: Best, who: pa.Array, self_too: bool) -> Iterator[pa.RecordBatch]:
+def _entries(best: Best, who: pa.Array, ends: np.ndarray, self_too: bool) -> Iterator[pa.RecordBatch]:
     q, keys, scores = best.table()
     if keys is None:
         return
-    got = pa.table({"q": who.take(pa.array(q)), "key": keys, "score": scores})
+    own, entry = each(q, ends)
+    got = pa.table({"q": who.take(own), "key": keys.take(entry), "score": scores[entry]})
     if not self_too:
         own = pd.Series(got["q"].to_numpy(zero_copy_only=False)) != pd.Series(got["key"].to_numpy(zero_copy_only=False))
         got = got.filter(pa.array(own.to_numpy()))
@@ -83,6 +87,15 @@ def _unit(vectors: pa.Array, size: int) -> np.ndarray:
     return m / np.where(length == 0, 1, length)
 
 
+def _alike(part: pa.Table, size: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Queries in groups with one vector, the ends of the groups, and a unit vector for each: equal vectors have one ranking."""
+    m = np.ascontiguousarray(_unit(part["v"].combine_chunks(), size))
+    if not size:
+        return part["q"].combine_chunks(), np.arange(len(m) + 1), m
+    _, first, group = np.unique(m.view(np.dtype((np.void, m.itemsize * size))).ravel(), return_index=True, return_inverse=True)
+    return part["q"].combine_chunks().take(np.argsort(group, kind="stable")), np.r_[0, np.cumsum(np.bincount(group))], m[first]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", qid: str = "qid", vector: str = "vector", exclude_self: bool = False, digits: int = 9) -> DataFrame:
     """``qid, key, score, rank``: the ``k`` vectors nearest to each query by cosine, ties at ``digits`` decimals by key.
 
@@ -107,20 +120,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk
 def _broadcast(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int, exclude_self: bool) -> DataFrame:
     spark, out = rows.sparkSession, None
     held = asked.orderBy("q").toArrow().combine_chunks()
-    block, parts = grid(held.num_rows, QUERY_BLOCK, spark.sparkContext.defaultParallelism)
     sizes = pc.list_value_length(held["v"])
     for size in sorted(pc.unique(sizes).to_pylist()):
-        same = held.filter(pc.equal(sizes, size))
-        for at in range(0, same.num_rows, block):
-            part = same.slice(at, block).combine_chunks()
-            shared = spark.sparkContext.broadcast((part["q"].combine_chunks(), _unit(part["v"].combine_chunks(), size)))
+        who, ends, unit = _alike(held.filter(pc.equal(sizes, size)), size)
+        block, parts = grid(len(unit), QUERY_BLOCK, spark.sparkContext.defaultParallelism)
+        for at in range(0, len(unit), block):
+            own = ends[at : at + block + 1]
+            shared = spark.sparkContext.broadcast((who.slice(own[0], own[-1] - own[0]), own - own[0], unit[at : at + block]))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                who, unit = shared.value
-                best = Best(len(who), k + exclude_self, digits)
-                for b in batches:
+                who, ends, unit = shared.value
+                best = Best(len(unit), k + exclude_self, digits)
+                for b in growing(batches, FIRST):
                     _add(best, unit, b.column(0), b.column(1))
-                yield from _entries(best, who, not exclude_self)
+                yield from _entries(best, who, ends, not exclude_self)
 
             scored = rows.coalesce(parts).mapInArrow(run, schema)
             out = scored if out is None else out.unionByName(scored)
@@ -141,7 +154,7 @@ def _blocks(rows: DataFrame, asked: DataFrame, k: int, schema: str, digits: int,
             best = Best(part.num_rows, k + exclude_self, digits)
             for b in vectors.to_batches():
                 _add(best, _unit(part["v"].combine_chunks(), size), b["key"], b["v"])
-            parts += _entries(best, part["q"].combine_chunks(), not exclude_self)
+            parts += _entries(best, part["q"].combine_chunks(), np.arange(part.num_rows + 1), not exclude_self)
         none = pa.table({"q": queries["q"].slice(0, 0), "key": vectors["key"].slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.Table.from_batches(parts) if parts else none
 

@@ -77,19 +77,22 @@ def hashed_vectors(rows: DataFrame, keys: Sequence[str], text: str, dims: int) -
     """
     find = re.compile("[a-z0-9]+").findall
 
+    class Places(dict):
+        def __missing__(self, t: str) -> int:
+            if len(self) >= PLACES:
+                self.clear()
+            p = self[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims
+            return p
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
+        place = Places().__getitem__
         for b in batches:
-            counts = np.zeros((b.num_rows, dims))
-            for row, lowered in enumerate(b.column(len(keys)).to_pylist()):
-                at = []
-                for t in find(lowered or ""):
-                    if (p := place.get(t)) is None:
-                        if len(place) >= PLACES:
-                            place.clear()
-                        p = place[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dims
-                    at.append(p)
-                counts[row] = np.bincount(at, minlength=dims) if at else 0.0
+            at, ends = [], [0]
+            for lowered in b.column(len(keys)).to_pylist():
+                at.extend(map(place, find(lowered or "")))
+                ends.append(len(at))
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            counts = np.bincount(row * dims + np.array(at, dtype=np.int64), minlength=b.num_rows * dims).reshape(b.num_rows, dims).astype(float)
             length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))  # whole numbers, so exact
             counts /= np.where(length == 0, 1, length)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims), pa.array(counts.ravel()))

@@ -130,6 +130,32 @@ def lists(spark, pages, name="q"):
     return spark.createDataFrame([(name, f"{p:03}", i + 1, 1 - 0.1 * i) for i, p in enumerate(pages)], "qid string, chunk_id string, rank int, score double")
 
 
+def test_questions_that_ask_for_the_same_are_scored_once(spark, monkeypatch):
+    scored = []
+    plain = bm25.grid
+    for module in (bm25, dense):
+        monkeypatch.setattr(module, "grid", lambda n, most, cores: scored.append(n) or plain(n, most, cores))
+    words = ["net", "sales", "rose", "fell", "cost"]
+    chunks = spark.createDataFrame([(f"c{i:03}", " ".join(words[(i * j) % 5] for j in range(1 + i % 7))) for i in range(300)], "chunk_id string, text string")
+    questions = spark.createDataFrame([(f"q{i}", " ".join(words[: 1 + i % 3][:: 1 if i < 6 else -1])) for i in range(12)], "qid string, question string")
+    ranked = {}
+    for r in bm25.retrieve(chunks, questions, 4).orderBy("qid", "rank").collect():
+        ranked.setdefault(r["qid"], []).append((r["chunk_id"], r["score"]))
+    alone = bm25.retrieve(chunks, questions.where("qid = 'q2'"), 4).orderBy("rank").collect()
+    assert scored[0] == 3 and len(ranked) == 12 and all(ranked[f"q{i}"] == ranked[f"q{i % 3}"] for i in range(12))
+    assert ranked["q2"] == [(r["chunk_id"], r["score"]) for r in alone] and len(alone) == 4
+    scored.clear()
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id int, vector array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i % 2), 0.5]) for i in range(8)], "qid int, vector array<double>")
+    near = {}
+    for r in dense.nearest(vectors, asked, 3, exclude_self=True).orderBy("qid", "rank").collect():
+        near.setdefault(r["qid"], []).append(r["chunk_id"])
+    v = {r["chunk_id"]: np.array(r["vector"]) for r in vectors.collect()}
+    cosine = lambda q, c: round(float(q @ v[c] / np.linalg.norm(q) / np.linalg.norm(v[c])), 9)
+    want = {i: sorted((c for c in v if c != i), key=lambda c: (-cosine(np.array([1.0, i % 2, 0.5]), c), c))[:3] for i in range(8)}
+    assert scored == [2] and near == want
+
+
 def test_fusion(spark):
     fused = ranking.fuse(lists(spark, [1, 2]), lists(spark, [2, 3]))
     assert ranked(fused, "q") == ["002", "001", "003"]
