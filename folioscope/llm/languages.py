@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.readingform import LOOKALIKES, reading_form, same_alphabet_form
+from folioscope.llm.shared import written
 
 # For each language its two-letter code, three-letter codes and English name.
 NAMES = {
@@ -218,11 +220,17 @@ def _table(counts: dict[str, Counter], languages: list[str], floor: float, least
     return out
 
 
-def _model(lines: list[tuple[str, list[str]]], languages: list[str]) -> LanguageModel:
-    """A model of (language, words of a line)."""
-    words, scripts, grams = defaultdict(Counter), defaultdict(Counter), {n: defaultdict(Counter) for n in range(SHORTEST, LONGEST + 1)}
+def _counted(lines: Iterable[tuple[str, list[str]]]) -> dict[str, Counter]:
+    words = defaultdict(Counter)
     for label, ws in lines:
         words[label].update(ws)
+    return words
+
+
+def _model(words: dict[str, Counter], languages: list[str]) -> LanguageModel:
+    """A model of each language's words and how often they are there."""
+    words = defaultdict(Counter, {label: words[label] for label in languages if label in words})
+    scripts, grams = defaultdict(Counter), {n: defaultdict(Counter) for n in range(SHORTEST, LONGEST + 1)}
     for label in languages:
         for w, n in words[label].items():
             scripts[label][script_of(w)] += n
@@ -232,35 +240,54 @@ def _model(lines: list[tuple[str, list[str]]], languages: list[str]) -> Language
     return LanguageModel(languages, _table(words, languages, 0.5, 2), {n: _table(grams[n], languages, 0.5, 2) for n in grams}, _table(scripts, languages, 0.5, 1))
 
 
-def _named(lines: list[tuple[str, list[str]]]) -> list[str]:
-    """The languages of the labels, without those that are wrong labels only: few lines, whose words are mostly known in one other language."""
-    words, size = defaultdict(Counter), Counter(label for label, _ in lines)
-    for label, ws in lines:
-        words[label].update(ws)
-    often = {label: {w for w, n in c.items() if n > 1} for label, c in words.items()}
-    share = lambda a, b: sum(n for w, n in words[a].items() if w in often[b]) / max(1, sum(words[a].values()))
+def _named(words: dict[str, Counter], size: Counter) -> list[str]:
+    """The languages of the labels, without those that are wrong labels only: few lines (``size``), whose words are mostly known in one other language."""
+    total = {label: c.total() for label, c in words.items()}
+    # known is what the other has more than once, and a tenth as often, or it is there by some lines of this language in its texts
+    known = lambda w, n, a, b: words[b][w] > 1 and 10 * words[b][w] * total[a] >= (n - 1) * total[b]
+    share = lambda a, b: sum(n for w, n in words[a].items() if known(w, n, a, b)) / max(1, total[a])
     wrong = {a for a in words for b in words if size[a] * 10 <= size[b] and share(a, b) >= SWALLOWED}
     return sorted(set(words) - wrong) or ["en"]
 
 
-def _weighted(model: LanguageModel, held: list[tuple[str, list[str]]]) -> None:
-    """Sets the weights that give held-out lines, and their first words alone, the highest mean log probability; and how strange a line must be to be in no language."""
+def _clear(model: LanguageModel, lines: list[list[str]]) -> Iterator[tuple[str, list[str], bool]]:
+    """(language found, words, whether the line is held out) of the lines whose language is clear."""
+    p, _ = model.posteriors(lines)
+    best = p.argmax(axis=1)
+    for k, ws, row in zip(best, lines, p):
+        if row[k] >= 0.8:
+            yield model.languages[k], ws, xxhash.xxh3_64_intdigest(" ".join(ws)) % HELD_OUT == 0
+
+
+#: Weights that are tried.
+_TRIED = [(f, s) for f in FALLBACKS for s in SMOOTHS]
+
+
+def _suits(model: LanguageModel, held: list[tuple[str, list[str]]]) -> tuple[list[float], int, int, float]:
+    """For held-out lines and their first words alone the sum of the log probabilities under each of the weights, and their number; the number of lines of four words or more, and the least share of known words of one."""
     at = {lang: k for k, lang in enumerate(model.languages)}
     parts = [(at[lang], ws[:n]) for lang, ws in held for n in (1, 2, 3, len(ws)) if lang in at]
+    shares = [sum(w in model.rows for w in ws) / len(ws) for lang, ws in held if len(ws) >= 4]
     if not parts:
-        return
+        return [0.0] * len(_TRIED), 0, len(shares), min(shares, default=1.0)
     none = np.zeros(len(model.languages))
     sums = np.array([[sum((model.words[w] for w in ws if w in model.rows), none), *(sum(x, none) for x in zip(*[model.backoff(w) for w in ws if w not in model.rows] or [(none, none)]))] for _, ws in parts])
     truth = np.array([k for k, _ in parts])
 
-    def mean_log(fallback: float, smooth: float) -> float:
+    def sum_log(fallback: float, smooth: float) -> float:
         total = smooth * (sums[:, 0] + fallback * sums[:, 1] + sums[:, 2])
         total -= total.max(axis=1, keepdims=True)
-        return float((total[np.arange(len(truth)), truth] - np.log(np.exp(total).sum(axis=1))).mean())
+        return float((total[np.arange(len(truth)), truth] - np.log(np.exp(total).sum(axis=1))).sum())
 
-    model.fallback, model.smooth = max(((f, s) for f in FALLBACKS for s in SMOOTHS), key=lambda x: mean_log(*x))
-    shares = [sum(w in model.rows for w in ws) / len(ws) for lang, ws in held if len(ws) >= 4]
-    model.strange = 0.3 * min(shares) if len(shares) >= 200 else 0.0
+    return [sum_log(*x) for x in _TRIED], len(parts), len(shares), min(shares, default=1.0)
+
+
+def _weigh(model: LanguageModel, logs: list[float], parts: int, lines: int, least: float) -> LanguageModel:
+    """Sets the weights that give held-out lines, and their first words alone, the highest mean log probability; and how strange a line must be to be in no language."""
+    if parts:
+        model.fallback, model.smooth = max(zip(_TRIED, logs), key=lambda x: round(x[1] / parts, 9))[0]
+        model.strange = 0.3 * least if lines >= 200 else 0.0
+    return model
 
 
 def fit(samples: list[tuple[str, str]]) -> LanguageModel:
@@ -270,17 +297,97 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel:
     their weight. One line of ``HELD_OUT`` is left out of it, and the weights are those that suit these lines best.
     """
     lines = [(label, w) for label, text in samples for x in text.split("\n") if (w := words_of(x))]
-    languages = _named(lines)
-    first = _model([x for x in lines if x[0] in set(languages)], languages)
+    words = _counted(lines)
+    languages = _named(words, Counter(label for label, _ in lines))
+    first = _model(words, languages)
     if not lines:
         return first
-    p, _ = first.posteriors([ws for _, ws in lines])
-    best = p.argmax(axis=1)
-    clear = [(languages[k], ws) for k, ws, row in zip(best, (ws for _, ws in lines), p) if row[k] >= 0.8]
-    held = [xxhash.xxh3_64_intdigest(" ".join(ws)) % HELD_OUT == 0 for _, ws in clear]
-    model = _model([x for x, out in zip(clear, held) if not out], languages)
-    _weighted(model, [x for x, out in zip(clear, held) if out])
-    return model
+    clear = [*_clear(first, [ws for _, ws in lines])]
+    model = _model(_counted((lang, ws) for lang, ws, out in clear if not out), languages)
+    return _weigh(model, *_suits(model, [(lang, ws) for lang, ws, out in clear if out]))
+
+
+#: Different items that a task counts before it gives their numbers on.
+ITEMS = 500_000
+#: (group, item) to how often it was there, and how often at an end.
+Tally = dict[str, Counter]
+
+
+def tallied(rows: DataFrame, tally: Callable[..., None]) -> DataFrame:
+    """``kind, item, n, ended``: what ``tally(seen, ended, *columns)`` counts of the rows, one batch after the other, by kind and item; combined in each task, so that few rows are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            kinds = [k for k, c in seen.items() for _ in c]
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([x for c in seen.values() for x in c], pa.string()), pa.array([n for c in seen.values() for n in c.values()], pa.int64()), pa.array([ended[k][x] for k, c in seen.items() for x in c], pa.int64())], names=["kind", "item", "n", "ended"])
+
+        seen, ended = defaultdict(Counter), defaultdict(Counter)
+        for b in batches:
+            tally(seen, ended, *(c.to_pylist() for c in b.columns))
+            if sum(map(len, seen.values())) > ITEMS:
+                yield made()
+                seen, ended = defaultdict(Counter), defaultdict(Counter)
+        yield made()
+
+    return rows.mapInArrow(run, "kind string, item string, n long, ended long").groupBy("kind", "item").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+
+
+def _lines_of(text: str) -> Iterator[list[str]]:
+    for line in same_alphabet_form(text).lower().split("\n"):
+        if words := _words(line):
+            yield words
+
+
+#: Kinds of what ``tally_lines`` counts: words of a label, and lines of labels.
+WORDS, LABELS = "words ", "labels"
+
+
+def tally_lines(seen: Tally, label: str | None, text: str | None) -> None:
+    """Counts the lines and words of a labelled text."""
+    if label and text:
+        for ws in _lines_of(text):
+            seen[WORDS + label].update(ws)
+            seen[LABELS][label] += 1
+
+
+def fit_all(documents: DataFrame, counts: dict[str, Counter], text: str = "text", label: str = "lang") -> LanguageModel:
+    """What ``fit`` makes of the texts of all documents whose label names a language; ``counts`` is what ``tally_lines`` counted of them. Tasks read the texts; counts of words come to the driver."""
+    words = {kind.removeprefix(WORDS): c for kind, c in counts.items() if kind.startswith(WORDS)}
+    languages = _named(words, counts.get(LABELS, Counter()))
+    first = _model(words, languages)
+    if not words:
+        return first
+    context = documents.sparkSession.sparkContext
+    one, many = context.broadcast(first), "held "
+
+    def tally(seen: Tally, ended: Tally, texts: list[str]) -> None:
+        held: list[list[str]] = []
+        for k, t in enumerate(texts, 1):
+            held += _lines_of(t)
+            if held and (len(held) > 2_000 or k == len(texts)):
+                for lang, ws, out in _clear(one.value, held):
+                    if out:  # as a line, the same ones once
+                        seen[many + lang][" ".join(ws)] += 1
+                    else:
+                        seen[WORDS + lang].update(ws)
+                held = []
+
+    second = written(tallied(documents.where(F.col(text).isNotNull() & label_column(label).isNotNull()).select(text), tally), "clear-lines")
+    own = defaultdict(Counter)
+    for r in second.where(F.col("kind").startswith(WORDS)).orderBy("kind", "item").toArrow().to_pylist():
+        own[r["kind"].removeprefix(WORDS)][r["item"]] = r["n"]
+    model = _model(own, languages)
+    two = context.broadcast(model)
+
+    def suits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for kind, item, n in zip(*(c.to_pylist() for c in b.columns)):
+                logs, parts, lines, least = _suits(two.value, [(kind.removeprefix(many), item.split(" "))])
+                yield pa.RecordBatch.from_arrays([pa.array([[n * x for x in logs]], pa.list_(pa.float64())), pa.array([n * parts], pa.int64()), pa.array([n * lines], pa.int64()), pa.array([least])], names=["logs", "parts", "lines", "least"])
+
+    each = second.where(F.col("kind").startswith(many)).select("kind", "item", "n").mapInArrow(suits, "logs array<double>, parts long, lines long, least double")
+    r = each.agg(*[F.sum(F.col("logs")[k]).alias(f"l{k}") for k in range(len(_TRIED))], F.sum("parts").alias("parts"), F.sum("lines").alias("lines"), F.min("least").alias("least")).first()
+    return _weigh(model, [r[f"l{k}"] or 0.0 for k in range(len(_TRIED))], r["parts"] or 0, r["lines"] or 0, 1.0 if r["least"] is None else r["least"])
 
 
 def sample(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", each: int = SAMPLE) -> list[tuple[str, str]]:

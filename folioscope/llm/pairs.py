@@ -8,9 +8,10 @@ by the words of each language, and responses that break off by a model of the co
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import pandas as pd
 import zstandard
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.readingform import reading_form
-from folioscope.llm.languages import LanguageModel, words_of
+from folioscope.llm.languages import LanguageModel, fit_all, label_column, tallied, tally_lines, words_of
 from folioscope.llm.shared import written
 from folioscope.operators.units import quantities
 
@@ -112,6 +113,10 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(compression_params=_SMALL, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=_RAW))
 
 
+#: Kinds of what the detector counts.
+COPIES, ANSWERED = "copies", "answered"
+
+
 class CopyDetector:
     """Compressor of responses with one prompt as dictionary; ``most`` is how many bytes a copy may leave more than the prompt itself."""
 
@@ -143,12 +148,23 @@ class CopyDetector:
     @staticmethod
     def fit(pairs: Iterable[tuple[str, str]]) -> int:
         """``most`` from (question, gold answer) pairs: between what framed copies of the questions leave and what is left where the gold answer follows the question, at the least error."""
-        copies, answered = Counter(), Counter()
+        seen = defaultdict(Counter)
         for question, answer in pairs:
-            d = CopyDetector(question)
-            if d.words and _plain_words(answer):
-                copies[max(d.left(f"You asked: {question}"), d.left(f"Question: {question}"))] += 1
-                answered[d.left(f"{question} {answer}")] += 1
+            CopyDetector.tally(seen, question, answer)
+        return CopyDetector.most_of(seen)
+
+    @staticmethod
+    def tally(seen: dict[str, Counter], question: str, answer: str) -> None:
+        """Counts the bytes that are left of a copy of the question, and where its gold answer follows."""
+        d = CopyDetector(question)
+        if d.words and _plain_words(answer):
+            seen[COPIES][str(max(d.left(f"You asked: {question}"), d.left(f"Question: {question}")))] += 1
+            seen[ANSWERED][str(d.left(f"{question} {answer}"))] += 1
+
+    @staticmethod
+    def most_of(seen: dict[str, Counter]) -> int:
+        """``most`` of what was counted."""
+        copies, answered = ({int(left): n for left, n in seen.get(kind, {}).items()} for kind in (COPIES, ANSWERED))
         if not copies:
             return BYTES_LEFT
         wrong = lambda most: sum(n for left, n in copies.items() if left > most) + sum(n for left, n in answered.items() if left <= most)
@@ -172,6 +188,10 @@ def shape(token: str) -> str:
     return re.sub(r"[.]9+$", ".9", re.sub(r"^9+(?:,999)*(?![9])", "9", re.sub(r"\d", "9", token)))
 
 
+#: Kinds of what the terminal model counts.
+WORD, PAIR, MARK = "word", "pair", "mark"
+
+
 @dataclass
 class TerminalModel:
     """How often a text ended or went on after its last word, or last two, in complete texts."""
@@ -184,23 +204,34 @@ class TerminalModel:
 
     @classmethod
     def fit(cls, texts: Iterable[str]) -> TerminalModel:
-        seen, ended, marks, last_marks = Counter(), Counter(), Counter(), Counter()
+        seen, ended = defaultdict(Counter), defaultdict(Counter)
         for text in texts:
-            tokens = []
-            for line in reading_form(text).rstrip().split("\n"):
-                tokens = [t.lower() for t in _TOKEN.findall(line)]
-                for i, t in enumerate(tokens):
-                    if not t[0].isalpha():
-                        marks[shape(t)] += 1
-                        continue
-                    end = i + 1 == len(tokens) or tokens[i + 1] in ".;!?。"
-                    for c in (t, f"{tokens[i - 1] if i else '^'} {t}"):
-                        seen[c] += 1
-                        ended[c] += end
-            if tokens and not tokens[-1][0].isalpha():
-                last_marks[shape(tokens[-1])] += 1
-        one = {c: (n, ended[c]) for c, n in seen.items() if " " not in c}
-        two = {c: (n, ended[c]) for c, n in seen.items() if " " in c and n > 1}
+            cls.tally(seen, ended, text)
+        return cls.of(seen, ended)
+
+    @staticmethod
+    def tally(seen: dict[str, Counter], ended: dict[str, Counter], text: str) -> None:
+        """Counts a text's words, alone and after what is before them, and marks, and those of them that end a sentence or the text."""
+        tokens = []
+        for line in reading_form(text).rstrip().split("\n"):
+            tokens = [*map(str.lower, _TOKEN.findall(line))]
+            alpha = [t[0].isalpha() for t in tokens]
+            pairs = [*map(" ".join, zip(["^", *tokens], tokens))]
+            seen[WORD].update(compress(tokens, alpha))
+            seen[PAIR].update(compress(pairs, alpha))
+            seen[MARK].update(shape(t) for t, a in zip(tokens, alpha) if not a)
+            for i, (t, a) in enumerate(zip(tokens, alpha)):
+                if a and (i + 1 == len(tokens) or tokens[i + 1] in ".;!?。"):
+                    ended[WORD][t] += 1
+                    ended[PAIR][pairs[i]] += 1
+        if tokens and not alpha[-1]:
+            ended[MARK][shape(tokens[-1])] += 1
+
+    @classmethod
+    def of(cls, seen: dict[str, Counter], ended: dict[str, Counter]) -> TerminalModel:
+        """The model of what was counted; of pairs those that were there more than once."""
+        one = {c: (n, ended[WORD][c]) for c, n in seen[WORD].items()}
+        two = {c: (n, ended[PAIR][c]) for c, n in seen[PAIR].items() if n > 1}
         inside, last = Counter(), Counter()
         for w in one:
             for k in (2, 3):
@@ -208,7 +239,7 @@ class TerminalModel:
                 if len(w) > k:
                     last[w[-k:]] += 1
         tails = {t: (n, last[t]) for t, n in inside.items()}
-        return cls(one, two, {m: (n, last_marks[m]) for m, n in marks.items()}, {w[:k] for w, (n, _) in one.items() if n > 1 for k in range(2, len(w))}, tails)
+        return cls(one, two, {m: (n, ended[MARK][m]) for m, n in seen[MARK].items()}, {w[:k] for w, (n, _) in one.items() if n > 1 for k in range(2, len(w))}, tails)
 
     def whole_word(self, word: str) -> bool:
         """Whether an unseen word ends as words do: by its last three letters, or two where those are rare."""
@@ -300,6 +331,31 @@ def defect(question: str | None, answer: str | None, flagged: bool | None, copie
     return None
 
 
+def models(documents: DataFrame, graded: DataFrame) -> tuple[LanguageModel, TerminalModel, int]:
+    """Languages, terminal contexts, and ``most`` of copies, of all documents (``text, lang``) and all different gold answers (``question, gold_answer``) of the pairs.
+
+    Tasks count what they read; the driver gets a number for each item, of pairs of words for those that were there more than once.
+    """
+    read = documents.where(F.col("text").isNotNull()).select(F.lit(None).cast("string").alias("question"), "text", label_column("lang").alias("label"), F.lit(False).alias("gold"))
+    gold = graded.where("gold_answer IS NOT NULL").select("question", F.col("gold_answer").alias("text"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("gold")).distinct()
+
+    def tally(seen: dict[str, Counter], ended: dict[str, Counter], questions: list, texts: list, labels: list, golds: list) -> None:
+        for question, text, label, is_gold in zip(questions, texts, labels, golds):
+            TerminalModel.tally(seen, ended, text)
+            if is_gold:
+                CopyDetector.tally(seen, question or "", text)
+            tally_lines(seen, label, text)
+
+    counted = tallied(read.unionByName(gold), tally).where(f"kind <> '{PAIR}' OR n > 1")
+    seen, ended = defaultdict(Counter), defaultdict(Counter)
+    for b in counted.orderBy("kind", "item").toArrow().to_batches():
+        for kind, item, n, e in zip(*(c.to_pylist() for c in b.columns)):
+            seen[kind][item] = n
+            if e:
+                ended[kind][item] = e
+    return fit_all(documents, seen), TerminalModel.of(seen, ended), CopyDetector.most_of(seen)
+
+
 _APOLOGY = re.compile("sorry|apolog|unfortunately")
 
 

@@ -73,17 +73,10 @@ def p4_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_pages(spark, sf_dir)
 
 
-#: Gold answers the terminal model is fitted on, those of the least hash, beside the sample of documents.
-GOLD = 3000
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = table(spark, sf_dir, "grading_baseline_dense")
-    texts = languages.sample(table(spark, sf_dir, "documents"))
-    gold = graded.where("gold_answer IS NOT NULL").select("question", "gold_answer", F.xxhash64("gold_answer").alias("h")).distinct().orderBy("h", "gold_answer", "question").limit(GOLD).collect()
-    terminal = pairs.TerminalModel.fit([t for _, t in texts] + [r["gold_answer"] for r in gold])
-    most = pairs.CopyDetector.fit((r["question"] or "", r["gold_answer"]) for r in gold)
-    return pairs.defects(spread(graded), table(spark, sf_dir, "answers"), languages.fit(texts), terminal, copies=most)
+    graded = spread(table(spark, sf_dir, "grading_baseline_dense"))
+    spoken, terminal, most = pairs.models(spread(table(spark, sf_dir, "documents")), graded)
+    return pairs.defects(graded, table(spark, sf_dir, "answers"), spoken, terminal, copies=most)
 
 
 def p5_plain_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

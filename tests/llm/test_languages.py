@@ -123,3 +123,10 @@ def test_long_texts_in_one_pass(spark, model):
     text = "\n".join([SENTENCES["de"][0], SENTENCES["en"][0]] * 20_000)
     df = spark.createDataFrame([(1, text, "en", "x")], SCHEMA)
     assert L.stretches(L.line_languages(df, model)).count() == 40_000
+
+
+def test_a_language_with_lines_in_another_ones_texts_is_no_wrong_label():
+    english, russian = {"the": 90_000, "sales": 40_000, "of": 70_000}, {"продаж": 500, "рост": 400, "заводах": 300}
+    mixed = L.Counter(english | {w: n // 20 for w, n in russian.items()})
+    size = L.Counter(en=20_000, ru=200, sv=150)
+    assert L._named(L.defaultdict(L.Counter, en=mixed, ru=L.Counter(russian), sv=L.Counter(the=90, sales=40, of=70)), size) == ["en", "ru"]

@@ -108,3 +108,17 @@ def test_over_a_table(spark, models):
     got = sorted((r["grade_id"] or "", r["defect"]) for r in P.defects(df, df, *models).collect())
     assert got == [("", "empty"), ("a", "empty"), ("b", "refusal"), ("d", "truncated"), ("f", "refusal")]
     assert P.defects(df.where("false"), df, *models).count() == 0
+
+
+def test_models_are_of_all_documents_and_gold_answers(spark):
+    texts = corpus(400) + [("en", "\n".join(CLEAN))]
+    rows = [(i, label, t) for i, (label, t) in enumerate(texts)] + [(9000, None, "a label is missing here"), (9001, "en", None)]
+    documents = spark.createDataFrame(rows, "doc_id int, lang string, text string").repartition(3)
+    gold = [(f"What was figure {i} of the plant?", f"{i} units of steel") for i in range(3100)]
+    graded = spark.createDataFrame([*gold, *gold[:50], ("q", None)], "question string, gold_answer string")
+    spoken, terminal, most = P.models(documents, graded)
+    whole, every = L.fit(texts), P.TerminalModel.fit([t for _, _, t in rows if t] + [a for _, a in gold])
+    assert (spoken.languages, spoken.words.keys(), spoken.fallback, spoken.smooth) == (whole.languages, whole.words.keys(), whole.fallback, whole.smooth)
+    assert all(abs(spoken.words[w] - v).max() < 1e-9 for w, v in whole.words.items()) and abs(spoken.strange - whole.strange) < 1e-9
+    assert terminal == every and terminal.one["units"][0] >= 3100
+    assert most == P.CopyDetector.fit(gold)
