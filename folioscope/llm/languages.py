@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -155,22 +156,23 @@ class LanguageModel:
         """For each line of words the probability of each language, and the share of its words that are known. No line may be empty.
 
         The words' scores are added up and flattened by ``smooth``."""
-        starts = np.cumsum([0, *map(len, lines[:-1])])
-        flat = [w for words in lines for w in words]
-        rows = [*map(self.rows.get, flat)]
-        known = np.ones(len(rows))
-        if None in rows:
-            unseen = [k for k, i in enumerate(rows) if i is None]
-            at = np.array([-1 if i is None else i for i in rows])
-            scores = np.empty((len(rows), len(self.languages)))
-            scores[at >= 0] = self.matrix[at[at >= 0]]
-            scores[unseen] = [self.unseen(flat[k]) for k in unseen]
-            known[unseen] = 0.0
+        flat, sizes, at = self._rows_of(lines)
+        starts = np.cumsum(sizes) - sizes
+        known = at >= 0
+        if known.all():
+            scores = self.matrix[at]
         else:
-            scores = self.matrix[rows]
+            scores = np.empty((len(flat), len(self.languages)))
+            scores[known] = self.matrix[at[known]]
+            scores[~known] = [self.unseen(flat[k]) for k in np.flatnonzero(~known).tolist()]
         total = (self.smooth if smooth is None else smooth) * np.add.reduceat(scores, starts, axis=0)
         p = np.exp(total - total.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True), np.add.reduceat(known, starts) / np.diff([*starts, len(flat)])
+        return p / p.sum(axis=1, keepdims=True), np.add.reduceat(known.astype(float), starts) / sizes
+
+    def _rows_of(self, lines: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """All words of the lines, the number of each line's, and each word's row of the matrix, -1 for one that isn't known."""
+        flat = [*chain.from_iterable(lines)]
+        return flat, np.fromiter(map(len, lines), np.int64, len(lines)), np.fromiter(map(self.rows.get, flat, repeat(-1)), np.int64, len(flat))
 
     def posterior(self, words: list[str], smooth: float | None = None) -> np.ndarray:
         return self.posteriors([words], smooth)[0][0]
@@ -250,36 +252,68 @@ def _named(words: dict[str, Counter], size: Counter) -> list[str]:
     return sorted(set(words) - wrong) or ["en"]
 
 
-def _clear(model: LanguageModel, lines: list[list[str]]) -> Iterator[tuple[str, list[str], bool]]:
-    """(language found, words, whether the line is held out) of the lines whose language is clear."""
-    p, _ = model.posteriors(lines)
-    best = p.argmax(axis=1)
-    for k, ws, row in zip(best, lines, p):
-        if row[k] >= 0.8:
-            yield model.languages[k], ws, xxhash.xxh3_64_intdigest(" ".join(ws)) % HELD_OUT == 0
+def _clear(model: LanguageModel, lines: list[str]) -> Iterator[tuple[str, str, bool]]:
+    """(language found, line, whether it is held out) of the lines, words joined by spaces, whose language is clear."""
+    p, _ = model.posteriors([line.split(" ") for line in lines])
+    for k, line, top in zip(p.argmax(axis=1).tolist(), lines, p.max(axis=1).tolist()):
+        if top >= 0.8:
+            yield model.languages[k], line, xxhash.xxh3_64_intdigest(line) % HELD_OUT == 0
 
 
 #: Weights that are tried.
 _TRIED = [(f, s) for f in FALLBACKS for s in SMOOTHS]
 
 
-def _suits(model: LanguageModel, held: list[tuple[str, list[str]]]) -> tuple[list[float], int, int, float]:
-    """For held-out lines and their first words alone the sum of the log probabilities under each of the weights, and their number; the number of lines of four words or more, and the least share of known words of one."""
+def in_parts[T](items: Iterable[T], size: Callable[[T], int], most: int) -> Iterator[list[T]]:
+    """The items in order, in lists that end with the item that brings their size over ``most``."""
+    part, held = [], 0
+    for x in items:
+        part.append(x)
+        held += size(x)
+        if held > most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+#: Words of held-out lines that are weighed at a time.
+WEIGHED = 50_000
+
+
+def _suits(model: LanguageModel, held: Iterable[tuple[str, list[str], int]]) -> tuple[list[float], int, int, float]:
+    """For held-out lines (language, words, how often they were there) and their first words alone the sum of the log probabilities under each of the weights, and their number; the number of lines of four words or more, and the least share of known words of one."""
+    logs, parts, lines, least = np.zeros(len(_TRIED)), 0, 0, 1.0
+    for part in in_parts(held, lambda x: len(x[1]), WEIGHED):
+        found = _suits_part(model, part)
+        logs, parts, lines, least = logs + found[0], parts + found[1], lines + found[2], min(least, found[3])
+    return logs.tolist(), parts, lines, least
+
+
+def _suits_part(model: LanguageModel, held: list[tuple[str, list[str], int]]) -> tuple[np.ndarray, int, int, float]:
+    flat, sizes, rows = model._rows_of([ws for _, ws, _ in held])
+    starts, known, times = np.cumsum(sizes) - sizes, rows >= 0, np.array([n for *_, n in held])
+    shares, long = np.add.reduceat(known.astype(float), starts) / sizes, sizes >= 4
+    # what words, n-grams and scripts say of each word
+    said = np.zeros((len(flat), 3, len(model.languages)))
+    said[known, 0] = model.matrix[rows[known]]
+    unseen = np.flatnonzero(~known).tolist()
+    if unseen:
+        backoff = {w: model.backoff(w) for w in {flat[k] for k in unseen}}
+        said[unseen, 1:] = [backoff[flat[k]] for k in unseen]
+    heads = [said[starts]]
+    for n in (1, 2):
+        heads.append(heads[-1] + np.where((sizes > n)[:, None, None], said[np.minimum(starts + n, len(flat) - 1)], 0.0))
     at = {lang: k for k, lang in enumerate(model.languages)}
-    parts = [(at[lang], ws[:n]) for lang, ws in held for n in (1, 2, 3, len(ws)) if lang in at]
-    shares = [sum(w in model.rows for w in ws) / len(ws) for lang, ws in held if len(ws) >= 4]
-    if not parts:
-        return [0.0] * len(_TRIED), 0, len(shares), min(shares, default=1.0)
-    none = np.zeros(len(model.languages))
-    sums = np.array([[sum((model.words[w] for w in ws if w in model.rows), none), *(sum(x, none) for x in zip(*[model.backoff(w) for w in ws if w not in model.rows] or [(none, none)]))] for _, ws in parts])
-    truth = np.array([k for k, _ in parts])
+    named = [k for k, (lang, *_) in enumerate(held) if lang in at]
+    sums, truth = np.stack([*heads, np.add.reduceat(said, starts)])[:, named], np.array([at[held[k][0]] for k in named], dtype=np.int64)
 
     def sum_log(fallback: float, smooth: float) -> float:
-        total = smooth * (sums[:, 0] + fallback * sums[:, 1] + sums[:, 2])
-        total -= total.max(axis=1, keepdims=True)
-        return float((total[np.arange(len(truth)), truth] - np.log(np.exp(total).sum(axis=1))).sum())
+        total = smooth * (sums[:, :, 0] + fallback * sums[:, :, 1] + sums[:, :, 2])
+        total -= total.max(axis=2, keepdims=True)
+        return float(((total[:, np.arange(len(truth)), truth] - np.log(np.exp(total).sum(axis=2))) * times[named]).sum())
 
-    return [sum_log(*x) for x in _TRIED], len(parts), len(shares), min(shares, default=1.0)
+    return np.array([sum_log(*x) if named else 0.0 for x in _TRIED]), 4 * int(times[named].sum()), int(times[long].sum()), float(shares[long].min(initial=1.0))
 
 
 def _weigh(model: LanguageModel, logs: list[float], parts: int, lines: int, least: float) -> LanguageModel:
@@ -296,15 +330,15 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel:
     In a second round a line counts for the language found for it, if that is clear, so wrong labels and mixed texts lose
     their weight. One line of ``HELD_OUT`` is left out of it, and the weights are those that suit these lines best.
     """
-    lines = [(label, w) for label, text in samples for x in text.split("\n") if (w := words_of(x))]
-    words = _counted(lines)
+    lines = [(label, line) for label, text in samples for line in _lines_of(text)]
+    words = _counted((label, line.split(" ")) for label, line in lines)
     languages = _named(words, Counter(label for label, _ in lines))
     first = _model(words, languages)
     if not lines:
         return first
-    clear = [*_clear(first, [ws for _, ws in lines])]
-    model = _model(_counted((lang, ws) for lang, ws, out in clear if not out), languages)
-    return _weigh(model, *_suits(model, [(lang, ws) for lang, ws, out in clear if out]))
+    clear = [*_clear(first, [line for _, line in lines])]
+    model = _model(_counted((lang, line.split(" ")) for lang, line, out in clear if not out), languages)
+    return _weigh(model, *_suits(model, ((lang, line.split(" "), 1) for lang, line, out in clear if out)))
 
 
 #: Different items that a task counts before it gives their numbers on.
@@ -332,10 +366,31 @@ def tallied(rows: DataFrame, tally: Callable[..., None]) -> DataFrame:
     return rows.mapInArrow(run, "kind string, item string, n long, ended long").groupBy("kind", "item").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
 
 
-def _lines_of(text: str) -> Iterator[list[str]]:
-    for line in same_alphabet_form(text).lower().split("\n"):
-        if words := _words(line):
-            yield words
+class Pieces(dict):
+    """What ``of`` makes of a piece of text between spaces; short ones are kept, ``MOST`` at a time, as most come again. A line feed is a piece of its own and stays one."""
+
+    MOST, LONGEST = 50_000, 40
+
+    def __init__(self, of: Callable[[str], object]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, piece: str) -> object:
+        made = self.of(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[piece] = made
+        return made
+
+
+_SAID = Pieces(lambda piece: piece if piece == "\n" else " ".join(words_of(piece)))
+
+
+def _lines_of(text: str) -> list[str]:
+    """The words of each line that has some, joined by spaces."""
+    said = " ".join(filter(None, map(_SAID.__getitem__, text.replace("\n", " \n ").split(" "))))
+    return [line for x in said.split("\n") if (line := x.strip(" "))]
 
 
 #: Kinds of what ``tally_lines`` counts: words of a label, and lines of labels.
@@ -345,9 +400,9 @@ WORDS, LABELS = "words ", "labels"
 def tally_lines(seen: Tally, label: str | None, text: str | None) -> None:
     """Counts the lines and words of a labelled text."""
     if label and text:
-        for ws in _lines_of(text):
-            seen[WORDS + label].update(ws)
-            seen[LABELS][label] += 1
+        if lines := _lines_of(text):
+            seen[WORDS + label].update(" ".join(lines).split(" "))
+            seen[LABELS][label] += len(lines)
 
 
 def fit_all(documents: DataFrame, counts: dict[str, Counter], text: str = "text", label: str = "lang") -> LanguageModel:
@@ -361,15 +416,18 @@ def fit_all(documents: DataFrame, counts: dict[str, Counter], text: str = "text"
     one, many = context.broadcast(first), "held "
 
     def tally(seen: Tally, ended: Tally, texts: list[str]) -> None:
-        held: list[list[str]] = []
+        held: list[str] = []
         for k, t in enumerate(texts, 1):
             held += _lines_of(t)
             if held and (len(held) > 2_000 or k == len(texts)):
-                for lang, ws, out in _clear(one.value, held):
+                own = defaultdict(list)
+                for lang, line, out in _clear(one.value, held):
                     if out:  # as a line, the same ones once
-                        seen[many + lang][" ".join(ws)] += 1
+                        seen[many + lang][line] += 1
                     else:
-                        seen[WORDS + lang].update(ws)
+                        own[lang].append(line)
+                for lang, lines in own.items():
+                    seen[WORDS + lang].update(" ".join(lines).split(" "))
                 held = []
 
     second = written(tallied(documents.where(F.col(text).isNotNull() & label_column(label).isNotNull()).select(text), tally), "clear-lines")
@@ -381,9 +439,8 @@ def fit_all(documents: DataFrame, counts: dict[str, Counter], text: str = "text"
 
     def suits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kind, item, n in zip(*(c.to_pylist() for c in b.columns)):
-                logs, parts, lines, least = _suits(two.value, [(kind.removeprefix(many), item.split(" "))])
-                yield pa.RecordBatch.from_arrays([pa.array([[n * x for x in logs]], pa.list_(pa.float64())), pa.array([n * parts], pa.int64()), pa.array([n * lines], pa.int64()), pa.array([least])], names=["logs", "parts", "lines", "least"])
+            logs, parts, lines, least = _suits(two.value, ((kind.removeprefix(many), item.split(" "), n) for kind, item, n in zip(*(c.to_pylist() for c in b.columns))))
+            yield pa.RecordBatch.from_arrays([pa.array([logs], pa.list_(pa.float64())), pa.array([parts], pa.int64()), pa.array([lines], pa.int64()), pa.array([least])], names=["logs", "parts", "lines", "least"])
 
     each = second.where(F.col("kind").startswith(many)).select("kind", "item", "n").mapInArrow(suits, "logs array<double>, parts long, lines long, least double")
     r = each.agg(*[F.sum(F.col("logs")[k]).alias(f"l{k}") for k in range(len(_TRIED))], F.sum("parts").alias("parts"), F.sum("lines").alias("lines"), F.min("least").alias("least")).first()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from folioscope.llm import languages as L
@@ -130,3 +131,26 @@ def test_a_language_with_lines_in_another_ones_texts_is_no_wrong_label():
     mixed = L.Counter(english | {w: n // 20 for w, n in russian.items()})
     size = L.Counter(en=20_000, ru=200, sv=150)
     assert L._named(L.defaultdict(L.Counter, en=mixed, ru=L.Counter(russian), sv=L.Counter(the=90, sales=40, of=70)), size) == ["en", "ru"]
+
+
+def test_held_out_lines_are_weighed_together(model, monkeypatch):
+    held = [(lang, t.lower().split(" ")[:n], 1 + n % 3) for n, (lang, t) in enumerate(corpus(60), 1)] + [("xx", ["unsure"], 2), ("de", ["qqq", "absatz"], 1)]
+    apart = [L._suits(model, [x]) for x in held]
+
+    def log(fallback, smooth):  # by each line and its first words, as texts are scored
+        weighed = L.LanguageModel(model.languages, model.words, model.grams, model.scripts, fallback, smooth)
+        parts = [(lang, ws[:k], n) for lang, ws, n in held if lang in model.languages for k in (1, 2, 3, len(ws))]
+        return sum(n * np.log(weighed.posterior(ws)[model.languages.index(lang)]) for lang, ws, n in parts)
+
+    for at_once in (L.WEIGHED, 30):
+        monkeypatch.setattr(L, "WEIGHED", at_once)
+        logs, parts, lines, least = L._suits(model, held)
+        assert logs == pytest.approx([log(*x) for x in L._TRIED]) and logs == pytest.approx([sum(x) for x in zip(*[a[0] for a in apart])])
+        assert (parts, lines, least) == (sum(a[1] for a in apart), sum(a[2] for a in apart), min(a[3] for a in apart))
+    assert L._suits(model, []) == ([0.0] * len(L._TRIED), 0, 0, 1.0)
+
+
+def test_lines_are_those_of_each_line():
+    texts = ["Sales rose,\n\n (5) \n_a1b\u3000c", "", "\n", "売上高は増加 of\tsales\nТhe соmраny\rДа", "ΟΔΟΣ:Β x\u0301 \u0301a İz ΑΣ\u00adΒ"]
+    for text in texts:
+        assert L._lines_of(text) == [" ".join(ws) for line in text.split("\n") if (ws := L.words_of(line))]

@@ -122,3 +122,48 @@ def test_models_are_of_all_documents_and_gold_answers(spark):
     assert all(abs(spoken.words[w] - v).max() < 1e-9 for w, v in whole.words.items()) and abs(spoken.strange - whole.strange) < 1e-9
     assert terminal == every and terminal.one["units"][0] >= 3100
     assert most == P.CopyDetector.fit(gold)
+
+
+ODD = ["Sales rose, 5,1 and 5,1 (2%).\nCosts fell", "ΑΣ:Β ΟΔΟΣ. İx a’b\n^ c ^", "___", "a_b\n__", "x\u0301 \u0301a  o’n-e\u200b\u3000two\n\u200b \n", "", "y!z.\n\n\n3;", "売上高 増加。 a;b"] * 2
+
+
+def test_contexts_are_those_of_each_token(monkeypatch):
+    seen, ended = P.defaultdict(P.Counter), P.defaultdict(P.Counter)
+    for text in ODD:  # one token after the other
+        for line in P.reading_form(text).rstrip().split("\n"):
+            tokens = [t.lower() for t in P._TOKEN.findall(line)]
+            for before, t, after in zip(["^", *tokens], tokens, [*tokens[1:], "."]):
+                if t[0].isalpha():
+                    for kind, item in ((P.WORD, t), (P.PAIR, f"{before} {t}")):
+                        seen[kind][item] += 1
+                        ended[kind][item] += after in ".;!?。"
+                else:
+                    seen[P.MARK][P.shape(t)] += 1
+        if tokens and not tokens[-1][0].isalpha():
+            ended[P.MARK][P.shape(tokens[-1])] += 1
+    assert P.TerminalModel.fit(ODD) == P.TerminalModel.of(seen, ended)
+    monkeypatch.setattr(P, "AT_ONCE", 3)  # in many parts
+    assert P.TerminalModel.fit(ODD) == P.TerminalModel.of(seen, ended)
+
+
+def test_a_word_that_comes_again_is_read_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(P, "reading_form", lambda text: read.append(text) or text)
+    monkeypatch.setattr(L, "same_alphabet_form", lambda text: read.append(text) or text)
+    texts = ["\n".join(f"Qvarna{i % 50} zelubo{i % 30}" for i in range(k, k + 200)) for k in range(100)]
+    P.TerminalModel.fit(texts)
+    assert len(L.fit([("en", t) for t in texts]).words) == 2
+    assert sum(map(len, read)) < sum(map(len, texts)) / 10
+
+
+def test_pairs_are_judged_together(models, monkeypatch):
+    spoken, terminal = models
+    answers = [None, "-", Q, "I don't know.", "Sorry.", "", "Да, выросла.", SENTENCES["de"][1] + ".", "Capital spending fell,", "44.82%", *CLEAN, *[t for _, t in corpus(60)]]
+    questions = [Q, None, ""] * (len(answers) // 3) + [Q] * (len(answers) % 3)
+    each = [tuple(P.defect(q, a, flag, P.CopyDetector(q or ""), spoken, terminal) for flag in (False, True)) for q, a in zip(questions, answers)]
+    calls, posteriors = [], L.LanguageModel.posteriors
+    monkeypatch.setattr(L.LanguageModel, "posteriors", lambda self, *x: calls.append(1) or posteriors(self, *x))
+    assert P.found(questions, answers, P.BYTES_LEFT, spoken, terminal) == each and len(calls) == 2
+    monkeypatch.setattr(P, "CHARS_AT_ONCE", 50)
+    assert P.found(questions, answers, P.BYTES_LEFT, spoken, terminal) == each
+    assert P.found([], [], P.BYTES_LEFT, spoken, terminal) == []
